@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -82,3 +84,53 @@ def drop_cut(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class TokenTable:
+    """Rows of numbers for tokens, worked out once while the token stays in a cache of at most ``most`` tokens.
+
+    ``compute`` gives an array with a row of ``width`` numbers for each token of a list.
+    """
+
+    def __init__(self, compute, width: int, most: int = 300_000) -> None:
+        self.compute, self.width, self.most = compute, width, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict = {}
+        self.values = np.zeros((1024, self.width))
+
+    def ids(self, tokens: list) -> np.ndarray:
+        """The row number of each token in ``values``."""
+        ids = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        missing = np.flatnonzero(ids < 0)
+        if len(missing):
+            new = list(dict.fromkeys([tokens[i] for i in missing.tolist()]))
+            if len(self.index) + len(new) > self.most and self.index:
+                self.clear()
+                return self.ids(tokens)
+            rows, n = self.compute(new), len(self.index)
+            if n + len(new) > len(self.values):
+                self.values = np.concatenate((self.values[:n], np.zeros((n + 2 * len(new), self.width))))
+            self.values[n : n + len(new)] = rows
+            self.index.update(zip(new, range(n, n + len(new))))
+            ids[missing] = np.fromiter((self.index[tokens[i]] for i in missing.tolist()), np.int64, len(missing))
+        return ids
+
+
+def sums(values: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Sums of consecutive rows: the first counts[0] rows, the next counts[1], ..."""
+    n = np.asarray(counts, np.int64)
+    out = np.zeros((len(n), *values.shape[1:]))
+    some = n > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(n) - n)[some], axis=0)
+    return out
+
+
+def sampled(df: DataFrame, column: str, rows: int, salt: int) -> DataFrame:
+    """About ``rows`` rows, chosen by the hash of ``column``; all of them if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * rows / n))

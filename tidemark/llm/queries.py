@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, langid, simhash, toxicity
 
 QUERIES = {
     "op7_simhash": simhash.op7,
+    "op8_wu_manber": decontaminate.op8,
+    "op9_deobfuscated_toxicity": toxicity.op9,
+    "op10_marginal_unigrams": langid.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
