@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import TokenTable, bounded_batches, fold, id_bucket, pieces, sampled, sums, table
 
-SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, SMOOTHING = 4000, 120_000, 4, 0.05
+SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, SMOOTHING = 4000, 60_000, 4, 0.05
 FOLDS, HELD_OUT = 3, 1
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -80,7 +80,7 @@ class Lattice:
                     start.append(j - 1)
                     end.append(j)
                     piece.append(0)
-        return np.array(word, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(piece, np.int64)
+        return tuple(np.array(x, np.int32) for x in (word, start, end, piece))
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -116,8 +116,8 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         short = [k for k, w in enumerate(words) if len(w) <= LONG]
         short.sort(key=lambda k: len(words[k]))
-        for at in range(0, len(short), 20_000):  # words of like length together
-            own = short[at : at + 20_000]
+        for at in range(0, len(short), 10_000):  # words of like length together
+            own = short[at : at + 10_000]
             part = [words[k] for k in own]
             n = np.array([len(w) for w in part])
             alpha = self.forward(lattice, part)
@@ -152,32 +152,41 @@ SCALE = 8.0
 def fit(langs: list[str], words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation from the words' counts[word, language]."""
     lattice = Lattice(path)
-    keep = [k for k, w in enumerate(words) if len(w) <= LONG]
-    words, counts = [words[k] for k in keep], counts[keep]
     model = Model(langs, np.full((lattice.size, len(langs)), 1 / lattice.size), path)
-    if not words:
-        return model
-    word, start, end, piece = arcs = lattice.arcs(words)
-    n = np.array([len(w) for w in words])
-    for _ in range(rounds):
-        alpha = model.forward(lattice, words, arcs)
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(words)), n] = 1
-        weight = model.p[piece] * SCALE ** (end - start)[:, None]
-        order = np.argsort(start, kind="stable")
-        starts = start[order]
-        for i in range(int(n.max()) - 1, -1, -1):
-            own = order[np.searchsorted(starts, i) : np.searchsorted(starts, i + 1)]
-            if len(own):
-                at = _runs(word[own])
-                beta[word[own][at], i] = np.add.reduceat(beta[word[own], end[own]] * weight[own], at, axis=0)
-        total = alpha[np.arange(len(words)), n]
-        share = alpha[word, start] * weight * beta[word, end] * (counts / np.maximum(total, 1e-300))[word]
-        sum_of = np.stack([np.bincount(piece, share[:, k], lattice.size) for k in range(len(langs))], axis=1) + SMOOTHING
+    keep = sorted((k for k, w in enumerate(words) if len(w) <= LONG), key=lambda k: len(words[k]))
+    blocks = []  # words of like length together, few enough for small arrays
+    for at in range(0, len(keep), 5000):
+        own = [words[k] for k in keep[at : at + 5000]]
+        blocks.append((own, counts[keep[at : at + 5000]], lattice.arcs(own)))
+    for _ in range(rounds if blocks else 0):
+        sum_of = np.full((lattice.size, len(langs)), SMOOTHING)
+        for own, n, arcs in blocks:
+            _expect(model, lattice, own, n, arcs, sum_of)
         model = Model(langs, sum_of / sum_of.sum(axis=0), path)
     return model
 
 
+def _expect(model: Model, lattice: Lattice, words: list[str], counts: np.ndarray, arcs: tuple, sum_of: np.ndarray) -> None:
+    """Add the expected counts of pieces in the words to ``sum_of``."""
+    word, start, end, piece = arcs
+    n = np.array([len(w) for w in words])
+    alpha = model.forward(lattice, words, arcs)
+    beta = np.zeros_like(alpha)
+    beta[np.arange(len(words)), n] = 1
+    weight = model.p[piece] * SCALE ** (end - start)[:, None]
+    order = np.argsort(start, kind="stable")
+    starts = start[order]
+    for i in range(int(n.max()) - 1, -1, -1):
+        own = order[np.searchsorted(starts, i) : np.searchsorted(starts, i + 1)]
+        if len(own):
+            at = _runs(word[own])
+            beta[word[own][at], i] = np.add.reduceat(beta[word[own], end[own]] * weight[own], at, axis=0)
+    total = alpha[np.arange(len(words)), n]
+    share = alpha[word, start] * weight * beta[word, end] * (counts / np.maximum(total, 1e-300))[word]
+    for k in range(sum_of.shape[1]):
+        sum_of[:, k] += np.bincount(piece, share[:, k], lattice.size)
+
+
 def _words(text: str | None) -> list[str]:
     return [] if not text else [MARK + w for w in _LETTERS.findall(text.lower())]
 
