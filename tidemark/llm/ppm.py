@@ -3,7 +3,7 @@
 The text that is scored is the one the base counts: A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+`` joined by one
 space, and an end. The model is a trie of byte contexts up to ``ORDER`` symbols, pretrained on every document whose
 crc32(doc_id) mod 5 is not 1. A symbol is predicted from its longest context in the trie; escapes are estimated by
-method C (as many escapes as different symbols seen); after an escape, the symbols of the longer context are excluded
+method D (half a count of each different symbol seen goes to the escape); after an escape, the symbols of the longer context are excluded
 from the shorter one. Below the empty context all symbols that are left are equally likely, so every text has a
 probability. Documents begin in a context of end marks, so beginnings are learned too.
 
@@ -105,7 +105,7 @@ class Trie:
             total, kinds = np.add.reduceat(n, at) if len(at) else n, size.astype(np.float64)
             owner = np.repeat(np.arange(len(at)), size)
             found = Table(codes)
-            escape = np.log(kinds) - np.log(total + kinds)
+            escape = np.log(kinds) - np.log(2 * total)
             out_total = out_kinds = np.zeros(len(at))
             if before is not None and len(at):
                 # the suffix context's counts, without the symbols of this context
@@ -114,15 +114,15 @@ class Trie:
                 suffix = before[1].find(contexts[at] & (width >> np.uint64(BITS)))
                 out_total = before[3][suffix] - np.bincount(owner, before[2][shorter], len(at))
                 out_kinds = before[4][suffix] - kinds
-            den = out_total + out_kinds
+            den = 2 * out_total
             with np.errstate(divide="ignore", invalid="ignore"):
                 log_den = np.where(den > 0, np.log(den), 0.0)
                 log_escape = np.where(out_kinds > 0, np.log(out_kinds) - np.log(den), 0.0)
             nodes = Table(contexts[at])
             self.gram.append(found)
             self.context.append(nodes)
-            self.log_n.append(np.log(n))
-            self.full.append(np.log(n) - np.log(total + kinds)[owner])
+            self.log_n.append(np.log(2 * n - 1))
+            self.full.append(np.log(2 * n - 1) - np.log(2 * total)[owner])
             self.node.append(np.stack((escape, log_den, log_escape), axis=1) if len(at) else np.zeros((0, 3)))
             before = (found, nodes, n, total, kinds)
         self.floor = -np.log(max(1.0, SYMBOLS - (self.node[0].shape[0] and len(grams[0][0]))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, langid, simhash, toxicity
+from tidemark.llm import decontaminate, langid, pieces, ppm, simhash, toxicity
 
 QUERIES = {
+    "op2_max_plus_pieces": pieces.op2,
+    "op4_ppm_score": ppm.op4,
     "op7_simhash": simhash.op7,
     "op8_wu_manber": decontaminate.op8,
     "op9_deobfuscated_toxicity": toxicity.op9,
