@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, langid, pieces, ppm, simhash, toxicity
+from tidemark.llm import blocks, decontaminate, hashtree, langid, pieces, ppm, simhash, toxicity, trainorder
 
 QUERIES = {
+    "op1_block_lstm": blocks.op1,
     "op2_max_plus_pieces": pieces.op2,
     "op4_ppm_score": ppm.op4,
+    "op5_hash_tree": hashtree.op5,
+    "op6_training_order": trainorder.op6,
     "op7_simhash": simhash.op7,
     "op8_wu_manber": decontaminate.op8,
     "op9_deobfuscated_toxicity": toxicity.op9,
