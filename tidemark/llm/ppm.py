@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, cut, fold, id_bucket, pieces, raw_texts, sums, table
 
-ORDER = 6
-MOST_GRAMS, MOST_WORDS, WORD_BYTES = 1_500_000, 200_000, 64
+ORDER = 5
+MOST_GRAMS, MOST_WORDS, WORD_BYTES = 1_000_000, 100_000, 64
+#: Text bytes of one step, different codes and words that a task holds before they leave it.
+STEP_BYTES, HELD_CODES, HELD_WORDS = 1 << 20, 1_000_000, 200_000
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text, and its beginning's context: a byte that UTF-8 never has.
 END = 255
@@ -121,8 +123,8 @@ class Trie:
             nodes = Table(contexts[at])
             self.gram.append(found)
             self.context.append(nodes)
-            self.log_n.append(np.log(2 * n - 1))
-            self.full.append(np.log(2 * n - 1) - np.log(2 * total)[owner])
+            self.log_n.append(np.log(2 * n - 1).astype(np.float32))
+            self.full.append((np.log(2 * n - 1) - np.log(2 * total)[owner]).astype(np.float32))
             self.node.append(np.stack((escape, log_den, log_escape), axis=1) if len(at) else np.zeros((0, 3)))
             before = (found, nodes, n, total, kinds)
         self.floor = -np.log(max(1.0, SYMBOLS - (self.node[0].shape[0] and len(grams[0][0]))))
@@ -201,9 +203,10 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             part = slice(at, at + 200_000)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(codes[part]), pa.binary()), pa.array(codes[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["word", "code", "n"])
 
+    _BUILT.clear()
     words, runs, held = Counter(), [], 0
     for batch in batches:
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", STEP_BYTES):
             texts = []
             for raw in raw_texts(part.column("text")):
                 own, text = normal(raw)
@@ -212,15 +215,16 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             words[None] += len(texts)
             runs.append(count_codes(codes_of(texts, order)))
             held += len(runs[-1][0])
-            if held > 3_000_000:
+            if held > HELD_CODES:
                 runs = [count_codes(*(np.concatenate(x) for x in zip(*runs)))]
                 held = len(runs[0][0])
-            if len(words) > 400_000 or held > 2_000_000 and len(runs) == 1:
+                if held > HELD_CODES // 2:
+                    yield from flush(Counter(), *runs[0])
+                    runs, held = [], 0
+            if len(words) > HELD_WORDS:
                 ends = words.pop(None)
-                yield from flush(words, *runs[0]) if len(runs) == 1 else flush(words, runs[0][0][:0], runs[0][1][:0])
+                yield from flush(words, np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 words = Counter({None: ends})
-                if len(runs) == 1:
-                    runs, held = [], 0
     codes, n = count_codes(*(np.concatenate(x) for x in zip(*runs))) if runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     ends = words.pop(None, 0)
     yield from flush(words, codes, n)
@@ -290,7 +294,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, get = _trie(sent), sent_words.value.get
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", STEP_BYTES):
                 flat, texts, counts = [], [], []
                 for raw in raw_texts(part.column("text")):
                     own, text = normal(raw)
