@@ -41,9 +41,8 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Letters of a chunk. Longer texts are scanned in parallel.
 CHUNK = 32_768
-#: Segments longer than this aren't cached.
-LONG = 64
-CACHE = 300_000
+#: Words longer than this aren't cached; words in the cache (about 250 bytes each).
+LONG, CACHE = 48, 700_000
 _NONE = float("-inf")
 
 
@@ -60,8 +59,8 @@ class _Words(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, w: str) -> list[int]:
-        ids = self.model.word(MARK + w)
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        ids = tuple(self.model.word(MARK + w))
         if len(w) <= LONG:
             if len(self) >= CACHE:
                 self.clear()
@@ -86,12 +85,18 @@ class Pieces:
             raise ValueError("a piece has ▁ behind another letter: beginnings of words aren't borders")
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.value = {i: bytes([b]) for b, i in enumerate(self.byte)} | {i: self.text[i].replace(MARK, " ").encode() for i in plain}
-        # a search that grows to the right stops where no piece begins so
-        self.begin = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        # pieces as a tree of dicts, the score of a piece under "": a search that grows to the right stops where no piece goes on so
+        self.root: dict = {}
+        for p, x in self.score.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = x
         self.letters = {c for p in self.id for c in p}
         # a letter without a piece of its own may only stand inside a longer piece; alone it is written as bytes, at this cost
         self.unknown = min(self.score.values()) - 10.0
-        self.cache: dict[str, tuple[int, ...]] = {}
+        lead = [b < 0x80 or b >= 0xC0 for b in range(256)]
+        self.score_of = {self.id[p]: x for p, x in self.score.items()} | {i: self.unknown if lead[b] else 0.0 for b, i in enumerate(self.byte)}
         self.words = _Words(self)
 
     def normal(self, text: str) -> str:
@@ -103,20 +108,23 @@ class Pieces:
     def borders(self, s: str) -> list[int]:
         """Positions (first and last included) that no piece can cross."""
         out, before = [0], MARK
-        for k, c in enumerate(s):
+        for k, c in enumerate(s):  # as ``border`` for every position
             if k and (c == MARK != before or c not in self.letters or before not in self.letters):
                 out.append(k)
             before = c
         out.append(len(s))
         return out
 
+    def border(self, s: str, k: int) -> bool:
+        return s[k] == MARK != s[k - 1] or s[k] not in self.letters or s[k - 1] not in self.letters
+
     def chunks(self, s: str, chunk: int) -> Iterator[tuple[str, str]]:
         """(chunk, letters behind it) of a giant text."""
         at, n = 0, len(s)
         while at < n:
             end = min(n, at + chunk)
             for k in range(end, end - chunk // 4, -1) if end < n else ():
-                if s[k] == MARK != s[k - 1] or s[k] not in self.letters or s[k - 1] not in self.letters:
+                if self.border(s, k):
                     end = k
                     break
             yield s[at:end], s[end : end + self.longest - 1]
@@ -124,25 +132,28 @@ class Pieces:
 
     def best(self, s: str, start: int = 0) -> tuple[list[float], list[int]]:
         """For every position from ``start``: the greatest sum of scores up to it, and where its last piece begins."""
-        n, begin, score = len(s), self.begin, self.score.get
+        n, root = len(s), self.root
         total, back = [_NONE] * (n + 1), [-1] * (n + 1)
         total[start] = 0.0
         for i in range(start, n):
             base = total[i]
             if base == _NONE:
                 continue
-            alone = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = s[i:j]
-                if piece not in begin:
-                    break
-                x = score(piece)
+            node, j = root.get(s[i]), i + 1
+            if node is None or "" not in node:
+                x = base + self.unknown
+                if x > total[j]:
+                    total[j], back[j] = x, i
+            while node is not None:
+                x = node.get("")
                 if x is not None:
-                    alone = alone or j == i + 1
-                    if base + x > total[j]:
-                        total[j], back[j] = base + x, i
-            if not alone and base + self.unknown > total[i + 1]:
-                total[i + 1], back[i + 1] = base + self.unknown, i
+                    x += base
+                    if x > total[j]:
+                        total[j], back[j] = x, i
+                if j == n:
+                    break
+                node = node.get(s[j])
+                j += 1
         return total, back
 
     def trace(self, s: str, back: list[int], end: int, start: int = 0) -> list[int]:
@@ -154,17 +165,10 @@ class Pieces:
             end = i
         return [k for p in reversed(parts) for k in p]
 
-    def segment(self, s: str) -> tuple[int, ...]:
+    def segment(self, s: str) -> list[int]:
         """Ids of a text between two borders."""
-        got = self.cache.get(s)
-        if got is None:
-            k = self.id.get(s) if len(s) == 1 else None
-            got = (k,) if k is not None else tuple(self.trace(s, self.best(s)[1], len(s)))
-            if len(s) <= LONG:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[s] = got
-        return got
+        k = self.id.get(s) if len(s) == 1 else None
+        return [k] if k is not None else self.trace(s, self.best(s)[1], len(s))
 
     def encode_normal(self, s: str) -> list[int]:
         """Ids of normalised text that begins and ends at borders. Words (``▁`` and what follows) are the usual segments."""
@@ -182,7 +186,9 @@ class Pieces:
         return out
 
     def word(self, w: str) -> list[int]:
-        """A segment that may hold letters without a piece, or be long."""
+        """Ids of one word, which may have borders inside (letters without a piece)."""
+        if self.letters.issuperset(w) and MARK not in w.lstrip(MARK):
+            return self.segment(w)
         at = self.borders(w)
         return [k for a, b in zip(at, at[1:]) if b > a for k in self.segment(w[a:b])]
 
@@ -205,23 +211,25 @@ class Pieces:
         states = self.longest
         out = np.full((states, states), _NONE)
         both = s + over[: states - 1]
-        at = self.borders(both)
-        inner = [b for b in at[1:-1] if b <= len(s)]
-        if not inner:
+        first, last = self._inner(both, len(s))
+        if first is None:
             for k in range(min(entry, len(s)) + 1):
                 out[k] = self._ends(both, k, len(s))
             for k in range(len(s) + 1, entry + 1):  # one piece over the whole chunk
                 out[k, k - len(s)] = 0.0
             return out
-        first, last = inner[0], inner[-1]
-        middle = 0.0
-        for a, b in zip(inner, inner[1:]):
-            middle += self.best(both[a:b])[0][-1]
+        middle = sum(map(self.score_of.__getitem__, self.encode_normal(both[first:last])))
         tail = self._ends(both[last:], 0, len(s) - last)
         for k in range(min(entry, first) + 1):
             out[k] = self.best(both[:first], k)[0][first] + middle + tail
         return out
 
+    def _inner(self, both: str, n: int) -> tuple[int | None, int | None]:
+        """The first and the last border in a chunk of ``n`` letters (its end included, its beginning not)."""
+        most = min(n, len(both) - 1)
+        first = next((k for k in range(1, most + 1) if self.border(both, k)), None)
+        return first, None if first is None else next(k for k in range(most, 0, -1) if self.border(both, k))
+
     def _ends(self, both: str, start: int, end: int) -> np.ndarray:
         """Best sums from ``start`` to each state at ``end``: pieces that begin before ``end`` and may pass it."""
         row = np.full(self.longest, _NONE)
@@ -240,21 +248,32 @@ class Pieces:
         """Ids of the pieces that begin in a chunk, between the states that the scan picked."""
         if enter >= len(s) and (enter > len(s) or leave == 0):
             return []
-        both = s + over[:leave]
-        at = self.borders(both)
-        cuts = sorted({enter, *(b for b in at if enter < b <= len(s)), len(both)})
+        both = s + over[: self.longest - 1]
+        first, last = self._inner(both, len(s))
         out: list[int] = []
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b <= len(s) or leave == 0:
-                out += self.segment(both[a:b])
-                continue
-            # the last piece passes the cut: the best beginning for it, then what lies before
-            total, back = self.best(both[a : len(s)])
-            sums = [(total[i] + self.score[both[a + i :]], -i) for i in range(len(s) - a) if total[i] != _NONE and both[a + i :] in self.score]
-            i = -max(sums)[1]
-            out += self.trace(both[a : len(s)], back, i)
-            out.append(self.id[both[a + i :]])
-        return out
+        at = enter
+        if first is not None:
+            out += self.segment(both[enter:first])
+            out += self.encode_normal(both[first:last])
+            at = last
+        if leave == 0:
+            return out + self.segment(both[at : len(s)])
+        # the last piece passes the cut: the best beginning for it, then what lies before
+        both = both[at : len(s) + leave]
+        end = len(s) - at
+        total, back = self.best(both[:end])
+        _, i = max((total[i] + self.score[both[i:]], -i) for i in range(end) if total[i] != _NONE and both[i:] in self.score)
+        return out + self.trace(both[:end], back, -i) + [self.id[both[-i:]]]
+
+
+_LOADED: dict[str, Pieces] = {}
+
+
+def loaded(path: str) -> Pieces:
+    """The vocabulary with its cache of words, kept while a Python worker lives."""
+    if path not in _LOADED:
+        _LOADED[path] = Pieces(path)
+    return _LOADED[path]
 
 
 def scan(matrices: list[np.ndarray]) -> list[int]:
@@ -287,7 +306,7 @@ _OUT = "n_tokens long, ids array<int>, round_trip boolean"
 
 def _encode_small(kind: str, small: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = loaded(path)
         for batch in batches:
             for part in cut_batch(batch, "text"):
                 flat, lengths, same = [], [], []
@@ -314,7 +333,7 @@ def _encode_giant(kind: str, giant: DataFrame, path: str, chunk: int) -> DataFra
     numbered = cut(giant.select(F.monotonically_increasing_id().alias("at"), "doc_id", "text"), "pieces-giant")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = loaded(path)
         for batch in batches:
             for at, text in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist()):
                 own = list(model.chunks(model.normal(text), chunk))
@@ -323,7 +342,7 @@ def _encode_giant(kind: str, giant: DataFrame, path: str, chunk: int) -> DataFra
     chunks = cut(numbered.mapInArrow(split, "at long, k int, s string, over string").repartition("at", "k"), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = loaded(path)
         for batch in batches:
             m = [model.matrix(s, o, model.longest - 1 if k else 0).ravel().tolist() for s, o, k in zip(batch.column("s").to_pylist(), batch.column("over").to_pylist(), batch.column("k").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("k"), pa.array(m, pa.list_(pa.float64()))], ["at", "k", "m"])
@@ -339,7 +358,7 @@ def _encode_giant(kind: str, giant: DataFrame, path: str, chunk: int) -> DataFra
     picked = chunks.mapInArrow(matrices, "at long, k int, m array<double>").groupBy("at").applyInPandas(states, "at long, k int, enter int, leave int")
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = loaded(path)
         for batch in batches:
             ids = [model.chunk_ids(s, o, a, b) for s, o, a, b in zip(*(batch.column(c).to_pylist() for c in ("s", "over", "enter", "leave")))]
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["at", "k", "ids"])
@@ -348,7 +367,7 @@ def _encode_giant(kind: str, giant: DataFrame, path: str, chunk: int) -> DataFra
     whole = traced.groupBy("at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = loaded(path)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             same = [model.decode(i) == t for i, t in zip(ids, batch.column("text").to_pylist())]
@@ -375,7 +394,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = loaded(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if i is None else model.decode(i) for i in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 

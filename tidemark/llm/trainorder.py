@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, pieces, shared_dir, table
-from tidemark.llm.pieces import Pieces, vocabulary_path
+from tidemark.llm.pieces import loaded, vocabulary_path
 
 SEQUENCE, SHARD_ROWS, KEY, ROUNDS = 256, 8192, 20_240_229, 6
 PAD, END = 0, 2
@@ -87,7 +87,7 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, sequence: int = SEQU
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = Pieces(vocabulary), 0
+        model, n = loaded(vocabulary), 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 n += sum(len(model.encode(t or "")) // sequence + 1 for t in part.column("text").to_pylist())
@@ -100,7 +100,7 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, sequence: int = SEQU
         total += counts[part]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part_id = Pieces(vocabulary), TaskContext.get().partitionId()
+        model, part_id = loaded(vocabulary), TaskContext.get().partitionId()
         at = starts.get(part_id, 0)
         for batch in batches:
             for part in pieces(batch, "text"):
