@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import blocks, decontaminate, hashtree, langid, pieces, ppm, simhash, toxicity, trainorder
+from tidemark.llm import blocks, chroma, decontaminate, hashtree, langid, pieces, ppm, simhash, toxicity, trainorder
 
 QUERIES = {
     "op1_block_lstm": blocks.op1,
     "op2_max_plus_pieces": pieces.op2,
+    "op3_chroma": chroma.op3,
     "op4_ppm_score": ppm.op4,
     "op5_hash_tree": hashtree.op5,
     "op6_training_order": trainorder.op6,
