@@ -1,0 +1 @@
+"""Plan rewrites that Catalyst doesn't make by itself."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import queries
+
+QUERIES: dict = {**queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL}
