@@ -1,0 +1 @@
+"""Causal operators on streams of blocks."""
