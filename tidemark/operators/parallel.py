@@ -51,6 +51,7 @@ def run_jobs(spark: SparkSession, f: Callable, inputs: Sequence, parts: int | No
             yield pd.DataFrame(rows, columns=["i", "value", "error_type", "error_message", "error_trace"])
 
     out = spark.range(0, len(jobs), 1, parts or max(1, min(len(jobs), spark.sparkContext.defaultParallelism))).mapInPandas(work, "i long, value double, error_type string, error_message string, error_trace string")
+    out = out.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # pandas hands NaN over as null
     if reraise:
         bad = out.where(F.col("error_type").isNotNull()).orderBy("i").limit(1).collect()
         if bad:
