@@ -1,15 +1,19 @@
-"""Training-order materialisation (operator 6): token sequences in a keyed pseudo-random order, as fixed-stride shards.
-
-Documents become token ids (the pieces of operator 2 and an end id) and are cut into sequences of ``SEQUENCE`` ids; a
-document's last sequence is padded in the files. Sequences are numbered as they are read; a keyed Feistel permutation
-of a power-of-four domain, walked until it falls below the number of sequences, gives each number its global slot:
-a bijection that any reader can compute or invert from (key, total) alone. Slot s lies in shard s div ``SHARD_ROWS`` at
-byte (s mod ``SHARD_ROWS``) * stride, so training reads shards from front to back and resumes at any slot by one seek.
-
-Two passes over the texts: the first counts sequences by partition (that fixes every number), the second writes. The
-second checks its counts against the first; the input must read the same twice (files, or a table made by ``cut``).
-Sequences are partitioned by shard, a range of slots, sorted, and streamed to files; a file is written under another
-name and moved, so a task that runs again after an executor was lost just writes the same file again.
+"""Training-order materialisation (operator 6): text sequences in a keyed pseudo-random order, as fixed-stride shards
+of token ids.
+
+A sequence is a window of ``WINDOW`` code points of a document (a short document is one; windows joined are the text).
+Sequences are numbered as they are read; a keyed Feistel permutation of a power-of-four domain, walked until it falls
+below the number of sequences, gives each number its global slot: a bijection that any reader can compute or invert from
+(key, total) alone. Slot s lies in shard s div ``SHARD_ROWS``. A shard holds its sequences' tokens (a public byte-level
+BPE, an end id behind a document's last window) in order of slot, packed into records of ``RECORD`` ids of two bytes;
+only its last record is padded. Training reads shards from front to back and resumes at any record by one seek; the
+result says where each sequence's tokens begin.
+
+The number of windows needs the lengths of the texts only, so a first, cheap aggregate (by partition) fixes every number
+and each text is tokenised once, behind the shuffle. The second pass checks its counts against the first; the input must
+read the same twice (files, or a table made by ``cut``). Windows are partitioned by shard, a range of slots, sorted, and
+streamed to files; a file is written under another name and moved, so a task that runs again after an executor was lost
+just writes the same file again.
 
 Defined cases: null or empty text is one sequence with only the end id; repeated rows are sequences of their own; an
 empty table gives no shards. Only doc_id and text are read.
@@ -17,6 +21,7 @@ empty table gives no shards. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 import zlib
@@ -29,10 +34,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, pieces, shared_dir, table
-from tidemark.llm.pieces import loaded, vocabulary_path
 
-SEQUENCE, SHARD_ROWS, KEY, ROUNDS = 256, 8192, 20_240_229, 6
-PAD, END = 0, 2
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WINDOW, RECORD, SHARD_ROWS, KEY, ROUNDS = 1000, 256, 4096, 20_240_229, 6
+#: Ids that the vocabulary leaves free.
+END, PAD = 50_256, 50_257
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+class Tokens:
+    """Token ids of texts by a public vocabulary."""
+
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("shards", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(text)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.encoding.decode([i for i in ids if i < END])
+
+
+_LOADED: dict[str, Tokens] = {}
+
+
+def loaded(path: str) -> Tokens:
+    """The vocabulary, kept while a Python worker lives."""
+    if path not in _LOADED:
+        _LOADED[path] = Tokens(path)
+    return _LOADED[path]
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -77,79 +117,76 @@ def indices_of(slots: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def materialise(docs: DataFrame, path: str, key: int = KEY, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS, vocabulary: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, path: str, key: int = KEY, window: int = WINDOW, record: int = RECORD, shard_rows: int = SHARD_ROWS, vocabulary: str | None = None) -> DataFrame:
     """Write the shards below ``path`` when the result is computed; one row for each sequence: doc_id, seq_no (in its
-    document), seq_index, slot, shard, byte_offset, n_tokens (without padding), token_crc32 (of the record in the file)."""
+    document), seq_index, slot, shard, token_start (in its shard), n_tokens (with the end id), token_crc32 (of its ids)."""
     vocabulary = vocabulary or vocabulary_path()
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n = loaded(vocabulary), 0
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                n += sum(len(model.encode(t or "")) // sequence + 1 for t in part.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
-
-    counts = dict(tuple(r) for r in narrow.mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n")).collect())
+    windows = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / window)).cast("long")
+    counts = dict(tuple(r) for r in narrow.select(F.spark_partition_id().alias("part"), windows.alias("n")).groupBy("part").agg(F.sum("n")).collect())
     total, starts = 0, {}
     for part in sorted(counts):
         starts[part] = total
         total += counts[part]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part_id = loaded(vocabulary), TaskContext.get().partitionId()
+        part_id = TaskContext.get().partitionId()
         at = starts.get(part_id, 0)
         for batch in batches:
             for part in pieces(batch, "text"):
-                owner, seq, n, tokens = [], [], [], []
+                owner, seq, last, texts = [], [], [], []
                 for row, t in enumerate(part.column("text").to_pylist()):
-                    ids = np.array([*model.encode(t or ""), END], "<u2")
-                    for k in range(0, len(ids), sequence):
-                        own = ids[k : k + sequence]
-                        owner.append(row)
-                        seq.append(k // sequence)
-                        n.append(len(own))
-                        tokens.append(own.tobytes())
+                    own = [t[k : k + window] for k in range(0, len(t), window)] if t else [""]
+                    owner += [row] * len(own)
+                    seq += range(len(own))
+                    last += [False] * (len(own) - 1) + [True]
+                    texts += own
                 index = np.arange(at, at + len(owner))
                 at += len(owner)
                 slot = slots_of(index, total, key)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner, pa.int32())), pa.array(seq, pa.int32()), pa.array(index), pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner, pa.int32())), pa.array(seq, pa.int32()), pa.array(index), pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(last), pa.array(texts, pa.string())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "last", "text"])
         if at - starts.get(part_id, 0) != counts.get(part_id, 0):
             raise RuntimeError(f"partition {part_id} had {counts.get(part_id, 0)} sequences when counted, {at - starts.get(part_id, 0)} when written: the input does not read the same twice")
 
-    stride = 2 * sequence
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(path)
-        now, sink, temporary = None, None, ""
+        model = loaded(vocabulary)
+        now, sink, temporary, held = None, None, "", 0
 
         def close() -> None:
             if sink is not None:
+                sink.write(np.full(-held % record, PAD, "<u2").tobytes())
                 sink.close()
                 files.move(temporary, f"{root}/shard-{now:08d}.bin")
 
         files.create_dir(root, recursive=True)
         for batch in batches:
-            crc = []
-            for s, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist()):
+            start, n, crc = [], [], []
+            for s, text, last in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), batch.column("last").to_pylist()):
                 if s != now:
                     close()
-                    now, temporary = s, f"{root}/.shard-{s:08d}-{uuid.uuid4().hex}"
+                    now, held, temporary = s, 0, f"{root}/.shard-{s:08d}-{uuid.uuid4().hex}"
                     sink = files.open_output_stream(temporary)
-                record = tokens.ljust(stride, b"\0")
-                crc.append(zlib.crc32(record))
-                sink.write(record)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no", "seq_index", "slot", "shard")), pa.array([x % shard_rows * stride for x in batch.column("slot").to_pylist()], pa.int64()), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "byte_offset", "n_tokens", "token_crc32"])
+                ids = model.encode(text)
+                if last:
+                    ids.append(END)
+                raw = np.array(ids, "<u2").tobytes()
+                sink.write(raw)
+                start.append(held)
+                n.append(len(ids))
+                crc.append(zlib.crc32(raw))
+                held += len(ids)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no", "seq_index", "slot", "shard")), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "token_start", "n_tokens", "token_crc32"])
         close()
 
-    ordered = narrow.mapInArrow(number, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, n_tokens int, tokens binary").repartition("shard").sortWithinPartitions("shard", "slot")
-    write_plan(path, {"sequences": total, "sequence": sequence, "stride": stride, "shard_rows": shard_rows, "key": key, "pad": PAD, "end": END, "dtype": "<u2"})
-    return ordered.mapInArrow(write, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, byte_offset long, n_tokens int, token_crc32 long")
+    ordered = narrow.mapInArrow(number, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, last boolean, text string").repartition("shard").sortWithinPartitions("shard", "slot")
+    write_plan(path, {"sequences": total, "shards": -(-total // shard_rows), "window": window, "record": record, "stride": 2 * record, "shard_rows": shard_rows, "key": key, "pad": PAD, "end": END, "dtype": "<u2"})
+    return ordered.mapInArrow(write, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, token_start long, n_tokens int, token_crc32 long")
 
 
 def write_plan(path: str, plan: dict) -> None:
@@ -161,22 +198,19 @@ def write_plan(path: str, plan: dict) -> None:
         sink.write(json.dumps(plan).encode())
 
 
-def read_slots(path: str, slot: int, n: int) -> np.ndarray:
-    """``n`` sequences from ``slot`` on, as rows of ids: sequential reads that can begin anywhere."""
+def read_records(path: str, shard: int = 0, first: int = 0) -> Iterator[np.ndarray]:
+    """Records from one on, to the end of the last shard: sequential reads that can begin anywhere."""
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(path)
     with files.open_input_stream(f"{root}/order.json") as source:
         plan = json.loads(source.read())
-    out, n = [], min(n, plan["sequences"] - slot)
-    while n > 0:
-        shard, row = divmod(slot, plan["shard_rows"])
-        rows = min(n, plan["shard_rows"] - row)
-        with files.open_input_file(f"{root}/shard-{shard:08d}.bin") as source:
-            source.seek(row * plan["stride"])
-            out.append(np.frombuffer(source.read(rows * plan["stride"]), plan["dtype"]).reshape(rows, -1))
-        slot, n = slot + rows, n - rows
-    return np.concatenate(out) if out else np.zeros((0, plan["sequence"]), plan["dtype"])
+    for s in range(shard, plan["shards"]):
+        with files.open_input_file(f"{root}/shard-{s:08d}.bin") as source:
+            source.seek(first * plan["stride"])
+            while raw := source.read(plan["stride"] * 1024):
+                yield from np.frombuffer(raw, plan["dtype"]).reshape(-1, plan["record"])
+        first = 0
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
