@@ -41,7 +41,7 @@ from tidemark.llm.common import bounded_batches, cut, table
 RATE, FRAME, HOP = 4000, 1024, 512
 LOW, HIGH = 55.0, 1760.0
 WINDOW = 12
-EVERY, OVERLAP, BIT_ERROR, HOT, SALTS = 50, 16, 0.25, 500, 16
+EVERY, OVERLAP, BIT_ERROR, HOT, SALTS = 50, 24, 0.2, 500, 16
 #: The filters: (kind, first pitch class, pitch classes, frames). Kinds compare halves of a rectangle: by pitch (0), by
 #: time (1), quarters crosswise (2), the middle third by pitch (3) or time (4).
 FILTERS = ((0, 0, 12, 12), (0, 0, 6, 8), (0, 6, 6, 8), (0, 3, 6, 4), (1, 0, 12, 12), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (2, 0, 12, 12), (2, 0, 6, 8), (2, 6, 6, 8), (3, 0, 12, 8), (3, 0, 6, 6), (3, 6, 6, 6), (4, 0, 6, 12), (4, 6, 6, 12))

@@ -222,7 +222,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.lattice = model, Lattice(model.path)
-        self.tokens = TokenTable(self._rows, len(model.langs) + 1)
+        self.tokens = TokenTable(self._rows, len(model.langs) + 1, 200_000)
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         owner, words = [], []

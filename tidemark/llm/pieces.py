@@ -42,7 +42,7 @@ MARK = "▁"
 #: Letters of a chunk. Longer texts are scanned in parallel.
 CHUNK = 32_768
 #: Words longer than this aren't cached; words in the cache (about 250 bytes each).
-LONG, CACHE = 48, 700_000
+LONG, CACHE = 48, 500_000
 _NONE = float("-inf")
 
 
