@@ -22,6 +22,18 @@ BLOCK = 10_000
 _SUB = 128
 
 
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """Views of a list column's rows as float arrays, without Python numbers; null rows are empty."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b].astype(float, copy=False) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def listed(rows: list[np.ndarray]) -> pa.Array:
+    """The inverse."""
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+
+
 def to_blocks(signal: DataFrame, length: int = BLOCK) -> DataFrame:
     """(channel, block, samples): a dense signal as arrays."""
     block = F.floor(F.col("t") / length).cast("long").alias("block")
@@ -95,8 +107,8 @@ def sos_blocks(blocks: DataFrame, sos: np.ndarray, reverse: bool = False, settle
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z, first, n = [], [], []
-            for x in batch.column("samples").to_pylist():
-                x = np.array(x[::-1] if reverse else x, float)
+            for x in arrays(batch.column("samples")):
+                x = x[::-1] if reverse else x
                 z.append(run_sos(sos, x, zero)[1].ravel().tolist())
                 first.append(float(x[0]))
                 n.append(len(x))
@@ -115,10 +127,10 @@ def sos_blocks(blocks: DataFrame, sos: np.ndarray, reverse: bool = False, settle
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, z in zip(batch.column("samples").to_pylist(), batch.column("z").to_pylist()):
-                y = run_sos(sos, np.array(x[::-1] if reverse else x, float), np.array(z).reshape(-1, 2))[0]
-                out.append((y[::-1] if reverse else y).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("block"), pa.array(out, pa.list_(pa.float64()))], ["channel", "block", "samples"])
+            for x, z in zip(arrays(batch.column("samples")), arrays(batch.column("z"))):
+                y = run_sos(sos, x[::-1] if reverse else x, z.reshape(-1, 2))[0]
+                out.append(y[::-1] if reverse else y)
+            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("block"), listed(out)], ["channel", "block", "samples"])
 
     states = blocks.mapInArrow(ends, "channel long, block long, end array<double>, first double, n long").groupBy("channel").applyInPandas(scan, "channel long, block long, z array<double>")
     return blocks.join(states, ["channel", "block"]).select("channel", "block", "samples", "z").mapInArrow(run, "channel long, block long, samples array<double>")
@@ -171,11 +183,10 @@ def block_apply(blocks: DataFrame, f: Callable[[np.ndarray], np.ndarray], guard:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, a, b in zip(*(batch.column(c).to_pylist() for c in ("samples", "_left", "_right"))):
-                a, b = a or [], b or []
-                y = f(np.array([*a, *x, *b], float))
-                out.append(np.asarray(y)[len(a) : len(a) + len(x)].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("block"), pa.array(out, pa.list_(pa.float64()))], ["channel", "block", "samples"])
+            for x, a, b in zip(*(arrays(batch.column(c)) for c in ("samples", "_left", "_right"))):
+                y = f(np.concatenate((a, x, b)))
+                out.append(np.asarray(y, float)[len(a) : len(a) + len(x)])
+            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("block"), listed(out)], ["channel", "block", "samples"])
 
     return blocks.select("channel", "block", "samples", "_left", "_right").mapInArrow(run, "channel long, block long, samples array<double>")
 
@@ -238,9 +249,8 @@ def multitaper_psd(signal: DataFrame, fs: float, nw: float = 4.0, block: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(c, x) for c, x in zip(batch.column("channel").to_pylist(), batch.column("samples").to_pylist()) if len(x) == block]
+            keep = [(c, x) for c, x in zip(batch.column("channel").to_pylist(), arrays(batch.column("samples"))) if len(x) == block]
             for c, x in keep:
-                x = np.array(x, float)
                 spectra = np.abs(np.fft.rfft(v * (x - x.mean()), axis=1)) ** 2
                 power = (lam[:, None] * spectra).sum(axis=0) / lam.sum() / fs
                 power[1:-1] *= 2
@@ -286,11 +296,10 @@ def upsample_sinc(signal: DataFrame, r: int, block: int = BLOCK, guard: int = 25
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, a, b in zip(*(batch.column(c).to_pylist() for c in ("samples", "_left", "_right"))):
-                a, b = a or [], b or []
-                y = np.fft.irfft(np.fft.rfft(np.array([*a, *x, *b], float)), (len(a) + len(x) + len(b)) * r) * r
-                out.append(y[len(a) * r : (len(a) + len(x)) * r].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("block"), pa.array(out, pa.list_(pa.float64()))], ["channel", "block", "samples"])
+            for x, a, b in zip(*(arrays(batch.column(c)) for c in ("samples", "_left", "_right"))):
+                y = np.fft.irfft(np.fft.rfft(np.concatenate((a, x, b))), (len(a) + len(x) + len(b)) * r) * r
+                out.append(y[len(a) * r : (len(a) + len(x)) * r])
+            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("block"), listed(out)], ["channel", "block", "samples"])
 
     blocks = to_blocks(signal, block)
     tail = blocks.select("channel", (F.col("block") + 1).alias("block"), F.slice("samples", -F.least(F.lit(guard), F.size("samples")), F.lit(guard)).alias("_left"))
