@@ -211,3 +211,53 @@ def export_map(sites_: DataFrame, amplifier_channels: int) -> DataFrame:
     """A row for each amplifier channel: its site, or that it has no electrode."""
     every = sites_.sparkSession.range(amplifier_channels).withColumnRenamed("id", "channel")
     return every.join(F.broadcast(sites_), "channel", "left").withColumn("kind", F.when(F.col("row").isNull(), "no_electrode").otherwise("electrode_data"))
+
+
+def triangulation(points) -> list[tuple[int, int, int]]:
+    """Delaunay triangles of a few points (y, x), by Bowyer and Watson's insertion."""
+    import numpy as np
+
+    p = np.asarray(points, float)
+    span = max(1.0, float(np.ptp(p, axis=0).max())) * 1e3
+    mid = p.mean(axis=0)
+    p = np.concatenate((p, mid + span * np.array([[-1, -1], [-1, 3], [3, -1]])))
+    n = len(p) - 3
+
+    def holds(t: tuple[int, int, int], q: np.ndarray) -> bool:
+        a, b, c = (p[i] - q for i in t)
+        m = np.array([[*v, v @ v] for v in (a, b, c)])
+        turn = (p[t[1]] - p[t[0]])[0] * (p[t[2]] - p[t[0]])[1] - (p[t[1]] - p[t[0]])[1] * (p[t[2]] - p[t[0]])[0]
+        return np.linalg.det(m) * np.sign(turn) > 1e-9
+
+    triangles = {(n, n + 1, n + 2)}
+    for k in range(n):
+        bad = {t for t in triangles if holds(t, p[k])}
+        edges: dict = {}
+        for t in bad:
+            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
+                edges[frozenset(e)] = edges.get(frozenset(e), 0) + 1
+        triangles -= bad
+        triangles |= {(*sorted(e), k) for e, m in edges.items() if m == 1}
+    return [t for t in triangles if max(t) < n]
+
+
+def interpolate(signal: DataFrame, sites_: DataFrame, grid_points: Sequence[tuple[float, float]]) -> DataFrame:
+    """Linear interpolation of scattered electrodes (channel, y, x) at points: (t, point, value). The weights of each
+    point's triangle depend on the map alone; the signal meets them in a broadcast join and one aggregate. Points outside
+    the electrodes' hull have no value."""
+    import numpy as np
+
+    own = sites_.select("channel", "y", "x").orderBy("channel").collect()
+    p = np.array([(r.y, r.x) for r in own])
+    weights = []
+    for k, q in enumerate(grid_points):
+        for t in triangulation(p):
+            m = np.array([[p[t[0]][0] - p[t[2]][0], p[t[1]][0] - p[t[2]][0]], [p[t[0]][1] - p[t[2]][1], p[t[1]][1] - p[t[2]][1]]])
+            if abs(np.linalg.det(m)) < 1e-12:
+                continue
+            a, b = np.linalg.solve(m, np.asarray(q, float) - p[t[2]])
+            if min(a, b, 1 - a - b) >= -1e-9:
+                weights += [(k, own[i].channel, float(w)) for i, w in zip(t, (a, b, 1 - a - b))]
+                break
+    table = sites_.sparkSession.createDataFrame(weights, "point long, channel long, w double")
+    return signal.join(F.broadcast(table), "channel").groupBy("t", "point").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
