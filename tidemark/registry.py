@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import numeric, queries  # noqa: F401 (numeric registers its queries)
+from tidemark.plans import more, numeric, queries  # noqa: F401 (modules register their queries)
 
 QUERIES: dict = {**queries.QUERIES}
 ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL}
