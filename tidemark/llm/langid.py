@@ -16,6 +16,7 @@ from (no labelled rows, empty table); repeated rows are scored each; only doc_id
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,34 +54,33 @@ class Lattice:
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = ["", *(sp.id_to_piece(i) for i in ids)]
         self.size = len(self.pieces)
+        self.single = {p for p in self.pieces if len(p) == 1}
+        if self.size > 65_536:
+            raise ValueError("arcs hold pieces in 16 bits")
         self.known: dict[str, int] = {p: k for k, p in enumerate(self.pieces) if k}
         for p in self.pieces[1:]:  # ends of pieces: a search that grows to the left stops where no piece can end so
             for k in range(1, len(p)):
                 self.known.setdefault(p[k:], -1)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, start, end, piece) of every arc, words in order and ends ascending."""
-        get, word, start, end, piece = self.known.get, [], [], [], []
+        """(word, start, end, piece) of every arc, words in order and ends ascending. Each arc is packed in one number while
+        it is collected: 13 bits for a place in a word, 16 for a piece."""
+        get, single, packed = self.known.get, self.single, array("q")
+        push = packed.append
         for number, w in enumerate(words):
             for j in range(1, len(w) + 1):
-                i, none = j - 1, True
+                at, i = number << 42 | j << 29, j - 1
+                if w[i] not in single:
+                    push(at | i << 16)
                 while i >= 0:
                     k = get(w[i:j])
                     if k is None:
                         break
                     if k > 0:
-                        none = none and i < j - 1
-                        word.append(number)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(k)
+                        push(at | i << 16 | k)
                     i -= 1
-                if none:
-                    word.append(number)
-                    start.append(j - 1)
-                    end.append(j)
-                    piece.append(0)
-        return tuple(np.array(x, np.int32) for x in (word, start, end, piece))
+        out = np.frombuffer(packed, np.int64) if packed else np.zeros(0, np.int64)
+        return out >> 42, (out >> 16) & 8191, (out >> 29) & 8191, out & 65535
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.lattice = model, Lattice(model.path)
-        self.tokens = TokenTable(self._rows, len(model.langs) + 1, 200_000)
+        self.tokens = TokenTable(self._rows, len(model.langs) + 1, 300_000)
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         owner, words = [], []
