@@ -87,9 +87,10 @@ def drop_cut(df: DataFrame) -> None:
 
 
 class TokenTable:
-    """Rows of numbers for tokens, worked out once while the token stays in a cache of at most ``most`` tokens.
+    """Rows of numbers for tokens, worked out once while the token stays in a cache of about ``most`` tokens.
 
-    ``compute`` gives an array with a row of ``width`` numbers for each token of a list.
+    ``compute`` gives an array with a row of ``width`` numbers for each token of a list. When the cache is full, the more
+    used half stays.
     """
 
     def __init__(self, compute, width: int, most: int = 300_000) -> None:
@@ -98,23 +99,32 @@ class TokenTable:
 
     def clear(self) -> None:
         self.index: dict = {}
-        self.values = np.zeros((1024, self.width))
+        self.values, self.uses = np.zeros((1024, self.width)), np.zeros(1024, np.int64)
+
+    def _shrink(self) -> None:
+        n = len(self.index)
+        keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[: self.most // 2])
+        names = list(self.index)
+        self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.values, self.uses = self.values[keep], self.uses[keep] // 2
 
     def ids(self, tokens: list) -> np.ndarray:
-        """The row number of each token in ``values``."""
+        """The row number of each token in ``values`` (which a later call may replace)."""
         ids = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
         missing = np.flatnonzero(ids < 0)
         if len(missing):
             new = list(dict.fromkeys([tokens[i] for i in missing.tolist()]))
-            if len(self.index) + len(new) > self.most and self.index:
-                self.clear()
+            if len(self.index) + len(new) > self.most and len(self.index) > self.most // 2:
+                self._shrink()
                 return self.ids(tokens)
             rows, n = self.compute(new), len(self.index)
             if n + len(new) > len(self.values):
                 self.values = np.concatenate((self.values[:n], np.zeros((n + 2 * len(new), self.width))))
+                self.uses = np.concatenate((self.uses[:n], np.zeros(n + 2 * len(new), np.int64)))
             self.values[n : n + len(new)] = rows
             self.index.update(zip(new, range(n, n + len(new))))
-            ids[missing] = np.fromiter((self.index[tokens[i]] for i in missing.tolist()), np.int64, len(missing))
+            ids[missing] = np.fromiter(map(self.index.__getitem__, [tokens[i] for i in missing.tolist()]), np.int64, len(missing))
+        self.uses[: len(self.index)] += np.bincount(ids, minlength=len(self.index))
         return ids
 
 

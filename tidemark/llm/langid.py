@@ -54,33 +54,42 @@ class Lattice:
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = ["", *(sp.id_to_piece(i) for i in ids)]
         self.size = len(self.pieces)
-        self.single = {p for p in self.pieces if len(p) == 1}
         if self.size > 65_536:
             raise ValueError("arcs hold pieces in 16 bits")
-        self.known: dict[str, int] = {p: k for k, p in enumerate(self.pieces) if k}
-        for p in self.pieces[1:]:  # ends of pieces: a search that grows to the left stops where no piece can end so
-            for k in range(1, len(p)):
-                self.known.setdefault(p[k:], -1)
+        # pieces from their last letter to their first, as a tree of dicts with the piece under "": a search that grows to
+        # the left stops where no piece goes on so
+        self.root: dict = {}
+        for k, p in enumerate(self.pieces):
+            node = self.root
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            if k:
+                node[""] = k
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, start, end, piece) of every arc, words in order and ends ascending. Each arc is packed in one number while
-        it is collected: 13 bits for a place in a word, 16 for a piece."""
-        get, single, packed = self.known.get, self.single, array("q")
-        push = packed.append
-        for number, w in enumerate(words):
-            for j in range(1, len(w) + 1):
-                at, i = number << 42 | j << 29, j - 1
-                if w[i] not in single:
-                    push(at | i << 16)
-                while i >= 0:
-                    k = get(w[i:j])
-                    if k is None:
+        """(word, start, end, piece) of every arc, words in order and ends ascending. Start and piece are packed in one
+        number while arcs are collected; how many there are up to each end tells the rest."""
+        packed, upto, root = array("q"), array("q"), self.root
+        push, mark = packed.append, upto.append
+        for w in words:
+            for i in range(len(w)):
+                node = root.get(w[i])
+                if node is None or "" not in node:
+                    push(i << 16)
+                while node is not None:
+                    k = node.get("")
+                    if k is not None:
+                        push(i << 16 | k)
+                    if not i:
                         break
-                    if k > 0:
-                        push(at | i << 16 | k)
                     i -= 1
+                    node = node.get(w[i])
+                mark(len(packed))
         out = np.frombuffer(packed, np.int64) if packed else np.zeros(0, np.int64)
-        return out >> 42, (out >> 16) & 8191, (out >> 29) & 8191, out & 65535
+        n = np.array([len(w) for w in words], np.int64)
+        each = np.diff(np.frombuffer(upto, np.int64) if upto else np.zeros(0, np.int64), prepend=0)
+        ends = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+        return np.repeat(np.repeat(np.arange(len(words)), n), each), out >> 16, np.repeat(ends, each), out & 65535
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
