@@ -164,6 +164,16 @@ def test_rare_words_meet_their_counts(spark, odd_docs, monkeypatch):
     check_base(rows, [(r.doc_id, r.text) for r in odd_docs.collect()])
 
 
+@pytest.mark.parametrize("most", [0, 1000, 5000])
+def test_grams_outside_the_cache_are_scored_too(spark, sf, odd_docs, monkeypatch, most):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60").union(odd_docs.select("doc_id", "text")).coalesce(4)
+    whole = sorted((str(r.doc_id), r.n_tokens, r.score) for r in ppm.score(docs).collect())
+    monkeypatch.setattr(ppm, "MOST_GRAMS", most)
+    part = sorted((str(r.doc_id), r.n_tokens, r.score) for r in ppm.score(docs).collect())
+    assert len(part) == len(whole) > 11
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-6) for a, b in zip(part, whole))
+
+
 def test_scores_without_training(spark, no_docs):
     assert ppm.score(no_docs).count() == 0
     i = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)

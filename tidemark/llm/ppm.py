@@ -12,8 +12,11 @@ depends on the context alone: each context carries the totals for its suffix wit
 of texts is scored by table look-ups (numpy), an order at a time, for the positions that escaped.
 
 Counts are of the whole training corpus: ``ORDER + 1``-grams are counted in the map tasks, summed by Spark and folded
-to shorter ones. The trie that is sent out has at most ``MOST_GRAMS`` grams an order, the most frequent ones (a bound
-of its size at any input; a gram is only kept if its shorter forms are).
+to shorter ones. All of them are the model; they stay in tables. What is sent out is a cache of it: at most
+``MOST_GRAMS`` grams an order, the most frequent ones, with their contexts' totals over all grams. Where the cache
+can't tell (a gram isn't in it, and its context isn't there with all its symbols), the symbol's code leaves with its
+text's row and meets the tables in shuffled joins, an order at a time, each different code once. Probabilities are
+those of the whole trie at any size of the input.
 
 Base: word counts are summed by Spark. The ``MOST_WORDS`` most frequent words (a proven bound, words of up to 64
 bytes) are looked up where the text is; the rest of a text's words meet their counts in a shuffled join, one row for
@@ -29,6 +32,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -93,14 +97,21 @@ def _groups(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """A pretrained model. ``grams[j]``: (sorted codes of j + 1 symbols, counts)."""
+    """A pretrained model. ``grams[j]``: (sorted codes of j + 1 symbols, counts).
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    ``nodes[j]``, for an order whose grams are not all there: (sorted contexts, totals, kinds, the suffix's totals and
+    kinds without the context's own symbols), counted over all grams; None for an order that is whole.
+    """
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], nodes: list | None = None) -> None:
         self.order = len(grams) - 1
-        self.gram, self.context, self.log_n, self.full, self.node = [], [], [], [], []
+        self.gram, self.context, self.log_n, self.full, self.node, self.whole = [], [], [], [], [], []
         before = None
-        for codes, n in grams:
+        for (codes, n), given in zip(grams, nodes or repeat(None)):
             codes, n = codes.astype(np.uint64), n.astype(np.float64)
+            if given is not None:
+                self._add_part(codes, n, *given)
+                continue
             contexts = codes >> np.uint64(BITS)
             at = _groups(contexts)
             size = np.diff(np.append(at, len(codes)))
@@ -126,11 +137,29 @@ class Trie:
             self.log_n.append(np.log(2 * n - 1).astype(np.float32))
             self.full.append((np.log(2 * n - 1) - np.log(2 * total)[owner]).astype(np.float32))
             self.node.append(np.stack((escape, log_den, log_escape), axis=1) if len(at) else np.zeros((0, 3)))
+            self.whole.append(None)
             before = (found, nodes, n, total, kinds)
         self.floor = -np.log(max(1.0, SYMBOLS - (self.node[0].shape[0] and len(grams[0][0]))))
 
+    def _add_part(self, codes: np.ndarray, n: np.ndarray, contexts: np.ndarray, total: np.ndarray, kinds: np.ndarray, out_total: np.ndarray, out_kinds: np.ndarray) -> None:
+        found, nodes = Table(codes), Table(contexts)
+        owner = nodes.find(codes >> np.uint64(BITS))
+        den = 2.0 * out_total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_den = np.where(den > 0, np.log(den), 0.0)
+            log_escape = np.where(out_kinds > 0, np.log(out_kinds) - np.log(den), 0.0)
+        self.gram.append(found)
+        self.context.append(nodes)
+        self.log_n.append(np.log(2 * n - 1).astype(np.float32))
+        self.full.append((np.log(2 * n - 1) - np.log(2.0 * total)[owner]).astype(np.float32))
+        self.node.append(np.stack((np.log(kinds) - np.log(2.0 * total), log_den, log_escape), axis=1))
+        self.whole.append(np.bincount(owner, minlength=len(contexts)) == kinds)
+
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """ln of the probability of each code's last symbol after the symbols before it (``order`` of them)."""
+        """ln of the probability of each code's last symbol after the symbols before it (``order`` of them).
+
+        NaN where the grams that are here can't tell.
+        """
         out = np.zeros(len(codes))
         left, above = np.arange(len(codes)), np.full(len(codes), -1)  # above: row of the longer context escaped from
         for j in range(self.order, -1, -1):
@@ -147,6 +176,11 @@ class Trie:
             if not len(left):
                 return out
             node = self.context[j].find(own >> np.uint64(BITS))
+            if self.whole[j] is not None:  # only a context with all its symbols shows that a gram is nowhere
+                sure = node >= 0
+                sure[sure] = self.whole[j][node[sure]]
+                out[left[~sure]] = np.nan
+                left, above, node = left[sure], above[sure], node[sure]
             escaped = above >= 0
             if escaped.any():
                 out[left[escaped]] += self.node[j + 1][above[escaped], 2]
@@ -243,8 +277,48 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
-def train(docs: DataFrame, order: int = ORDER) -> tuple[list, DataFrame, int, int, int]:
-    """The trie's grams, the table of word counts (word, n), N and V (both with the end token), and the count of ends."""
+def _mask(symbols: int):
+    return F.lit((1 << (BITS * symbols)) - 1)
+
+
+def contexts_of(levels: list[DataFrame]) -> list[DataFrame]:
+    """For each order: context, total, kinds, and out_total and out_kinds, the suffix's without the context's own symbols."""
+    nodes: list[DataFrame] = []
+    for j, level in enumerate(levels):
+        grams = level.select("code", "n", F.shiftright("code", BITS).alias("context"))
+        if j == 0:
+            nodes.append(cut(grams.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.lit(0).cast("long").alias("out_total"), F.lit(0).cast("long").alias("out_kinds")), "ppm-contexts"))
+            continue
+        shorter = levels[j - 1].select(F.col("code").alias("short"), F.col("n").alias("short_n"))
+        own = grams.withColumn("short", F.col("code").bitwiseAND(_mask(j))).join(shorter, "short").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("short_n").alias("own"))
+        suffix = nodes[-1].select(F.col("context").alias("suffix"), F.col("total").alias("suffix_total"), F.col("kinds").alias("suffix_kinds"))
+        met = own.withColumn("suffix", F.col("context").bitwiseAND(_mask(j - 1))).join(suffix, "suffix")
+        nodes.append(cut(met.select("context", "total", "kinds", (F.col("suffix_total") - F.col("own")).alias("out_total"), (F.col("suffix_kinds") - F.col("kinds")).alias("out_kinds")), "ppm-contexts"))
+    return nodes
+
+
+def settle(codes: DataFrame, levels: list[DataFrame], nodes: list[DataFrame], floor: float) -> DataFrame:
+    """code, value: ln of the probability of each code's last symbol, by the tables (as ``Trie.log_probabilities``)."""
+    state = codes.select("code", F.lit(0.0).alias("value"), F.lit(None).cast("long").alias("out_total"), F.lit(None).cast("long").alias("out_kinds"))
+    done = []
+    for j in range(len(levels) - 1, -1, -1):
+        gram = levels[j].select(F.col("code").alias("own"), "n")
+        node = nodes[j].select("context", "total", "kinds", F.col("out_total").alias("next_total"), F.col("out_kinds").alias("next_kinds"))
+        met = state.withColumn("own", F.col("code").bitwiseAND(_mask(j + 1))).join(gram, "own", "left").withColumn("context", F.shiftright("own", BITS)).join(node, "context", "left")
+        escaped = F.col("out_total").isNotNull()
+        den = F.when(F.col("out_total") > 0, F.log(2.0 * F.col("out_total"))).otherwise(0.0)
+        hit = F.log(2.0 * F.col("n") - 1) - F.when(escaped, den).otherwise(F.log(2.0 * F.col("total")))
+        miss = F.when(escaped, F.when(F.col("out_kinds") > 0, F.log(F.col("out_kinds").cast("double")) - den).otherwise(0.0)).when(F.col("total").isNotNull(), F.log(F.col("kinds").cast("double")) - F.log(2.0 * F.col("total"))).otherwise(0.0)
+        met = cut(met.select("code", F.col("n").isNotNull().alias("hit"), (F.col("value") + F.when(F.col("n").isNotNull(), hit).otherwise(miss)).alias("value"), F.col("next_total").alias("out_total"), F.col("next_kinds").alias("out_kinds")), "ppm-settled")
+        done.append(met.where("hit").select("code", "value"))
+        state = met.where("not hit").drop("hit")
+    done.append(state.select("code", F.col("value") + F.lit(floor)))
+    return reduce(DataFrame.union, done)
+
+
+def train(docs: DataFrame, order: int = ORDER) -> tuple[list, list, list, list, DataFrame, int, int, int]:
+    """The cached grams and contexts, the tables of all grams and contexts (none if the cache holds all), the table of
+    word counts (word, n), N and V (both with the end token), and the count of ends."""
     counted = docs.where(fold("doc_id", FOLDS) != HELD_OUT).select(F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _count(batches, order), "word binary, code long, n long")
     summed = cut(counted.groupBy("word", "code").agg(F.sum("n").alias("n")), "ppm-counts")
     words = summed.where("word is not null").select("word", "n")
@@ -253,16 +327,28 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[list, DataFrame, int, in
     level = summed.where("word is null and code is not null").select("code", "n")
     levels = [level]
     for j in range(order, 0, -1):
-        level = cut(level.groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * j)) - 1)).alias("code")).agg(F.sum("n").alias("n")), "ppm-level")
+        level = cut(level.groupBy(F.col("code").bitwiseAND(_mask(j)).alias("code")).agg(F.sum("n").alias("n")), "ppm-level")
         levels.append(level)
-    grams, floor = [], 1
-    for j, level in enumerate(reversed(levels)):
-        floor = max(floor, least_count(level, MOST_GRAMS)) if j >= 2 else 1  # 256 ** 2 grams of order 1 at most
-        kept = level.where(F.col("n") >= floor).toArrow()
-        code, n = kept.column("code").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-        at = np.argsort(code, kind="stable")
-        grams.append((code[at], n[at]))
-    return grams, words, n_words + ends, kinds + (ends > 0), ends
+    levels.reverse()
+    floors = [1]
+    for j in range(1, order + 1):
+        floors.append(max(floors[-1], least_count(levels[j], MOST_GRAMS)) if j >= 2 else 1)  # 256 ** 2 grams of order 1 at most
+    contexts = contexts_of(levels) if max(floors) > 1 else []
+    grams, nodes = [], []
+    for j, floor in enumerate(floors):
+        code, n = _sorted(levels[j].where(F.col("n") >= floor), "code", "n")
+        grams.append((code, n))
+        # a context is a gram of the order before: no more than MOST_GRAMS have the floor, and the beginning of texts
+        nodes.append(_sorted(contexts[j].where(F.col("total") >= floor), "context", "total", "kinds", "out_total", "out_kinds") if floor > 1 else None)
+    return grams, nodes, levels if contexts else [], contexts, words, n_words + ends, kinds + (ends > 0), ends
+
+
+def _sorted(df: DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
+    """Columns of a small table, by the first (codes)."""
+    rows = df.select(key, *columns).toArrow()
+    code = rows.column(key).to_numpy().view(np.uint64)
+    at = np.argsort(code, kind="stable")
+    return code[at], *(rows.column(c).to_numpy()[at] for c in columns)
 
 
 _BUILT: dict = {}
@@ -270,25 +356,36 @@ _BUILT: dict = {}
 
 def _trie(sent) -> Trie:
     """The trie of a broadcast, built once in a Python worker."""
-    name, grams = sent.value
+    name, grams, nodes = sent.value
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = Trie(grams)
+        _BUILT[name] = Trie(grams, nodes)
     return _BUILT[name]
 
 
-_ROW = "row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
+_ROW = "row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>, far array<struct<code:bigint,n:bigint>>"
+
+
+def _far(codes: np.ndarray, lengths: list[int], at: np.ndarray) -> pa.Array:
+    """For each text, the codes at positions ``at`` and how often each is there."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)[at]
+    order = np.lexsort((codes[at], owner))
+    owner, code = owner[order], codes[at][order]
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])))) if len(at) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(at)))
+    starts = np.concatenate(([0], np.bincount(owner[first], minlength=len(lengths)).cumsum())).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(code[first].view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"]))
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    grams, words, tokens, kinds, ends = train(docs, order)
+    grams, nodes, levels, contexts, words, tokens, kinds, ends = train(docs, order)
     short = words.where(F.length("word") <= WORD_BYTES)
     heavy = short.where(F.col("n") >= least_count(short, MOST_WORDS)).toArrow()
     known = dict(zip(heavy.column("word").to_pylist(), np.log10(heavy.column("n").to_numpy() + 0.5).tolist()))
-    sent, sent_words = spark.sparkContext.broadcast((uuid.uuid4().hex, grams)), spark.sparkContext.broadcast(known)
+    sent, sent_words = spark.sparkContext.broadcast((uuid.uuid4().hex, grams, nodes)), spark.sparkContext.broadcast(known)
     end = float(np.log10(ends + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,14 +409,17 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         if rare[k] is None:
                             rare[k] = Counter()
                         rare[k][flat[i]] += 1
-                logs = sums(model.log_probabilities(codes_of(texts, model.order)), [len(t) + 1 for t in texts]) / np.log(10)
+                codes, lengths = codes_of(texts, model.order), [len(t) + 1 for t in texts]
+                value = model.log_probabilities(codes)
+                logs = sums(np.nan_to_num(value), lengths) / np.log(10)
                 ids = part.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"), ids, pa.array([id_bucket(i, FOLDS) == HELD_OUT for i in ids.to_pylist()]), pa.array([n + 1 for n in counts], pa.int64()), pa.array(seen), pa.array(base), pa.array(logs),
                         pa.array([[{"word": w, "n": n} for w, n in r.items()] if r else [] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                        _far(codes, lengths, np.flatnonzero(np.isnan(value))),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "far"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -328,14 +428,21 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     met = rare.join(words, "word", "left").select("row", "m", F.coalesce("n", F.lit(0)).alias("c"))
     more = met.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"))
     each = float(np.log10(tokens + 0.5 * (kinds + 1)))
-    return scored.drop("rare").join(more, "row", "left").select(
+    out = scored.drop("rare", "far").join(more, "row", "left")
+    if levels:
+        far = cut(scored.select("row", F.inline("far").alias("code", "m")), "ppm-far")
+        values = settle(far.select("code").distinct(), levels, contexts, -float(np.log(max(1, SYMBOLS - len(grams[0][0])))))
+        out = out.join(far.join(values, "code").groupBy("row").agg((F.sum(F.col("m") * F.col("value")) / float(np.log(10))).alias("more_score")), "row", "left")
+    else:
+        out = out.withColumn("more_score", F.lit(0.0))
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
