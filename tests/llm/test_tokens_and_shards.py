@@ -247,6 +247,24 @@ def test_alignment_against_brute_force(recordings, hot):
     assert {r.id: r.class_id for r in members if r.id and 20_000 < r.id < 20_020} == {20_001 + k: 50 * k for k in range(10)}
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.4, 0.5, 0.6])
+def test_recall_up_to_the_bit_error(spark, monkeypatch, noise):
+    rng, prints, want = np.random.default_rng(int(noise * 10)), [], set()
+    for k in range(40):
+        x = chroma.samples_of(chroma.render((rng.standard_normal(64) * 0.125).tolist()))
+        start = int(rng.integers(0, 14)) * chroma.HOP + int(rng.integers(0, 150))
+        a, b = (chroma.integers_of(chroma.chroma_of(y)) for y in (x, x[start:] + noise * rng.standard_normal(len(x) - start)))
+        prints += [(50 * k, a.view(np.int32).tolist()), (10_001 + k, b.view(np.int32).tolist())]
+        for off in range(-len(a), len(b)):
+            lo, hi = max(0, -off), min(len(a), len(b) - off)
+            if hi - lo >= chroma.OVERLAP and np.bitwise_count(a[lo:hi] ^ b[lo + off : hi + off]).mean() / 32 <= chroma.BIT_ERROR:
+                want.add((50 * k, 10_001 + k))
+    monkeypatch.setattr(chroma, "BLOCK_WINDOWS", 700)
+    rows = chroma.align(spark.createDataFrame(prints, "id long, ints array<int>")).where("kind = 'match' and other_class > 10000 and other_class - 10001 = class_id / 50").collect()
+    got = {(r.class_id, r.other_class) for r in rows}
+    assert len(rows) == len(got) and got <= want and len(want) >= 5 and len(got) / len(want) >= 0.9
+
+
 def test_no_recordings(recordings):
     assert chroma.align(chroma.fingerprints(recordings.where("id = 5"))).count() == 0
     assert chroma.render(None) is None and len(chroma.integers_of(chroma.chroma_of(chroma.samples_of(chroma.render([None, float("nan"), 1.0] * 20))))) > 0

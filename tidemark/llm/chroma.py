@@ -7,11 +7,16 @@ answer, quantised to two Gray-coded bits, packs into one integer of 32 bits for
 most of their frames, so similar sound has similar integers.
 
 Alignment: recordings with the same integers are one class, so copies cost one row. The queries are the classes that
-hold an id divisible by ``EVERY``. Keys are single integers, of a run of equal ones (as of silence) the first. A
-query's and a class's equal keys vote for an offset in a histogram; keys with more than ``HOT`` places are split over salted parts on both sides of the join, so no task gathers one. The offset with
-most votes is settled by comparing all the integers that overlap there: a match needs ``OVERLAP`` windows and
-at most ``BIT_ERROR`` of their bits different. Every class is in the index; no candidate is left out. (Recall against
-brute force over all offsets is measured in the tests, with noisy and cut copies: at least 0.9.)
+hold an id divisible by ``EVERY``. An integer's keys are its bits in any three of five blocks, so that a window with
+several wrong bits still shares a key. The queries' keys are sorted and broadcast in blocks of at most
+``BLOCK_WINDOWS`` windows; the classes' windows (of a run of equal integers, as of silence, the first) are looked up
+where they are, in steps of bounded size, so a hot key is never gathered. A place where a key is shared is a candidate
+if the integers there and 12 and 24 windows before and after differ in at most ``NEAR_ERROR`` of their bits. Every
+candidate offset of a pair is settled by comparing all the integers that overlap there: a match needs ``OVERLAP``
+windows and at most ``BIT_ERROR`` of their bits different; of a pair's, the one with fewest is given. Candidates are
+found by keys, so not every alignment near ``BIT_ERROR`` is certain to be found: recall against brute force over all
+offsets is measured in the tests with noisy and cut copies over the whole range up to ``BIT_ERROR`` (at least 0.9).
+The work grows with queries times classes where keys are common, as with the table's random melodies.
 
 The tables have no sound. ``render`` plays an embedding as a melody, a tone for each number, so that the operator has
 recordings of the table's size: that is the query's intended input.
@@ -28,8 +33,11 @@ empty table gives no rows.
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +49,13 @@ from tidemark.llm.common import bounded_batches, cut, table
 RATE, FRAME, HOP = 4000, 1024, 512
 LOW, HIGH = 55.0, 1760.0
 WINDOW = 12
-EVERY, OVERLAP, BIT_ERROR, HOT, SALTS = 50, 24, 0.2, 500, 16
+EVERY, OVERLAP, BIT_ERROR, HOT = 50, 24, 0.2, 500
+#: Bits that may differ around a candidate; windows of the queries that are broadcast at once; shared keys of a step for each of ``hot``.
+NEAR_ERROR, BLOCK_WINDOWS, STEP = 0.2, 250_000, 2000
+NEAR = (-24, -12, 0, 12, 24)
+#: An integer's keys: any three of five blocks of its bits.
+_BLOCKS = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in ((0, 6), (6, 12), (12, 19), (19, 25), (25, 32))]
+KEYS = np.array([sum(x) for x in combinations(_BLOCKS, 3)], np.uint32)
 #: The filters: (kind, first pitch class, pitch classes, frames). Kinds compare halves of a rectangle: by pitch (0), by
 #: time (1), quarters crosswise (2), the middle third by pitch (3) or time (4).
 FILTERS = ((0, 0, 12, 12), (0, 0, 6, 8), (0, 6, 6, 8), (0, 3, 6, 4), (1, 0, 12, 12), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (2, 0, 12, 12), (2, 0, 6, 8), (2, 6, 6, 8), (3, 0, 12, 8), (3, 0, 6, 6), (3, 6, 6, 6), (4, 0, 6, 12), (4, 6, 6, 12))
@@ -182,33 +196,131 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.select("id", "wav").mapInArrow(run, f"id {kind}, ints array<int>")
 
 
+class Windows:
+    """The windows of some recordings in one array, with those around each."""
+
+    def __init__(self, ints: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in ints], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([*ints, np.zeros(0, np.uint32)]).astype(np.uint32)
+        self.owner = np.repeat(np.arange(len(ints)), self.size)
+        self.at = np.arange(len(self.flat)) - self.start[self.owner]
+        self.near, self.there = np.zeros((len(self.flat), len(NEAR)), np.uint32), np.zeros((len(self.flat), len(NEAR)), bool)
+        for k, d in enumerate(NEAR):
+            there = (self.at + d >= 0) & (self.at + d < self.size[self.owner])
+            self.near[there, k], self.there[:, k] = self.flat[np.flatnonzero(there) + d], there
+
+
+class Asked:
+    """A block of queries, its windows sorted by each key."""
+
+    def __init__(self, ints: list[np.ndarray]) -> None:
+        self.windows = Windows(ints)
+        self.order = [np.argsort(self.windows.flat & m, kind="stable").astype(np.int32) for m in KEYS]
+        self.sorted = [(self.windows.flat & m)[o] for m, o in zip(KEYS, self.order)]
+
+    def candidates(self, told: Windows, step: int) -> np.ndarray:
+        """Rows (query, recording of ``told``, offset), each once."""
+        ours, found = self.windows, []
+        first = np.flatnonzero((told.at == 0) | (told.flat != np.roll(told.flat, 1)))
+        for m, order, keys in zip(KEYS, self.order, self.sorted):
+            own = told.flat[first] & m
+            low = np.searchsorted(keys, own, "left")
+            n = np.searchsorted(keys, own, "right") - low
+            total, at = np.cumsum(n), 0
+            while at < len(first):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")))
+                k = n[at:stop]
+                j = np.repeat(first[at:stop], k)
+                i = order[np.repeat(low[at:stop] - (np.cumsum(k) - k), k) + np.arange(len(j))]
+                at = stop
+                offset = told.at[j] - ours.at[i]
+                q, c = ours.owner[i], told.owner[j]
+                long = np.minimum(ours.size[q], told.size[c] - offset) - np.maximum(0, -offset) >= OVERLAP
+                i, j, q, c, offset = i[long], j[long], q[long], c[long], offset[long]
+                both = ours.there[i] & told.there[j]
+                wrong = (np.bitwise_count(ours.near[i] ^ told.near[j]) * both).sum(axis=1, dtype=np.int64)
+                good = wrong <= NEAR_ERROR * 32 * both.sum(axis=1)
+                found.append(np.stack((q[good], c[good], offset[good]), axis=1))
+        return np.unique(np.concatenate([*found, np.zeros((0, 3), np.int64)]), axis=0)
+
+    def matches(self, told: Windows, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best accepted offset of each pair: rows (query, recording, offset), windows, share of different bits."""
+        tried, kept = self.candidates(told, step), []
+        for at in range(0, len(tried), most := max(1, step // 64)):
+            part = tried[at : at + most]
+            q, c, offset = part.T
+            start = np.maximum(0, -offset)
+            n = np.minimum(self.windows.size[q], told.size[c] - offset) - start
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a = self.windows.flat[np.repeat(self.windows.start[q] + start, n) + k]
+            b = told.flat[np.repeat(told.start[c] + start + offset, n) + k]
+            wrong = np.add.reduceat(np.bitwise_count(a ^ b).astype(np.int64), np.cumsum(n) - n)
+            ok = wrong / (32 * n) <= BIT_ERROR
+            kept.append((part[ok], n[ok], (wrong / (32 * n))[ok]))
+        rows, n, error = (np.concatenate(x) for x in zip(*kept)) if kept else (tried, np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((rows[:, 2], np.abs(rows[:, 2]), error, rows[:, 1], rows[:, 0]))
+        rows, n, error = rows[order], n[order], error[order]
+        best = np.ones(len(rows), bool)
+        best[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        return rows[best], n[best], error[best]
+
+
+_ASKED: dict = {}
+
+
+def _ints(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).view(np.uint32) for x in column]
+
+
 def align(prints: DataFrame, every: int = EVERY, hot: int = HOT) -> DataFrame:
-    """Rows (kind, id, class_id, other_class, offset, windows, bit_error) from (id, ints)."""
+    """Rows (kind, id, class_id, other_class, offset, windows, bit_error) from (id, ints).
+
+    ``hot`` bounds how many shared keys are held at once (``STEP`` times as many).
+    """
+    spark = prints.sparkSession
+    bounded_batches(spark)
     prints = cut(prints, "chroma-prints")
     some = prints.where(F.size("ints") > 0)
     classes = some.groupBy("ints").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("query"))
     classes = cut(classes.where("class_id is not null"), "chroma-classes")
     members = prints.join(classes.select("ints", "class_id"), "ints", "left").select(F.lit("member").alias("kind"), "id", "class_id")
-    places = classes.select("class_id", "query", F.posexplode("ints").alias("at", "first"), "ints")
-    fresh = (F.col("at") == 0) | (F.get("ints", F.col("at") - 1) != F.col("first"))
-    keys = places.where(fresh).select("class_id", "query", "at", F.col("first").alias("key"))
-    asked = keys.where("query").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "key")
-    heavy = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("heavy"))
-    salt = F.pmod(F.xxhash64("class_id", "at"), F.lit(SALTS)).cast("int")
-    told = keys.select("class_id", "at", "key").join(heavy, "key", "left").select("class_id", "at", "key", F.when(F.col("heavy"), salt).otherwise(0).alias("salt"))
-    asked = asked.join(heavy, "key", "left").select("q", "q_at", "key", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    votes = asked.join(told, ["key", "salt"]).where("q <> class_id").groupBy("q", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    tried = votes.groupBy("q", "class_id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
-    ints = classes.select("class_id", "ints")
-    both = tried.join(ints, "class_id").withColumnRenamed("ints", "theirs").join(ints.select(F.col("class_id").alias("q"), F.col("ints").alias("ours")), "q")
-    start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("ours"), F.size("theirs") - F.col("offset"))
-    n = F.greatest(F.lit(0), stop - start)
-    mine, other = F.slice("ours", start + 1, n), F.slice("theirs", start + F.col("offset") + 1, n)
-    wrong = F.aggregate(F.zip_with(mine, other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + F.when(x > 32, x - 32).otherwise(x))
-    settled = both.where(n >= OVERLAP).select("q", "class_id", "offset", n.alias("windows"), (wrong / (n * 32)).alias("bit_error")).where(F.col("bit_error") <= BIT_ERROR)
     id_kind = prints.schema["id"].dataType
-    matches = settled.select(F.lit("match").alias("kind"), F.lit(None).cast(id_kind).alias("id"), F.col("q").alias("class_id"), F.col("class_id").alias("other_class"), "offset", "windows", "bit_error")
-    return members.unionByName(matches, allowMissingColumns=True)
+    queries = classes.where("query").select("class_id", "ints")
+    blocks = -(-queries.agg(F.coalesce(F.sum(F.size("ints")), F.lit(0))).first()[0] // BLOCK_WINDOWS)
+    schema = f"kind string, id {id_kind.simpleString()}, class_id {id_kind.simpleString()}, other_class {id_kind.simpleString()}, offset int, windows int, bit_error double"
+    found = [members]
+    for block in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, asked.column("class_id").to_pylist(), [np.array(x, np.int32).view(np.uint32) for x in asked.column("ints").to_pylist()]))
+        matches = classes.select("class_id", "ints").mapInArrow(_matcher(sent, hot * STEP), schema)
+        found.append(cut(matches, "chroma-matches") if blocks > 1 else matches)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def _matcher(sent, step: int):
+    """Matches of the classes of a batch with the queries of a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, ints = sent.value
+        if name not in _ASKED:
+            _ASKED.clear()
+            _ASKED[name] = Asked(ints)
+        asked = _ASKED[name]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                others = part.column("class_id").to_pylist()
+                rows, n, error = asked.matches(Windows(_ints(part.column("ints"))), step)
+                own = np.array([ids[q] != others[c] for q, c in rows[:, :2].tolist()], bool)
+                rows, n, error = rows[own], n[own], error[own]
+                kind = part.column("class_id").type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["match"] * len(rows), pa.string()), pa.nulls(len(rows), kind), pa.array([ids[q] for q in rows[:, 0].tolist()], kind), pa.array([others[c] for c in rows[:, 1].tolist()], kind), pa.array(rows[:, 2].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(error)],
+                    ["kind", "id", "class_id", "other_class", "offset", "windows", "bit_error"],
+                )
+
+    return run
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
