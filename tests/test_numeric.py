@@ -1,10 +1,12 @@
 """Filters, tapers and per-channel numerics against NumPy on the same arrays."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark import registry
 from tidemark.functions import design
 from tidemark.operators import filters, filters_sql, spatial
 
@@ -153,3 +155,20 @@ def test_inpaint_and_raster_fill(spark):
     df = spark.createDataFrame([(0, int(i), int(j), None if mask[i, j] else float(image[i, j])) for i in range(8) for j in range(8)], "t long, row long, col long, value double")
     rows = {(r.row, r.col): r.value for r in spatial.raster_fill(df, 8, 8).collect()}
     assert rows[3, 3] == image[3, 3] and rows[0, 0] == 0
+
+
+def test_whole_signal_is_filtered(spark, tmp_path):
+    x = np.random.default_rng(0).standard_normal((2, 2300)) + 5
+    rows = [(2 * t + c, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=t), "ab"[c], float(x[c, t])) for t in range(x.shape[1]) for c in range(2)]
+    pd.DataFrame(rows, columns=["event_id", "ts", "event_type", "value"]).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+
+    def loop(x, y):
+        out = []
+        for v in x:
+            y = 0.2 * v + 0.8 * y
+            out.append(y)
+        return out
+
+    for name, want in (("first_order_iir_whole", [loop(v, 0.0) for v in x]), ("zero_phase_iir_whole", [loop((f := loop(v, v[0]))[::-1], f[-1])[::-1] for v in x])):
+        got = {(r.channel, r.t): r.value for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert len(got) == x.size and all(abs(got[c, t] - want[c][t]) < 2e-6 for c, t in got)

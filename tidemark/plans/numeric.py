@@ -28,6 +28,20 @@ def zero_phase_iir(spark, sf):
     return rounded(filters.from_blocks(filters.filter_blocks(filters.to_blocks(s, 300), sos), 300), "value")
 
 
+@query()
+def first_order_iir_whole(spark, sf):
+    """``first_order_iir`` without the bound on t that its SQL needs (pow(0.8, -t) overflows)."""
+    sos = np.array([[0.2, 0, 0, 1, -0.8, 0]])
+    return rounded(filters.from_blocks(filters.sos_blocks(filters.to_blocks(tables.signal(spark, sf), 400), sos, settle=False), 400), "value")
+
+
+@query()
+def zero_phase_iir_whole(spark, sf):
+    """``zero_phase_iir`` without the bound on t that its SQL needs."""
+    sos = np.array([[0.2, 0, 0, 1, -0.8, 0]])
+    return rounded(filters.from_blocks(filters.filter_blocks(filters.to_blocks(tables.signal(spark, sf), 300), sos), 300), "value")
+
+
 @query()
 def butter_bandpass(spark, sf):
     return rounded(filters.filter_signal(tables.signal(spark, sf), "butter", lo=30, hi=100, fs=1000, order=3, block=500), "value")
