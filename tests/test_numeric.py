@@ -1,5 +1,7 @@
 """Filters, tapers and per-channel numerics against NumPy on the same arrays."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -172,3 +174,20 @@ def test_whole_signal_is_filtered(spark, tmp_path):
     for name, want in (("first_order_iir_whole", [loop(v, 0.0) for v in x]), ("zero_phase_iir_whole", [loop((f := loop(v, v[0]))[::-1], f[-1])[::-1] for v in x])):
         got = {(r.channel, r.t): r.value for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert len(got) == x.size and all(abs(got[c, t] - want[c][t]) < 2e-6 for c, t in got)
+
+
+def test_multitaper_takes_whole_channels(spark):
+    rng, sizes = np.random.default_rng(0), {0: 700, 1: 37, 2: 1, 3: 3001}
+    series = {c: rng.standard_normal(n) + 3 + 2 * np.sin(0.3 * np.arange(n)) for c, n in sizes.items()}
+    signal = spark.createDataFrame([(c, t + 5, float(x)) for c, v in series.items() for t, x in enumerate(v)], "channel long, t long, value double")
+    got = filters.multitaper_psd(signal, 1000.0).toPandas().sort_values(["channel", "frequency"])
+    assert sorted(got["channel"].unique()) == [0, 1, 2, 3]
+    for c, x in series.items():
+        n, own = len(x), got[got["channel"] == c]
+        m2 = math.ceil(math.sqrt(n))
+        m = m2 * math.ceil(n / m2)
+        v, lam = design.tapers(n, min(4.0, n / 4), 7)
+        want = lam @ np.abs(np.fft.rfft(v * (x - x.mean()), m, axis=1)) ** 2 / lam.sum() / 1000.0
+        want[1 : (m + 1) // 2] *= 2
+        assert np.allclose(own["frequency"], np.fft.rfftfreq(m, 1 / 1000.0))
+        assert np.allclose(own["power"], want, rtol=1e-2 if n > 1024 else 1e-9, atol=1e-4 * want.max() + 1e-12)

@@ -243,20 +243,61 @@ def slepian_projection(signal: DataFrame, bw: float, fs: float = 1.0, w0: float
     return from_blocks(block_apply(to_blocks(signal, block), lambda x: slepian(x, bw, fs, w0)), block)
 
 
-def multitaper_psd(signal: DataFrame, fs: float, nw: float = 4.0, block: int = 1024) -> DataFrame:
-    """(channel, frequency, power): tapered spectra of whole blocks, averaged over tapers and blocks."""
-    v, lam = design.tapers(block, nw, int(2 * nw) - 1)
+#: Tapers of longer series are interpolated from those of this length.
+TAPER = 1024
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [(c, x) for c, x in zip(batch.column("channel").to_pylist(), arrays(batch.column("samples"))) if len(x) == block]
-            for c, x in keep:
-                spectra = np.abs(np.fft.rfft(v * (x - x.mean()), axis=1)) ** 2
-                power = (lam[:, None] * spectra).sum(axis=0) / lam.sum() / fs
-                power[1:-1] *= 2
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(power), pa.int64()), pa.array(np.fft.rfftfreq(block, 1 / fs)), pa.array(power)], ["channel", "frequency", "power"])
-
-    return to_blocks(signal, block).mapInArrow(run, "channel long, frequency double, power double").groupBy("channel", "frequency").agg(F.avg("power").alias("power"))
+
+def tapers_at(t: np.ndarray, n: int, v: np.ndarray) -> np.ndarray:
+    """Values at samples ``t`` of tapers of length ``n``, from ``v`` (tapers x their length); nought beyond the end."""
+    if n == v.shape[1]:
+        out = v[:, np.minimum(t, n - 1)]
+    else:
+        at = (t + 0.5) * (v.shape[1] / n) - 0.5
+        out = np.stack([np.interp(at, np.arange(v.shape[1]), x) for x in v]) * np.sqrt(v.shape[1] / n)
+    return np.where(t < n, out, 0.0)
+
+
+def multitaper_psd(signal: DataFrame, fs: float, nw: float = 4.0) -> DataFrame:
+    """(channel, frequency, power): the tapered spectrum of each channel's whole series, averaged over tapers.
+
+    The transform is made in two steps over the series as a matrix of about sqrt(n) x sqrt(n) (padded with noughts, at
+    most sqrt(n) + 1 of them), so that a task holds a row or a column of it: columns of every m2-th sample, then rows of
+    the results.
+    """
+    bounds = signal.groupBy("channel").agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") + 1).alias("n"), F.avg("value").alias("mean"))
+    shape = bounds.withColumn("m2", F.ceil(F.sqrt("n")).cast("long")).withColumn("m1", F.ceil(F.col("n") / F.col("m2")).cast("long"))
+    long = design.tapers(TAPER, nw, int(2 * nw) - 1)
+    short: dict = {}
+
+    def own(n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n >= TAPER:
+            return long
+        if n not in short:
+            short[n] = design.tapers(n, min(nw, n / 4), int(2 * nw) - 1)
+        return short[n]
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        n, m1, m2, k2 = (int(first[c]) for c in ("n", "m1", "m2", "c"))
+        x = np.zeros(m1)
+        x[((pdf["t"] - pdf["t0"]) // m2).to_numpy(np.int64)] = pdf["value"] - first["mean"]
+        v = tapers_at(m2 * np.arange(m1) + k2, n, own(n)[0])
+        y = np.fft.fft(v * x, axis=1) * np.exp(-2j * np.pi * k2 / (m1 * m2) * np.arange(m1))
+        return pd.DataFrame({"channel": int(first["channel"]), "n": n, "m1": m1, "m2": m2, "c": k2, "r": np.arange(m1), "re": y.real.T.tolist(), "im": y.imag.T.tolist()})
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        n, m1, m2, r = (int(first[c]) for c in ("n", "m1", "m2", "r"))
+        y, lam = np.zeros((m2, len(first["re"])), complex), own(n)[1]
+        y[pdf["c"].to_numpy(np.int64)] = np.stack(pdf["re"].to_list()) + 1j * np.stack(pdf["im"].to_list())
+        power = (np.abs(np.fft.fft(y, axis=0)) ** 2 @ lam) / lam.sum() / fs
+        k, m = r + m1 * np.arange(m2), m1 * m2
+        power[(k > 0) & (2 * k < m)] *= 2
+        return pd.DataFrame({"channel": int(first["channel"]), "frequency": k * fs / m, "power": power})[2 * k <= m]
+
+    placed = signal.join(F.broadcast(shape), "channel").withColumn("c", F.pmod(F.col("t") - F.col("t0"), F.col("m2")))
+    half = placed.groupBy("channel", "c").applyInPandas(lambda pdf: columns(pdf), "channel long, n long, m1 long, m2 long, c long, r long, re array<double>, im array<double>")
+    return half.groupBy("channel", "r").applyInPandas(lambda pdf: rows(pdf), "channel long, frequency double, power double")
 
 
 def ar_whiten(x: np.ndarray, p: int = 50) -> np.ndarray:

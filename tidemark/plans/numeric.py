@@ -74,7 +74,7 @@ def moving_projection(spark, sf):
 
 @query()
 def multitaper_psd(spark, sf):
-    return rounded(filters.multitaper_psd(tables.signal(spark, sf), 1000, 4, 64), "power")
+    return rounded(filters.multitaper_psd(tables.signal(spark, sf), 1000, 4), "power")
 
 
 @query()
