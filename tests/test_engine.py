@@ -1,12 +1,15 @@
 """Slices, guards, masks, triggers, experiments, sources, stores, sessions and jobs."""
 
 import datetime
+import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark import registry
 from tidemark.functions import text
 from tidemark.operators import events, experiment, joining, parallel, reduce, slicing, spatial
 from tidemark.plans.rangejoin import bucketed
@@ -304,3 +307,20 @@ def test_late_events_are_dropped(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert sorted((r.mean, r.n) for r in spark.table("late").collect()) == [(1.0, 1), (2.0, 1)]
+
+
+def test_whole_tables_are_looked_up(spark, tmp_path):
+    value = np.random.default_rng(0).random((2, 60)) * 40
+    events = pd.DataFrame([(2 * t + c + 1, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=t), c, ("click", "view")[c], value[c, t]) for t in range(60) for c in range(2)], columns=["event_id", "ts", "user_id", "event_type", "value"])
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    pd.DataFrame({"s_suppkey": [1, 2, 3]}).to_parquet(tmp_path / "supplier.parquet")
+    pd.DataFrame({"c_custkey": [3, 6]}).to_parquet(tmp_path / "customer.parquet")
+    rows = registry.QUERIES["nearest_channel_whole"](spark, str(tmp_path)).collect()
+    assert len(rows) == 120
+    for r in rows:
+        y, x = value[r.id, r.t] % 7, value[r.id, r.t] % 5
+        far, channel = min((math.hypot(y - c // 8, x - c % 8), c) for c in range(64))
+        assert r.channel == channel and abs(r.distance - far) < 2e-6
+    got = {r.section: r for r in registry.QUERIES["session_table_whole"](spark, str(tmp_path)).collect()}
+    assert {k: (r.click, r.view, r.error) for k, r in got.items()} == {"rec0": ("119", "unknown", "unknown"), "rec1": ("unknown", "120", "unknown")}
+    assert {(r.pin, r.site) for r in registry.QUERIES["pin_chain_whole"](spark, str(tmp_path)).collect()} == {(1, 3), (2, 6), (3, -1)}

@@ -42,6 +42,14 @@ def pin_chain(spark, sf):
     return spatial.connect([first, second]).select("pin", F.coalesce("site", F.lit(-1)).alias("site"))
 
 
+@query()
+def pin_chain_whole(spark, sf):
+    """``pin_chain`` through every customer."""
+    first = tables.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("pin"), (F.col("s_suppkey") * 3 % 1000).alias("next"))
+    second = tables.load(spark, sf, "customer").select(F.col("c_custkey").alias("pin"), F.col("c_custkey").alias("next"))
+    return spatial.connect([first, second]).select("pin", F.coalesce("site", F.lit(-1)).alias("site"))
+
+
 @query("SELECT c_custkey, c_name, regexp_extract(c_name, '#0*([0-9]+)', 1) AS captured FROM customer WHERE regexp_matches(c_name, '#0*([0-9]+)')", mapped=False)
 def regex_capture(spark, sf):
     return text.regex_capture(tables.load(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", "#0*([0-9]+)")

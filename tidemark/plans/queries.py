@@ -150,6 +150,13 @@ def nearest_channel(spark, sf):
     return rounded(joining.nearest(spatial.sites(spark, 8, 8).select("channel", "y", "x"), pts).select("id", "t", "channel", "distance"), "distance")
 
 
+@query()
+def nearest_channel_whole(spark, sf):
+    """``nearest_channel`` for every sample."""
+    pts = tables.signal(spark, sf).select(F.col("channel").alias("id"), "t", (F.col("value") % 7).alias("y"), (F.col("value") % 5).alias("x"))
+    return rounded(joining.nearest(spatial.sites(spark, 8, 8).select("channel", "y", "x"), pts).select("id", "t", "channel", "distance"), "distance")
+
+
 @query("+ s AS (SELECT i::BIGINT AS c, i // 8 AS row, i % 8 AS col FROM range(64) q(i)) SELECT a.c AS p1, b.c AS p2, round(sqrt((a.row - b.row)^2 + (a.col - b.col)^2) * 0.4, 4) + 0.0 AS distance FROM s a JOIN s b ON a.c < b.c")
 def channel_pairs(spark, sf):
     return joining.channel_pairs(spatial.sites(spark, 8, 8), 0.4).withColumn("distance", F.col("distance") + 0.0)
@@ -544,6 +551,14 @@ def session_table(spark, sf):
     return text.session_table(conf, ["click", "error", "purchase", "signup", "view"])
 
 
+@query()
+def session_table_whole(spark, sf):
+    """``session_table`` from every event."""
+    e = tables.load(spark, sf, "events")
+    conf = e.groupBy(F.concat(F.lit("rec"), (F.col("user_id") % 20).cast("string")).alias("section"), F.col("event_type").alias("key")).agg(F.max("event_id").cast("string").alias("value"))
+    return text.session_table(conf, ["click", "error", "purchase", "signup", "view"])
+
+
 @query("SELECT channel, round(100 * (1 - count(*) FILTER (value > 450 OR value < 20) / count(*)), 6) + 0.0 AS yield_pct FROM wide GROUP BY channel")
 def impedance_yield(spark, sf):
     return rounded(text.impedance_yield(tables.wide_signal(spark, sf), ["channel"], 450, 20), "yield_pct")
