@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark import registry
 from tidemark.functions import text
@@ -315,12 +316,35 @@ def test_whole_tables_are_looked_up(spark, tmp_path):
     events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     pd.DataFrame({"s_suppkey": [1, 2, 3]}).to_parquet(tmp_path / "supplier.parquet")
     pd.DataFrame({"c_custkey": [3, 6]}).to_parquet(tmp_path / "customer.parquet")
-    rows = registry.QUERIES["nearest_channel_whole"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["nearest_channel"](spark, str(tmp_path)).collect()
     assert len(rows) == 120
     for r in rows:
         y, x = value[r.id, r.t] % 7, value[r.id, r.t] % 5
         far, channel = min((math.hypot(y - c // 8, x - c % 8), c) for c in range(64))
         assert r.channel == channel and abs(r.distance - far) < 2e-6
-    got = {r.section: r for r in registry.QUERIES["session_table_whole"](spark, str(tmp_path)).collect()}
+    got = {r.section: r for r in registry.QUERIES["session_table"](spark, str(tmp_path)).collect()}
     assert {k: (r.click, r.view, r.error) for k, r in got.items()} == {"rec0": ("119", "unknown", "unknown"), "rec1": ("unknown", "120", "unknown")}
-    assert {(r.pin, r.site) for r in registry.QUERIES["pin_chain_whole"](spark, str(tmp_path)).collect()} == {(1, 3), (2, 6), (3, -1)}
+    assert {(r.pin, r.site) for r in registry.QUERIES["pin_chain"](spark, str(tmp_path)).collect()} == {(1, 3), (2, 6), (3, -1)}
+
+
+def test_silent_and_constant_channels_divide_as_numpy_does(spark):
+    x = np.array([[0.0, 0, 0, 0], [2.0, 2, 2, 2], [1.0, 2, 3, 4]])
+    df = frame(spark, x)
+    for how in ("unity", "center"):
+        got = array(reduce.normalise(df, ["channel"], how))
+        assert np.isnan(got[:2]).all() and np.isfinite(got[2]).all()
+    for how in ("density", "sphere"):
+        got = array(reduce.normalise(df, ["channel"], how))
+        assert np.isnan(got[0]).all() and np.isfinite(got[1:]).all()
+    levels = array(reduce.quantize(df, ["channel"]).select("channel", "t", F.col("level").alias("value")))
+    assert (levels[:2] == 0).all() and levels[2].max() == 255
+    assert reduce.normalise(df.where("t < 0"), ["channel"], "unity").count() == 0
+    one = reduce.normalise(df.where("t = 0"), ["channel"], "center").collect()
+    assert len(one) == 3 and all(np.isnan(r.value) for r in one)
+
+
+def test_trigger_report_of_silent_channels(spark):
+    x = np.array([[0.0, 0, 0, 0, 0, 0], [0.0, 5, 5, 0, 5, 0], [5.0, 5, 5, 5, 5, 5]])
+    got = {r.channel: (r.edges, r.binary) for r in other.trigger_report(frame(spark, x)).collect()}
+    assert got == {0: (0, False), 1: (2, True), 2: (0, True)}
+    assert other.trigger_report(frame(spark, x).where("t < 0")).collect() == []

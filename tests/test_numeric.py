@@ -171,7 +171,7 @@ def test_whole_signal_is_filtered(spark, tmp_path):
             out.append(y)
         return out
 
-    for name, want in (("first_order_iir_whole", [loop(v, 0.0) for v in x]), ("zero_phase_iir_whole", [loop((f := loop(v, v[0]))[::-1], f[-1])[::-1] for v in x])):
+    for name, want in (("first_order_iir", [loop(v, 0.0) for v in x]), ("zero_phase_iir", [loop((f := loop(v, v[0]))[::-1], f[-1])[::-1] for v in x])):
         got = {(r.channel, r.t): r.value for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert len(got) == x.size and all(abs(got[c, t] - want[c][t]) < 2e-6 for c, t in got)
 

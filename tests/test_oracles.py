@@ -42,4 +42,4 @@ def test_same_as_duckdb(name, spark, sf, duck):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(name, spark, sf):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+    assert len(registry.QUERIES[name](spark, sf).collect()) > 0

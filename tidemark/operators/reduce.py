@@ -12,6 +12,12 @@ from pyspark.sql.window import Window
 AXES = {0: ["t"], 1: ["channel"], -1: ["channel"], -2: ["t"], None: []}
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as numpy divides: NaN for 0 / 0, infinity for the rest of / 0; null stays null."""
+    over_zero = F.when((a == 0) | F.isnan(a.cast("double")), F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(b == 0, over_zero).otherwise(a / b)
+
+
 def extreme(how: str, value: str = "value") -> Column:
     """min or max in which NaN wins, as in numpy."""
     nan = F.bool_or(F.isnan(value))
@@ -65,7 +71,7 @@ def roc(null: DataFrame, sig: DataFrame, value: str = "value") -> DataFrame:
     steps = both.groupBy("threshold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = steps.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    return steps.crossJoin(F.broadcast(total)).select("threshold", (F.sum("a").over(above) / F.col("na")).alias("fp"), (F.sum("b").over(above) / F.col("nb")).alias("tp"))
+    return steps.crossJoin(F.broadcast(total)).select("threshold", ratio(F.sum("a").over(above), F.col("na")).alias("fp"), ratio(F.sum("b").over(above), F.col("nb")).alias("tp"))
 
 
 def integrate_roc(points: Sequence[tuple[float, float]]) -> float:
@@ -95,25 +101,27 @@ def _grouped(df: DataFrame, by: Sequence[str], *aggregates: Column) -> DataFrame
 
 
 def normalise(df: DataFrame, by: Sequence[str], how: str, value: str = "value") -> DataFrame:
-    """unity: (x - min) / (max - min); density: x / sum; center: (x - mean) / population sd; sphere: x / norm."""
+    """unity: (x - min) / (max - min); density: x / sum; center: (x - mean) / population sd; sphere: x / norm.
+    A constant or zero group divides by nought, as in numpy: NaN or infinity."""
     x = F.col(value)
     if how == "unity":
-        out, new = _grouped(df, by, F.min(value).alias("_a"), F.max(value).alias("_b")), (x - F.col("_a")) / (F.col("_b") - F.col("_a"))
+        out, new = _grouped(df, by, F.min(value).alias("_a"), F.max(value).alias("_b")), ratio(x - F.col("_a"), F.col("_b") - F.col("_a"))
     elif how == "density":
-        out, new = _grouped(df, by, F.sum(F.when(~F.isnan(value), x)).alias("_a"), F.lit(0).alias("_b")), x / F.col("_a")
+        out, new = _grouped(df, by, F.sum(F.when(~F.isnan(value), x)).alias("_a"), F.lit(0).alias("_b")), ratio(x, F.col("_a"))
     elif how == "center":
-        out, new = _grouped(df, by, F.avg(value).alias("_a"), F.stddev_pop(value).alias("_b")), (x - F.col("_a")) / F.col("_b")
+        out, new = _grouped(df, by, F.avg(value).alias("_a"), F.stddev_pop(value).alias("_b")), ratio(x - F.col("_a"), F.col("_b"))
     elif how == "sphere":
-        out, new = _grouped(df, by, F.sqrt(F.sum(x * x)).alias("_a"), F.lit(0).alias("_b")), x / F.col("_a")
+        out, new = _grouped(df, by, F.sqrt(F.sum(x * x)).alias("_a"), F.lit(0).alias("_b")), ratio(x, F.col("_a"))
     else:
         raise ValueError(how)
     return out.withColumn(value, new).select(*df.columns)
 
 
 def quantize(df: DataFrame, by: Sequence[str] = (), scale: int = 255, value: str = "value") -> DataFrame:
-    """0..scale between a group's least and greatest value, halves to even; ``lo`` and ``hi`` undo it."""
+    """0..scale between a group's least and greatest value, halves to even; ``lo`` and ``hi`` undo it.
+    A constant group is all at level 0."""
     out = _grouped(df, by, F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return out.withColumn("level", F.rint((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * scale).cast("long"))
+    return out.withColumn("level", F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.rint((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * scale)).cast("long"))
 
 
 def rescale(df: DataFrame, scale: int = 255) -> DataFrame:

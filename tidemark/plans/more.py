@@ -22,7 +22,7 @@ def average_oversampled(spark, sf):
     return rounded(other.average_oversampled(tables.signal(spark, sf)), "value")
 
 
-@query("+ lv AS (SELECT channel, t, CASE WHEN value > 300 THEN 5.0 ELSE 0.0 END AS v FROM sig), e AS (SELECT channel, count(*) AS edges FROM (SELECT channel, t, v, lag(v) OVER (PARTITION BY channel ORDER BY t) AS b FROM lv) WHERE v > 2 AND b < 2 GROUP BY channel) SELECT channel, coalesce(edges, 0) AS edges, true AS binary FROM (SELECT DISTINCT channel FROM sig) LEFT JOIN e USING (channel)")
+@query("+ lv AS (SELECT channel, t, CASE WHEN value > 300 THEN 5.0 ELSE 0.0 END AS v FROM sig), e AS (SELECT channel, count(*) AS edges FROM (SELECT channel, t, v, lag(v) OVER (PARTITION BY channel ORDER BY t) AS b FROM lv) WHERE v > 2 AND b < 2 GROUP BY channel) SELECT channel, coalesce(edges, 0) AS edges, two AS \"binary\" FROM (SELECT channel, max(v) > 0 AS two FROM lv GROUP BY channel) LEFT JOIN e USING (channel)")
 def trigger_report(spark, sf):
     two = tables.signal(spark, sf).withColumn("value", F.when(F.col("value") > 300, 5.0).otherwise(0.0))
     return other.trigger_report(two)
@@ -35,16 +35,8 @@ def electrode_export(spark, sf):
     return out.select("channel", "kind", F.coalesce("row", F.lit(-1)).alias("row"), F.coalesce("col", F.lit(-1)).alias("col"))
 
 
-@query("SELECT s_suppkey AS pin, c_custkey AS site FROM (SELECT s_suppkey, s_suppkey * 3 % 1000 AS a FROM supplier) JOIN (SELECT c_custkey AS b, c_custkey FROM customer WHERE c_custkey % 2 = 0) ON a = b UNION ALL SELECT s_suppkey, -1 FROM supplier WHERE s_suppkey * 3 % 1000 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)", mapped=False)
+@query("SELECT s_suppkey AS pin, c_custkey AS site FROM (SELECT s_suppkey, s_suppkey * 3 % 1000 AS a FROM supplier) JOIN (SELECT c_custkey AS b, c_custkey FROM customer) ON a = b UNION ALL SELECT s_suppkey, -1 FROM supplier WHERE s_suppkey * 3 % 1000 NOT IN (SELECT c_custkey FROM customer)", mapped=False)
 def pin_chain(spark, sf):
-    first = tables.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("pin"), (F.col("s_suppkey") * 3 % 1000).alias("next"))
-    second = tables.load(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("pin"), F.col("c_custkey").alias("next"))
-    return spatial.connect([first, second]).select("pin", F.coalesce("site", F.lit(-1)).alias("site"))
-
-
-@query()
-def pin_chain_whole(spark, sf):
-    """``pin_chain`` through every customer."""
     first = tables.load(spark, sf, "supplier").select(F.col("s_suppkey").alias("pin"), (F.col("s_suppkey") * 3 % 1000).alias("next"))
     second = tables.load(spark, sf, "customer").select(F.col("c_custkey").alias("pin"), F.col("c_custkey").alias("next"))
     return spatial.connect([first, second]).select("pin", F.coalesce("site", F.lit(-1)).alias("site"))
@@ -81,11 +73,13 @@ def map_from_mask(spark, sf):
     return spatial.from_mask(grid.withColumn("active", (F.col("row") * 8 + F.col("col")) % 5 != 1))
 
 
-@query("SELECT t, 2 * t AS point, round((v[1] + v[2]) / 2, 6) + 0.0 AS value FROM (SELECT vec_id::BIGINT AS t, embedding::DOUBLE[] AS v FROM embeddings) UNION ALL SELECT vec_id::BIGINT, 2 * vec_id::BIGINT + 1, round((embedding[1] + embedding[9]) / 2, 6) + 0.0 FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)", mapped=False)
+@query("+ p AS (SELECT i, i % 8 + 8 * (i // 8) AS a, 1 AS step FROM range(64) q(i) WHERE i % 8 < 7 UNION ALL SELECT 64 + i, i, 8 FROM range(56) q(i)) SELECT t, i::BIGINT AS point, round((v[a + 1] + v[a + step + 1]) / 2, 6) + 0.0 AS value FROM (SELECT vec_id::BIGINT AS t, embedding::DOUBLE[] AS v FROM embeddings) CROSS JOIN p")
 def interpolate_sites(spark, sf):
-    sites = spatial.sites(spark, 8, 8).where("row + col < 2")
-    out = spatial.interpolate(tables.frames(spark, sf), sites, [(0.0, 0.5), (0.5, 0.0)])
-    return rounded(out.select("t", (F.col("t") * 2 + F.col("point")).alias("point"), "value"), "value")
+    """Halfway between all neighbours in a row (points 0 to 63, none past the last column) and in a column (64 to 119)."""
+    halves = {i: (float(i // 8), i % 8 + 0.5) for i in range(64) if i % 8 < 7} | {64 + i: (i // 8 + 0.5, float(i % 8)) for i in range(56)}
+    out = spatial.interpolate(tables.frames(spark, sf), spatial.sites(spark, 8, 8), list(halves.values()))
+    number = F.element_at(F.array(*[F.lit(k).cast("long") for k in halves]), (F.col("point") + 1).cast("int"))
+    return rounded(out.select("t", number.alias("point"), "value"), "value")
 
 
 @query("SELECT t, level FROM (SELECT t, bool_or(value > 250) AS level FROM sig GROUP BY t)")

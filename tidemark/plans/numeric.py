@@ -14,30 +14,25 @@ from tidemark.sources import tables
 from tidemark.streaming import causal
 
 
-@query("SELECT channel, t, round(0.2 * pow(0.8, t) * sum(value * pow(0.8, -t)) OVER (PARTITION BY channel ORDER BY t), 6) + 0.0 AS value FROM sig WHERE t < 1500")
-def first_order_iir(spark, sf):
-    s = tables.signal(spark, sf).where("t < 1500")
-    sos = np.array([[0.2, 0, 0, 1, -0.8, 0]])
-    return rounded(filters.from_blocks(filters.sos_blocks(filters.to_blocks(s, 400), sos, settle=False), 400), "value")
-
-
-@query("+ f AS (SELECT channel, t, 0.2 * pow(0.8, t) * (sum(value * pow(0.8, -t)) OVER (PARTITION BY channel ORDER BY t) + 4 * first(value) OVER (PARTITION BY channel ORDER BY t)) AS v FROM sig WHERE t < 700), l AS (SELECT channel, max(t) AS m, arg_max(v, t) AS e FROM f GROUP BY channel) SELECT channel, t, round(0.2 * pow(0.8, m - t) * (sum(v * pow(0.8, t - m)) OVER (PARTITION BY channel ORDER BY t DESC) + 4 * e), 6) + 0.0 AS value FROM f JOIN l USING (channel)")
-def zero_phase_iir(spark, sf):
-    s = tables.signal(spark, sf).where("t < 700")
-    sos = np.array([[0.2, 0, 0, 1, -0.8, 0]])
-    return rounded(filters.from_blocks(filters.filter_blocks(filters.to_blocks(s, 300), sos), 300), "value")
+#: A first-order filter in blocks of 200 samples: what an earlier block than the last one adds is below 1e-19 of it.
+_IIR = "SELECT channel, t, t // 200 AS b, 0.2 * pow(0.8, t % 200) * sum(value * pow(0.8, -(t % 200))) OVER (PARTITION BY channel, t // 200 ORDER BY t) AS v FROM {0}"
+_ENDS = "SELECT channel, b + 1 AS b, arg_max(v, t) AS e FROM {0} GROUP BY ALL"
 
 
-@query()
-def first_order_iir_whole(spark, sf):
-    """``first_order_iir`` without the bound on t that its SQL needs (pow(0.8, -t) overflows)."""
+@query(f"+ f AS ({_IIR.format('sig')}), e AS ({_ENDS.format('f')}) SELECT channel, t, round(v + coalesce(pow(0.8, t % 200 + 1) * e, 0), 6) + 0.0 AS value FROM f LEFT JOIN e USING (channel, b)")
+def first_order_iir(spark, sf):
     sos = np.array([[0.2, 0, 0, 1, -0.8, 0]])
     return rounded(filters.from_blocks(filters.sos_blocks(filters.to_blocks(tables.signal(spark, sf), 400), sos, settle=False), 400), "value")
 
 
-@query()
-def zero_phase_iir_whole(spark, sf):
-    """``zero_phase_iir`` without the bound on t that its SQL needs."""
+@query(
+    f"+ f AS ({_IIR.format('sig')}), e AS ({_ENDS.format('f')} UNION ALL SELECT channel, 0, arg_min(value, t) FROM sig GROUP BY channel), "
+    "m AS (SELECT channel, max(t) AS m FROM sig GROUP BY channel), "
+    "back AS (SELECT channel, m - t AS t, v + pow(0.8, t % 200 + 1) * e AS value FROM f JOIN e USING (channel, b) JOIN m USING (channel)), "
+    f"g AS ({_IIR.format('back')}), h AS ({_ENDS.format('g')} UNION ALL SELECT channel, 0, arg_min(value, t) FROM back GROUP BY channel) "
+    "SELECT channel, m - t AS t, round(v + pow(0.8, t % 200 + 1) * e, 6) + 0.0 AS value FROM g JOIN h USING (channel, b) JOIN m USING (channel)"
+)
+def zero_phase_iir(spark, sf):
     sos = np.array([[0.2, 0, 0, 1, -0.8, 0]])
     return rounded(filters.from_blocks(filters.filter_blocks(filters.to_blocks(tables.signal(spark, sf), 300), sos), 300), "value")
 

@@ -144,15 +144,8 @@ def site_lookup(spark, sf):
     return joining.lookup(sites.select("channel", "row", "col"), sites.where("channel % 5 = 0").select("row", "col"))
 
 
-@query("+ p AS (SELECT channel, t, value FROM sig WHERE t < 40), pts AS (SELECT channel AS id, t, (value % 7) AS y, (value % 5) AS x FROM p), s AS (SELECT i::BIGINT AS c, (i // 8)::DOUBLE AS sy, (i % 8)::DOUBLE AS sx FROM range(64) q(i)) SELECT id, t, arg_min(c, (sqrt((y - sy)^2 + (x - sx)^2), c)) AS channel, round(min(sqrt((y - sy)^2 + (x - sx)^2)), 6) + 0.0 AS distance FROM pts CROSS JOIN s GROUP BY id, t")
+@query("+ p AS (SELECT channel, t, value FROM sig), pts AS (SELECT channel AS id, t, (value % 7) AS y, (value % 5) AS x FROM p), s AS (SELECT i::BIGINT AS c, (i // 8)::DOUBLE AS sy, (i % 8)::DOUBLE AS sx FROM range(64) q(i)) SELECT id, t, arg_min(c, (sqrt((y - sy)^2 + (x - sx)^2), c)) AS channel, round(min(sqrt((y - sy)^2 + (x - sx)^2)), 6) + 0.0 AS distance FROM pts CROSS JOIN s GROUP BY id, t")
 def nearest_channel(spark, sf):
-    pts = tables.signal(spark, sf).where("t < 40").select(F.col("channel").alias("id"), "t", (F.col("value") % 7).alias("y"), (F.col("value") % 5).alias("x"))
-    return rounded(joining.nearest(spatial.sites(spark, 8, 8).select("channel", "y", "x"), pts).select("id", "t", "channel", "distance"), "distance")
-
-
-@query()
-def nearest_channel_whole(spark, sf):
-    """``nearest_channel`` for every sample."""
     pts = tables.signal(spark, sf).select(F.col("channel").alias("id"), "t", (F.col("value") % 7).alias("y"), (F.col("value") % 5).alias("x"))
     return rounded(joining.nearest(spatial.sites(spark, 8, 8).select("channel", "y", "x"), pts).select("id", "t", "channel", "distance"), "distance")
 
@@ -345,7 +338,7 @@ def upsample_linear(spark, sf):
 # -- filters -----------------------------------------------------------------------------------------------------------
 
 
-@query("+ len AS (SELECT max(t) AS m FROM sig), ext AS (SELECT channel, t, value FROM sig UNION ALL SELECT channel, -t - 1, value FROM sig WHERE t < 5 UNION ALL SELECT channel, 2 * m + 1 - t, value FROM sig CROSS JOIN len WHERE t > m - 5), w AS (SELECT channel, t, value - avg(value) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS v FROM ext) SELECT channel, t, round(v, 6) + 0.0 AS value FROM w CROSS JOIN len WHERE t >= 0 AND t <= m")
+@query("+ len AS (SELECT channel, max(t) AS m FROM sig GROUP BY channel), ext AS (SELECT channel, t, value FROM sig UNION ALL SELECT channel, -t - 1, value FROM sig WHERE t < 5 UNION ALL SELECT channel, 2 * m + 1 - t, value FROM sig JOIN len USING (channel) WHERE t > m - 5), w AS (SELECT channel, t, value - avg(value) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS v FROM ext) SELECT channel, t, round(v, 6) + 0.0 AS value FROM w JOIN len USING (channel) WHERE t >= 0 AND t <= m")
 def moving_avg_highpass(spark, sf):
     return rounded(filters_sql.ma_highpass(tables.signal(spark, sf), 1 / 11), "value")
 
@@ -544,16 +537,8 @@ def fix_triggers(spark, sf):
     return experiment.fix_triggers(edges, edges.count() + 1)
 
 
-@query("+ c AS (SELECT 'rec' || (user_id % 20) AS section, event_type AS key, max(event_id)::VARCHAR AS value FROM events WHERE event_id % 13 = 0 GROUP BY ALL) SELECT section, " + ", ".join(f"coalesce(max(CASE WHEN key = '{k}' THEN value END), 'unknown') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM c GROUP BY section")
+@query("+ c AS (SELECT 'rec' || (user_id % 20) AS section, event_type AS key, max(event_id)::VARCHAR AS value FROM events GROUP BY ALL) SELECT section, " + ", ".join(f"coalesce(max(CASE WHEN key = '{k}' THEN value END), 'unknown') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM c GROUP BY section")
 def session_table(spark, sf):
-    e = tables.load(spark, sf, "events").where("event_id % 13 = 0")
-    conf = e.groupBy(F.concat(F.lit("rec"), (F.col("user_id") % 20).cast("string")).alias("section"), F.col("event_type").alias("key")).agg(F.max("event_id").cast("string").alias("value"))
-    return text.session_table(conf, ["click", "error", "purchase", "signup", "view"])
-
-
-@query()
-def session_table_whole(spark, sf):
-    """``session_table`` from every event."""
     e = tables.load(spark, sf, "events")
     conf = e.groupBy(F.concat(F.lit("rec"), (F.col("user_id") % 20).cast("string")).alias("section"), F.col("event_type").alias("key")).agg(F.max("event_id").cast("string").alias("value"))
     return text.session_table(conf, ["click", "error", "purchase", "signup", "view"])

@@ -64,12 +64,13 @@ def average_oversampled(signal: DataFrame, k: int = 2) -> DataFrame:
 
 
 def trigger_report(signal: DataFrame) -> DataFrame:
-    """For each channel: rising edges over 40 % of the median high level, and whether it is a two-level signal."""
+    """For each channel: rising edges over 40 % of the median high level, and whether it is a two-level signal.
+    A channel that never leaves nought has no edge and no two levels."""
     tops = signal.groupBy("channel").agg(F.max("value").alias("top"))
     level = tops.agg((F.percentile("top", F.lit(0.5)) * 0.4).alias("level"))
     placed = signal.crossJoin(F.broadcast(level)).withColumn("on", F.col("value") > F.col("level"))
     spread = placed.groupBy("channel", "on").agg(F.var_pop("value").alias("v"), F.count("*").alias("n"))
-    binary = spread.groupBy("channel").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).join(tops, "channel").select("channel", (F.col("v") / (F.col("top") * F.col("top")) <= 1e-2).alias("binary"))
+    binary = spread.groupBy("channel").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).join(tops, "channel").select("channel", ((F.col("top") != 0) & (F.col("v") <= 1e-2 * F.col("top") * F.col("top"))).alias("binary"))
     on = placed.where("on").select("channel", "t")
     edges = on.where("t > 0").join(on.select("channel", (F.col("t") + 1).alias("t")), ["channel", "t"], "left_anti").groupBy("channel").agg(F.count("*").alias("edges"))
     return binary.join(edges, "channel", "left").select("channel", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"), "binary")

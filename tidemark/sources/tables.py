@@ -22,12 +22,11 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as five channels, in time order, cut to the shortest one."""
+    """Events as five channels, in time order. Channels are as long as their type is frequent: no sample is dropped."""
     events = load(spark, sf_dir, "events")
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    shortest = events.groupBy("event_type").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
     numbered = events.select("event_type", "value", (F.row_number().over(order) - 1).cast("long").alias("t"))
-    return numbered.join(F.broadcast(channels(spark, sf_dir)), "event_type").join(F.broadcast(shortest)).where("t < n").select("channel", "t", "value")
+    return numbered.join(F.broadcast(channels(spark, sf_dir)), "event_type").select("channel", "t", "value")
 
 
 def wide_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +55,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables for DuckDB, as common table expressions.
 SQL = """
 chan AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::BIGINT AS channel FROM (SELECT DISTINCT event_type FROM events)),
-shortest AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM events GROUP BY event_type)),
 numbered AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::BIGINT AS t FROM events),
-sig AS (SELECT channel, t, value FROM numbered JOIN chan USING (event_type) CROSS JOIN shortest WHERE t < n),
+sig AS (SELECT channel, t, value FROM numbered JOIN chan USING (event_type)),
 wide AS (SELECT user_id::BIGINT AS channel, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS t, value FROM events),
 frames AS (SELECT vec_id::BIGINT AS t, unnest(range(64))::BIGINT AS channel, unnest(embedding)::DOUBLE AS value FROM embeddings),
 lev AS (SELECT (row_number() OVER (ORDER BY ts, event_id) - 1)::BIGINT AS t, event_type = 'error' AS level FROM events)
