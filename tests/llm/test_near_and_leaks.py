@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -67,6 +68,35 @@ def test_dense_groups_with_and_without_chunks(spark, chunk):
     assert groups({int(v): root.get(int(v), int(v)) for v in x.view(np.int64)}) == groups(want)
 
 
+def searched(x, most):
+    """Links that ``_search`` gives for fingerprints, all orders in one task, and the edge members it passes on."""
+    ranks = list(simhash._spread(iter([pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["fp"])])))
+    t = pa.Table.from_batches(ranks).sort_by([("band", "ascending"), ("rank", "ascending")])
+    return pa.Table.from_batches(list(simhash._search(iter(t.to_batches(max_chunksize=37)), most))).to_pylist()
+
+
+def test_every_link_of_the_table_comes_through_the_index(sf, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    x = np.unique(simhash.fingerprints_of([(t or "").encode() for t in texts]))
+    seen, links = [], simhash.GrayIndex.links
+    monkeypatch.setattr(simhash.GrayIndex, "links", lambda self, q, *a, **k: seen.append((len(q), len(self.levels))) or links(self, q, *a, **k))
+    rows = searched(x, simhash.CHUNK)
+    assert sum(n for n, _ in seen) == len(x) * len(simhash.ORDERS) and max(levels for _, levels in seen) >= 3
+    parts = simhash.Parts(len(x))
+    at = {int(v): k for k, v in enumerate(x.view(np.int64))}
+    parts.join((at[r["a"]], at[r["b"]]) for r in rows if r["kind"] == 0)
+    got = {i: i0 for i, i0 in enumerate(parts.labels().tolist())}
+    assert got == plain_components({i: int(v) for i, v in enumerate(x)})
+
+
+def test_orders_are_undone():
+    x = np.random.default_rng(3).integers(0, 2**63, 500, dtype=np.uint64)
+    for k in range(len(simhash.ORDERS)):
+        assert np.array_equal(simhash.restored(simhash.permuted(x, k), k), x)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(2, 200), st.integers(0, 2**32 - 1))
 def test_index_finds_all(n, seed):
@@ -93,6 +123,19 @@ def test_odd_documents(odd_docs):
     assert ids.count(1) == 1 and ids.count(None) == 1 and 3 not in ids and 2 in ids
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "one two three four five six", "red green blue black white grey", "un deux trois quatre cinq six"
+    for rows, kept in (
+        ([(5, a), (5, b), (3, b)], [(3, b), (5, a)]),
+        ([(5, a), (5, c)], [(5, a), (5, c)]),
+        ([(4, a), (4, a), (9, a)], [(4, a)]),
+        ([(None, a), (7, a), (None, b)], [(7, a), (None, b)]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _h1", "1 AS _kept_id")
+        out = simhash.drop_near_duplicates(df)
+        assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(kept, key=repr)
+
+
 def test_empty(spark, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.drop_near_duplicates(no_docs).count() == 0

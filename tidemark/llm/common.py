@@ -43,6 +43,21 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
     yield batch.slice(start)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> list:
+    """Columns to hash for the identity of a row: every value (maps as JSON) and which ones are null."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(quoted, df.schema.fields)]
+    return [*plain, *(c.isNull() for c in quoted)]
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

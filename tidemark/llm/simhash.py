@@ -8,16 +8,20 @@ Plan, for N texts with D different fingerprints:
 
 1. fingerprints in one narrow pass over the text (Arrow), no shuffle;
 2. one representative for each fingerprint (``min`` with map-side combine), so copies cost one row from here on;
-3. candidates: 64 bits in 6 blocks; with 4 differing bits two blocks stay whole, so the 15 pairs of blocks are keys
-   that miss nothing. Within a key the fingerprints arrive sorted by Gray rank and are searched with the index below;
-   a key with more than ``CHUNK`` members goes on as chunks of consecutive Gray rank, whose pairs are pruned by the
-   chunks' own upper nodes and searched in tasks of two chunks each: no task ever holds more, no pair is left out;
-4. only links that join two parts are emitted (a spanning forest for each bucket, never all pairs of a group);
-5. components by alternating large-star and small-star rounds, each cut into a table of the shared folder.
-
-Defined cases: null or wordless text has fingerprint 0, linked like any other; rows that repeat a doc_id each get
-their own row; a null doc_id joins components through its text but is never a component_id, unless no other is there
-(then component_id is null). An empty table gives no rows. Other columns are not read.
+3. the index: 64 bits in 6 blocks; two fingerprints that differ in 4 bits agree in two blocks at least. For each of the 15
+   pairs of blocks the bits are permuted so that the pair leads (the key), and the permuted values are range-partitioned
+   and sorted by Gray rank. Consecutive ones form indexes of ``CHUNK`` members: groups of ``FAN_OUT`` under nodes that hold
+   the bits all members share, nodes under nodes. Every member is searched from the roots down: differences add up, and a
+   whole group is left when they pass ``MAX_BITS`` or touch the key. Values are distinct, so ranges are even however
+   crowded a key is; no task holds more than one index;
+4. keys that reach beyond one index: members at its two ends meet other indexes' members of the same key. Pairs of such
+   groups are pruned by their upper nodes; what is left is searched in tasks of two groups each. No pair is left out;
+5. only links that join two parts are emitted (a spanning forest, never all pairs of a group);
+6. components by alternating large-star and small-star rounds, each cut into a table of the shared folder.
+
+Defined cases: null or wordless text has fingerprint 0, linked like any other; very long texts are read whole; rows that
+repeat a doc_id each get their own row; a null doc_id joins components through its text but is never a component_id,
+unless no other is there (then component_id is null). An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,18 +32,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, cut, drop_cut, pieces, raw_texts, table
+from tidemark.llm.common import bounded_batches, cut, drop_cut, pieces, raw_texts, table, unused, whole_row
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Members of one index, so of one search step in a task.
 CHUNK = 4096
 #: Children of a node of the index.
 FAN_OUT = 8
-#: The blocks that candidates must share two of: (first bit, bits).
+#: The blocks that linked fingerprints share two of: (first bit, bits).
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Each pair of blocks leads one order of the bits.
+ORDERS = tuple((*pair, *(k for k in range(len(BLOCKS)) if k not in pair)) for pair in combinations(range(len(BLOCKS)), 2))
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -159,9 +166,9 @@ class GrayIndex:
             self.levels.append((own, ones & own))
             above = mask
 
-    def links(self, queries: np.ndarray, limit: int, same=None) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, member position) of every pair within ``limit`` bits. ``same(level, query, node)`` may drop
-        groups that are already connected to the query."""
+    def links(self, queries: np.ndarray, limit: int, same=None, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, member position) of every pair within ``limit`` bits that agrees in the bits of ``key``.
+        ``same(level, query, node)`` may drop groups that are already connected to the query."""
         n = len(self.levels[0][0])
         q, node = np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
         off = np.zeros(len(q), np.uint8)
@@ -171,24 +178,27 @@ class GrayIndex:
                 q, off = np.repeat(q, FAN_OUT), np.repeat(off, FAN_OUT)
                 there = node < len(mask)
                 q, node, off = q[there], node[there], off[there]
-            off = off + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
-            keep = off <= limit
+            far = (queries[q] ^ pattern[node]) & mask[node]
+            off = off + np.bitwise_count(far)
+            keep = (off <= limit) & (far & np.uint64(key) == 0)
             if same is not None:
-                keep &= ~same(len(self.levels) - 1 - depth, q, node)
+                at = np.flatnonzero(keep)
+                keep[at] = ~same(len(self.levels) - 1 - depth, q[at], node[at])
             q, node, off = q[keep], node[keep], off[keep]
         return q, node
 
 
-def spanning_links(fps: np.ndarray, limit: int = MAX_BITS, split: int | None = None) -> list[tuple[int, int]]:
-    """Positions of links that connect whatever links of at most ``limit`` bits connect. ``fps`` are in Gray order
-    (two runs in Gray order with ``split``: then only links across the two count)."""
+def spanning_links(fps: np.ndarray, limit: int = MAX_BITS, split: int | None = None, key: int = 0) -> list[tuple[int, int]]:
+    """Positions of links that connect whatever links of at most ``limit`` bits (none of them in ``key``) connect. ``fps``
+    are in Gray order (two runs in Gray order with ``split``: then only links across the two count)."""
     n = len(fps)
     parts, out = Parts(n), []
-    sides = ((0, n, 0, n),) if split is None else ((0, split, split, n),)
-    for qa, qb, ma, mb in sides:
-        index = GrayIndex(fps[ma:mb])
-        for at in range(qa, qb, 256):
-            queries = np.arange(at, min(at + 256, qb))
+    qa, qb, ma, mb = (0, n, 0, n) if split is None else (0, split, split, n)
+    index = GrayIndex(fps[ma:mb])
+    for at in range(qa, qb, 256):
+        queries = np.arange(at, min(at + 256, qb))
+        same = None
+        if out:  # groups that are wholly in the query's part need no visit
             label = parts.labels()
             low, high = [label[ma:mb]], [label[ma:mb]]
             while len(low[-1]) > FAN_OUT:
@@ -196,140 +206,140 @@ def spanning_links(fps: np.ndarray, limit: int = MAX_BITS, split: int | None = N
                 low.append(np.minimum.reduceat(low[-1], cuts))
                 high.append(np.maximum.reduceat(high[-1], cuts))
             same = lambda k, q, node: (low[k][node] == high[k][node]) & (low[k][node] == label[queries[q]])  # noqa: B023, E731
-            q, m = index.links(fps[queries], limit, same)
-            q, m = queries[q], m + ma
-            keep = q != m
-            out += parts.join(zip(q[keep].tolist(), m[keep].tolist()))
+        q, m = index.links(fps[queries], limit, same, key)
+        q, m = queries[q], m + ma
+        keep = q != m
+        out += parts.join(zip(q[keep].tolist(), m[keep].tolist()))
     return out
 
 
-def _bucket_links(key: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``key`` (fps in Gray order in each run), as arrays of fingerprints."""
-    n = len(key)
-    if n < 2:
-        return fps[:0], fps[:0]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((first, [n])))
-    left, right = [], []
-    leaf = np.repeat(size <= FAN_OUT, size)  # a leaf is compared directly
-    for d in range(1, min(FAN_OUT, int(size.max()))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & leaf[:-d])
-        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= limit]
-        left.append(fps[i])
-        right.append(fps[i + d])
-    for k in np.flatnonzero(size > FAN_OUT):
-        own = fps[first[k] : first[k] + size[k]]
-        pairs = np.array(spanning_links(own, limit), np.int64).reshape(-1, 2)
-        left.append(own[pairs[:, 0]])
-        right.append(own[pairs[:, 1]])
-    return np.concatenate(left) if left else fps[:0], np.concatenate(right) if right else fps[:0]
+def permuted(fps: np.ndarray, order: int) -> np.ndarray:
+    """Fingerprints with the blocks of ``ORDERS[order]`` from the highest bit down."""
+    out, at = np.zeros_like(fps), 64
+    for k in ORDERS[order]:
+        first, bits = BLOCKS[k]
+        at -= bits
+        out |= ((fps >> np.uint64(first)) & np.uint64((1 << bits) - 1)) << np.uint64(at)
+    return out
+
+
+def restored(values: np.ndarray, order: int) -> np.ndarray:
+    """The inverse of ``permuted``."""
+    out, at = np.zeros_like(values), 64
+    for k in ORDERS[order]:
+        first, bits = BLOCKS[k]
+        at -= bits
+        out |= ((values >> np.uint64(at)) & np.uint64((1 << bits) - 1)) << np.uint64(first)
+    return out
+
+
+def key_bits(order: int) -> int:
+    """How many leading bits of a permuted value are its key."""
+    return sum(BLOCKS[k][1] for k in ORDERS[order][:2])
 
 
-def _band_key(band: int) -> tuple[int, int, int, int]:
-    (a, na), (b, nb) = list(combinations(BLOCKS, 2))[band]
-    return a, na, b, nb
+def key_mask(order: int) -> int:
+    return ((1 << key_bits(order)) - 1) << (64 - key_bits(order))
 
 
-_LINKS = "kind int, a long, b long, band int, bucket int, chunk int"
+_SIGN = np.uint64(1 << 63)
 
 
-def _search(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (band, bucket, fp) sorted by band, bucket and Gray rank -> links (kind 0), and the members of buckets beyond
-    ``most`` with their chunk (kind 1)."""
-    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    over_key, chunk = None, 0  # a bucket that is being passed on chunk by chunk
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp -> (band, rank): its Gray rank in each order of the bits, as a long that sorts alike."""
+    for batch in batches:
+        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        for band in range(len(ORDERS)):
+            rank = (gray_rank(permuted(fps, band)) ^ _SIGN).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), band, np.int32)), pa.array(rank)], ["band", "rank"])
+
+
+_LINKS = "kind int, a long, b long, band int, key int, chunk long"
 
-    def emit(kind: int, a: np.ndarray, b: np.ndarray, key: np.ndarray, chunk: int) -> pa.RecordBatch:
+
+def _search(batches: Iterator[pa.RecordBatch], most: int, part: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (band, rank) in order -> links as fingerprints (kind 0), and the members (permuted) of the first and the
+    last key of every index (kind 1), as those keys may go on in another index."""
+    chunk, held_band, held = part << 32, -1, np.zeros(0, np.uint64)
+
+    def emit(kind: int, a: np.ndarray, b: np.ndarray, band: int, key: np.ndarray) -> pa.RecordBatch:
         n = len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(np.full(n, chunk, np.int32))],
-            ["kind", "a", "b", "band", "bucket", "chunk"],
+            [pa.array(np.full(n, kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(n, band, np.int32)), pa.array(key.astype(np.int32)), pa.array(np.full(n, chunk, np.int64))],
+            ["kind", "a", "b", "band", "key", "chunk"],
         )
 
-    def work(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = _bucket_links(key, fp, MAX_BITS)
-        if len(a):
-            yield emit(0, a, b, np.zeros(len(a), np.int64), 0)
+    def work(band: int, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values = rank ^ (rank >> np.uint64(1))  # the Gray code of a rank
+        pairs = np.array(spanning_links(values, MAX_BITS, key=key_mask(band)), np.int64).reshape(-1, 2)
+        if len(pairs):
+            yield emit(0, restored(values[pairs[:, 0]], band), restored(values[pairs[:, 1]], band), band, np.zeros(len(pairs), np.int64))
+        keys = values >> np.uint64(64 - key_bits(band))
+        ends = (keys == keys[0]) | (keys == keys[-1])
+        yield emit(1, values[ends], values[ends], band, keys[ends])
 
     for batch in batches:
-        band = batch.column("band").to_numpy(zero_copy_only=False).astype(np.int64)
-        bucket = batch.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64)
-        held_key = np.concatenate((held_key, band << 32 | bucket))
-        held_fp = np.concatenate((held_fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
-        while len(held_key):
-            last = int(np.searchsorted(held_key == held_key[-1], True)) if held_key[0] != held_key[-1] else 0
-            if last:  # all but the last bucket are complete
-                first_end = int(np.argmax(held_key != held_key[0]))
-                if over_key is not None and held_key[0] == over_key:
-                    own = held_fp[:first_end]
-                    yield emit(1, own, own, held_key[:first_end], chunk)
-                    yield from work(held_key[:first_end], own)
-                    held_key, held_fp, over_key, chunk = held_key[first_end:], held_fp[first_end:], None, 0
-                    continue
-                over_key, chunk = None, 0
-                yield from work(held_key[:last], held_fp[:last])
-                held_key, held_fp = held_key[last:], held_fp[last:]
-            if len(held_key) > most:  # one bucket, too large for one index
-                over_key = int(held_key[0])
-                yield emit(1, held_fp[:most], held_fp[:most], held_key[:most], chunk)
-                yield from work(held_key[:most], held_fp[:most])
-                held_key, held_fp, chunk = held_key[most:], held_fp[most:], chunk + 1
-                continue
-            break
-    if len(held_key):
-        if over_key is not None and held_key[0] == over_key:
-            yield emit(1, held_fp, held_fp, held_key, chunk)
-        yield from work(held_key, held_fp)
+        bands = batch.column("band").to_numpy(zero_copy_only=False)
+        ranks = batch.column("rank").to_numpy(zero_copy_only=False).view(np.uint64) ^ _SIGN
+        firsts = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1]))) if len(bands) else []
+        for a, b in zip(firsts, [*firsts[1:], len(bands)]):
+            if bands[a] != held_band:
+                if len(held):
+                    yield from work(held_band, held)
+                    chunk += 1
+                held_band, held = int(bands[a]), ranks[:0]
+            held = np.concatenate((held, ranks[a:b]))
+            while len(held) > most:
+                yield from work(held_band, held[:most])
+                chunk += 1
+                held = held[most:]
+    if len(held):
+        yield from work(held_band, held)
 
 
 def _chunk_nodes(members: DataFrame) -> DataFrame:
-    """The upper node of each chunk: shared one bits and shared zero bits."""
-    return members.groupBy("band", "bucket", "chunk").agg(F.bit_and("a").alias("ones"), F.bit_and(F.bitwise_not("a")).alias("zeros"))
+    """The upper node of each group: shared one bits and shared zero bits."""
+    return members.groupBy("band", "key", "chunk").agg(F.bit_and("a").alias("ones"), F.bit_and(F.bitwise_not("a")).alias("zeros"))
 
 
 def _chunk_links(members: DataFrame) -> DataFrame:
-    """Links between different chunks of one bucket: pairs of chunks that their upper nodes don't rule out, each
-    searched in its own group of at most two chunks."""
-    x, y = _chunk_nodes(members).alias("x"), _chunk_nodes(members).alias("y")
+    """Links between groups of one key in different indexes: pairs of groups that their upper nodes don't rule out,
+    each searched in its own task group of at most two."""
+    nodes = _chunk_nodes(members)
+    x, y = nodes.alias("x"), nodes.alias("y")
     far = F.bit_count((F.col("x.ones").bitwiseXOR(F.col("y.ones"))).bitwiseAND(F.col("x.ones").bitwiseOR(F.col("x.zeros"))).bitwiseAND(F.col("y.ones").bitwiseOR(F.col("y.zeros"))))
-    pairs = x.join(y, [F.col("x.band") == F.col("y.band"), F.col("x.bucket") == F.col("y.bucket"), F.col("x.chunk") < F.col("y.chunk")]).where(far <= MAX_BITS)
-    pairs = pairs.select(F.col("x.band").alias("band"), F.col("x.bucket").alias("bucket"), F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2"))
-    sides = pairs.select("*", F.col("c1").alias("chunk")).unionByName(pairs.select("*", F.col("c2").alias("chunk")))
+    pairs = x.join(y, [F.col("x.band") == F.col("y.band"), F.col("x.key") == F.col("y.key"), F.col("x.chunk") < F.col("y.chunk")]).where(far <= MAX_BITS)
+    pairs = pairs.select(F.col("x.band").alias("band"), F.col("x.key").alias("key"), F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2"))
+    sides = pairs.select("*", F.explode(F.array("c1", "c2")).alias("chunk"))
 
     def search(pdf):
         import pandas as pd
 
-        out = []
+        band = int(pdf["band"].iloc[0])
         one = pdf[pdf["chunk"] == pdf["c1"]]["a"].to_numpy().view(np.uint64)
         two = pdf[pdf["chunk"] == pdf["c2"]]["a"].to_numpy().view(np.uint64)
         one, two = one[np.argsort(gray_rank(one), kind="stable")], two[np.argsort(gray_rank(two), kind="stable")]
         both = np.concatenate((one, two))
-        for i, j in spanning_links(both, MAX_BITS, split=len(one)):
-            out.append((both[i].view(np.int64), both[j].view(np.int64)))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        found = np.array(spanning_links(both, MAX_BITS, split=len(one)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": restored(both[found[:, 0]], band).view(np.int64), "b": restored(both[found[:, 1]], band).view(np.int64)})
 
-    return members.select("band", "bucket", "chunk", "a").join(sides, ["band", "bucket", "chunk"]).groupBy("band", "bucket", "c1", "c2").applyInPandas(search, "a long, b long")
+    return members.select("band", "key", "chunk", "a").join(sides, ["band", "key", "chunk"]).groupBy("band", "key", "c1", "c2").applyInPandas(search, "a long, b long")
 
 
 def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect what fingerprints within ``MAX_BITS`` connect; ``distinct`` has different values of fp."""
-    keys = []
-    for band in range(len(BLOCKS) * (len(BLOCKS) - 1) // 2):
-        a, na, b, nb = _band_key(band)
-        low = F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << na) - 1))
-        high = F.shiftrightunsigned("fp", b).bitwiseAND(F.lit((1 << nb) - 1))
-        keys.append(F.struct(F.lit(band).alias("band"), (low * (1 << nb) + high).cast("int").alias("bucket")))
-    rank = F.col("fp")
-    for s in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    spread = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select(F.col("k.band").alias("band"), F.col("k.bucket").alias("bucket"), "fp")
-    order = spread.repartition("band", "bucket").withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions("band", "bucket", "rank")
-    found = cut(order.select("band", "bucket", "fp").mapInArrow(lambda batches: _search(batches, chunk), _LINKS), "simhash-links")
+    spread = cut(distinct.select("fp").mapInArrow(_spread, "band int, rank long"), "simhash-ranks")  # ranges are sampled from it
+    order = spread.repartitionByRange("band", "rank").sortWithinPartitions("band", "rank")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _search(batches, chunk, TaskContext.get().partitionId())
+
+    found = cut(order.mapInArrow(search, _LINKS), "simhash-links")
+    drop_cut(spread)
     near = found.where("kind = 0").select("a", "b")
-    members = found.where("kind = 1")
-    if members.limit(1).count():
-        near = near.unionByName(_chunk_links(members))
-    return near
+    ends = found.where("kind = 1")
+    split = ends.groupBy("band", "key").agg((F.min("chunk") < F.max("chunk")).alias("split")).where("split").select("band", "key")
+    return near.unionByName(_chunk_links(cut(ends.join(split, ["band", "key"], "left_semi"), "simhash-ends")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -364,15 +374,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id is the component_id. Rows without a doc_id
-    stay; of rows that repeat a doc_id one stays."""
-    found = near_duplicates(docs)
-    kept = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_n")), "simhash-kept")
-    joined = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left")
-    once = joined.where("_kept_n = 1 or doc_id is null").select(*docs.columns)
-    if kept.where("_kept_n > 1").limit(1).count():
-        once = once.unionByName(joined.where("_kept_n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return once
+    """``docs`` with one row of each component: the one with the smallest doc_id (a null one only if no other is there),
+    of rows that repeat it the one of least fingerprint, then of least hash. Rows are told apart by all their columns
+    (128 bits of hashes): of rows that are equal throughout one stays."""
+    bounded_batches(docs.sparkSession)
+    h1, h2 = unused(docs, "_h1"), unused(docs, "_h2")
+    docs = docs.select("*", *(F.xxhash64(F.lit(seed), *whole_row(docs)).alias(h) for seed, h in ((1, h1), (2, h2))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                fp = fingerprints_of(raw_texts(part.column("text"))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), part.column(2), part.column(3)], ["doc_id", "fp", "h1", "h2"])
+
+    rows = cut(docs.select("doc_id", F.col("text").cast("string").alias("text"), h1, h2).mapInArrow(run, f"doc_id {kind}, fp long, h1 long, h2 long"), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h1", "h2"))
+    # the first row of each fingerprint, then the first of each component
+    distinct = rows.groupBy("fp").agg(first.alias("row"))
+    found = components(links(distinct.select("fp")))
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("row", F.coalesce("root", "fp").alias("root"))
+    kept = cut(rooted.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.h1").alias(h1), F.col("row.h2").alias(h2)).distinct(), "simhash-kept")
+    twice = rows.select(F.col("h1").alias(h1), F.col("h2").alias(h2)).groupBy(h1, h2).agg(F.count("*").alias("n")).where("n > 1").select(h1, h2)
+    twice = cut(twice.join(kept, [h1, h2], "left_semi"), "simhash-twice")
+    own = [c for c in docs.columns if c not in (h1, h2)]
+    chosen = docs.join(kept, [h1, h2], "left_semi")
+    if not twice.limit(1).count():
+        return chosen.select(*own)
+    # equal rows of one document, wherever they lie, are reduced to one behind a second, narrow choice
+    once = chosen.join(twice, [h1, h2], "left_anti").select(*own)
+    return once.unionByName(docs.join(twice, [h1, h2], "left_semi").dropDuplicates([h1, h2]).select(*own))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
