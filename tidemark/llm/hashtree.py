@@ -1,14 +1,16 @@
 """Sharding (operator 5) by a hierarchical weighted hash tree: region, rack, shard. The law is ``key``.
 
-Every shard draws a number for a row from the hash of doc_id and the shard's name: the waiting time of an exponential
-clock that runs with the shard's weight, -ln(u) / weight. A rack's draw is the least of its shards' draws, a region's
-the least of its racks'; least of exponential clocks is a clock that runs with the sum of weights, so each level is a
-weighted choice. The row descends: the region with the least draw, in it the rack, in it the shard. If a weight
-changes or a shard is added, only the draws of the subtrees on its path change, and a row can only move from or to that
-shard: more weight only draws rows in, less weight only sends its own rows off to where their next draws lead.
-
-Shards fill racks of ``RACK`` and regions of ``REGION`` racks in order; nothing but doc_id and the number of shards (and
-weights, all 1 by default) decides.
+Every node of the tree has a weight, the sum of its shards' weights, and draws a number for a row from the hash of doc_id
+and the node's own name: -ln(u) / weight, the waiting time of an exponential clock. A row goes to the region with the
+least draw, there to the rack with the least draw, there to the shard: depth x fan-out draws for each row, each level a
+weighted choice. What a change moves is confined: a node draws by its own name and weight only, so weights that
+change inside a rack and leave its sum alone move rows inside that rack only; a change that raises or lowers one subtree
+moves rows between it and its siblings, never between two others.
+
+The tree is laid out once, for ``base`` shards, in racks of ``RACK`` and regions of ``REGION`` racks. A shard that is added
+later hangs at the top level, as a region of its own: no other node's draw changes, so one more shard takes rows only into
+itself, from ``base`` shards on. Nothing but doc_id, the number of shards and the layout (``base``, weights, all 1 by
+default) decides.
 
 Slots (gapless from 0 in each shard) don't gather a shard in one task: rows go to sub-buckets by hash, sub-buckets get
 their first slot from a small table of counts (one prefix sum by shard), rows count on inside their sub-bucket. The
@@ -17,74 +19,68 @@ doc_id are told apart by the partition they are read in.
 
 Everything is DataFrame functions: no Python on the executors. The text itself is not shuffled.
 
-Defined cases: null text has size 8 and the crc32 of no bytes (0); a null doc_id draws as the text 'null'; repeated rows
-stay, in the same shard, with slots of their own; extra columns are dropped. An empty table gives no rows.
+Defined cases: null text has size 8 and the crc32 of no bytes (0); a very long text counts whole; a null doc_id draws as
+the text 'null'; equal draws (none in practice) go to the node that comes first; repeated rows stay, in the same shard,
+with slots of their own; extra columns are dropped. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, table, unused
 
 SHARDS, RACK, REGION = 24, 4, 2
 #: Rows of a sub-bucket, about: what one sort step numbers.
 BUCKET_ROWS = 50_000
 
 
-def tree(weights: list[float], rack: int = RACK, region: int = REGION) -> list[list[list[tuple[int, float]]]]:
-    """Regions of racks of (shard, weight)."""
-    racks = [[(k, weights[k]) for k in range(at, min(at + rack, len(weights)))] for at in range(0, len(weights), rack)]
-    return [racks[at : at + region] for at in range(0, len(racks), region)]
-
-
-def draw(key: Column, shard: int, weight: float) -> Column:
-    """The shard's exponential clock for a row. 53 bits of the hash, never 0."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(u) / weight
+def tree(weights: list[float], base: int | None = None, rack: int = RACK, region: int = REGION) -> list[list[list[tuple[int, float]]]]:
+    """Regions of racks of (shard, weight): the first ``base`` shards in order, then a region for each later one."""
+    base = len(weights) if base is None else min(base, len(weights))
+    racks = [[(k, weights[k]) for k in range(at, min(at + rack, base))] for at in range(0, base, rack)]
+    return [racks[at : at + region] for at in range(0, len(racks), region)] + [[[(k, weights[k])]] for k in range(base, len(weights))]
 
 
-def _least(draws: list[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+def _array(values) -> str:
+    """Nested lists of numbers as a SQL literal; floats as doubles."""
+    if isinstance(values, list):
+        return f"array({', '.join(map(_array, values))})"
+    return f"{values!r}D" if isinstance(values, float) else str(values)
 
 
-def _first(draws: list[Column], choices: list[Column]) -> Column:
-    """The choice of the least draw, the first one of equal draws."""
-    out = choices[-1]
-    best = _least(draws)
-    for d, c in reversed(list(zip(draws[:-1], choices[:-1]))):
-        out = F.when(d == best, c).otherwise(out)
-    return out
+def _least(key: str, level: int, path: str, weights: str) -> str:
+    """SQL: which child, from 0, of the node at ``path`` has the least draw; ``weights`` are those of its children.
+    53 bits of the hash, never 0."""
+    u = f"(shiftrightunsigned(xxhash64({key}, {level}, {path}, i), 11) + 0.5D) / {float(1 << 53)!r}D"
+    return f"array_min(transform({weights}, (w, i) -> struct(-ln({u}) / w AS d, i AS i))).i"
 
 
-def descend(df: DataFrame, key: Column, weights: list[float], out: str) -> DataFrame:
-    """``df`` with the column ``out``: the shard of each row."""
-    regions = tree(weights)
-    names = {s: f"_draw{s}" for r in regions for rack in r for s, _ in rack}
-    df = df.select("*", *(draw(key, s, w).alias(names[s]) for r in regions for rack in r for s, w in rack))
-    levels = []
-    for r, racks in enumerate(regions):
-        for k, rack in enumerate(racks):
-            levels.append(_least([F.col(names[s]) for s, _ in rack]).alias(f"_rack{r}_{k}"))
-    df = df.select("*", *levels)
-    df = df.select("*", *(_least([F.col(f"_rack{r}_{k}") for k in range(len(racks))]).alias(f"_region{r}") for r, racks in enumerate(regions)))
-    shard_in = [[_first([F.col(names[s]) for s, _ in rack], [F.lit(s) for s, _ in rack]) for rack in racks] for racks in regions]
-    rack_in = [_first([F.col(f"_rack{r}_{k}") for k in range(len(racks))], shard_in[r]) for r, racks in enumerate(regions)]
-    chosen = _first([F.col(f"_region{r}") for r in range(len(regions))], rack_in)
-    kept = [c for c in df.columns if not c.startswith(("_draw", "_rack", "_region"))]
-    return df.select(*kept, chosen.cast("int").alias(out))
+def descend(df: DataFrame, key: str, regions: list[list[list[tuple[int, float]]]], out: str) -> DataFrame:
+    """``df`` with the column ``out``: the shard of each row, found from the root down. ``key`` is a text column."""
+    region, rack = unused(df, "_region"), unused(df, "_rack")
+    leaves = [[[float(w) for _, w in leaf] for leaf in racks] for racks in regions]
+    names = [[[s for s, _ in leaf] for leaf in racks] for racks in regions]
+    rack_weights = [[sum(leaf) for leaf in racks] for racks in leaves]
+    region_weights = [sum(racks) for racks in rack_weights]
+    df = df.withColumn(region, F.expr(_least(key, 0, "0", _array(region_weights))))
+    df = df.withColumn(rack, F.expr(_least(key, 1, region, f"{_array(rack_weights)}[{region}]")))
+    leaf = _least(key, 2, f"{region}, {rack}", f"{_array(leaves)}[{region}][{rack}]")
+    return df.withColumn(out, F.expr(f"CAST({_array(names)}[{region}][{rack}][{leaf}] AS INT)")).drop(region, rack)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``."""
+def shard(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None = None, base: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``. ``base``: how many
+    shards the tree was laid out for (all, if not given)."""
     weights = weights or [1.0] * shards
+    base = len(weights) if base is None else base
     text = F.col("text").cast("string")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), key.alias("_key"))
-    rows = descend(rows, F.col("_key"), weights, "shard")
-    rows = descend(rows, F.col("_key"), [*weights, 1.0], "grown_shard").drop("_key")
+    rows = descend(rows, "_key", tree(weights, base), "shard")
+    rows = descend(rows, "_key", tree([*weights, 1.0], base), "grown_shard").drop("_key")
     # one table of narrow rows: slots are counted and given from the same rows, whatever happens to the executors
     rows = cut(rows, "hashtree-rows")
     n = rows.count()
