@@ -109,18 +109,53 @@ def test_shards(spark, sf, bucket):
     assert {r.law for r in rows} == {"key"} and all(0 <= r.shard < 24 and r.grown_shard in (r.shard, 24) for r in rows)
 
 
+def test_descent_against_brute_force(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    regions = hashtree.tree([1.0, 2.0, 0.5, 1.0, 1.0, 3.0, 1.0, 1.0, 1.0, 0.25, 4.0], base=10)
+    assert [[len(x) for x in racks] for racks in regions] == [[4, 4], [2], [1]]
+    ids = spark.range(500).select("id", F.col("id").cast("string").alias("k"))
+    got = {r.id: r.s for r in hashtree.descend(ids, "k", regions, "s").collect()}
+    hashes = ids.select("id", *(F.xxhash64("k", F.lit(0), F.lit(0), F.lit(i)).alias(f"a{i}") for i in range(3)), *(F.xxhash64("k", F.lit(1), F.lit(r), F.lit(i)).alias(f"b{r}_{i}") for r in range(3) for i in range(2)), *(F.xxhash64("k", F.lit(2), F.lit(r), F.lit(c), F.lit(i)).alias(f"c{r}_{c}_{i}") for r in range(3) for c in range(2) for i in range(4)))
+    draw = lambda h, w: -math.log((((h & (2**64 - 1)) >> 11) + 0.5) / 2**53) / w
+    for row in hashes.collect():
+        r = min(range(3), key=lambda i: draw(row[f"a{i}"], sum(w for rack in regions[i] for _, w in rack)))
+        c = min(range(len(regions[r])), key=lambda i: draw(row[f"b{r}_{i}"], sum(w for _, w in regions[r][i])))
+        leaf = min(range(len(regions[r][c])), key=lambda i: draw(row[f"c{r}_{c}_{i}"], regions[r][c][i][1]))
+        assert got[row.id] == regions[r][c][leaf][0]
+
+
 def test_weights_are_kept_and_moves_confined(spark):
     from pyspark.sql import functions as F
 
     ids = spark.range(20_000).select("id", F.col("id").cast("string").alias("k"))
-    where = lambda w: {r.id: r.s for r in hashtree.descend(ids, F.col("k"), w, "s").collect()}
-    even = where([1.0] * 10)
-    heavy = where([1.0] * 3 + [3.0] + [1.0] * 6)
-    assert all(heavy[i] == 3 for i in even if even[i] != heavy[i]) and abs(sum(v == 3 for v in heavy.values()) / 20_000 - 3 / 12) < 0.02
-    for n in (9, 10, 15, 16):  # inside a rack, a region, and beyond
-        a, b = where([1.0] * n), where([1.0] * (n + 1))
-        moved = {b[i] for i in a if a[i] != b[i]}
-        assert moved == {n} and abs(sum(v == n for v in b.values()) / 20_000 - 1 / (n + 1)) < 0.02
+    even, n = [1.0] * 16, 20_000
+    light, heavy, grown = [1.9, 0.1, *even[2:]], [1.0, 1.0, 1.0, 5.0, *even[4:]], [*even, 1.0]
+    out = ids
+    for name, w in (("even", even), ("light", light), ("heavy", heavy), ("grown", grown)):
+        out = hashtree.descend(out, "k", hashtree.tree(w, 16), name)
+    rows = out.collect()
+    # weights change inside a rack, its sum doesn't: no row leaves or enters the rack
+    assert {r.even // 4 for r in rows if r.even != r.light} == {0} and all(r.light // 4 == r.even // 4 for r in rows)
+    # one subtree gains weight: the other rack of the region and the other region only lose rows to it
+    for r in rows:
+        if r.even // 8 != r.heavy // 8:
+            assert r.heavy // 8 == 0
+        elif r.even // 4 != r.heavy // 4:
+            assert r.heavy // 4 == 0
+    assert abs(sum(r.heavy == 3 for r in rows) / n - 5 / 20) < 0.02
+    # one more shard takes rows only into itself
+    assert {r.grown for r in rows if r.grown != r.even} == {16} and abs(sum(r.grown == 16 for r in rows) / n - 1 / 17) < 0.01
+    assert all(abs(sum(r.even == k for r in rows) / n - 1 / 16) < 0.01 for k in range(16))
+
+
+def test_growth_step_by_step(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "'x' AS text")
+    a = {r.doc_id: r.grown_shard for r in hashtree.shard(docs).collect()}
+    rows = hashtree.shard(docs, 25, base=24).collect()
+    assert {r.doc_id: r.shard for r in rows} == a and all(r.grown_shard in (r.shard, 25) for r in rows)
 
 
 def test_sharding_odd_rows(odd_docs, no_docs):
@@ -143,28 +178,37 @@ def test_feistel_is_a_permutation(n, key):
 
 def test_order_on_disk(spark, odd_docs, tmp_path):
     model = trainorder.Tokens(trainorder.vocabulary_path())
-    at = f"file://{tmp_path}/order"
-    rows = trainorder.materialise(odd_docs, at, window=64, record=32, shard_rows=100).orderBy("slot").collect()
-    assert [r.slot for r in rows] == list(range(len(rows))) and sorted(r.seq_index for r in rows) == list(range(len(rows)))
-    assert np.array_equal(trainorder.indices_of(np.arange(len(rows)), len(rows)), [r.seq_index for r in rows])
-    texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
-    shards = {}
-    for s in {r.shard for r in rows}:
-        raw = (tmp_path / "order" / f"shard-{s:08d}.bin").read_bytes()
-        assert len(raw) % 64 == 0
-        shards[s] = np.frombuffer(raw, "<u2")
+    at, record, rows_each = f"file://{tmp_path}/order", 32, 100
+    out = trainorder.materialise(odd_docs, at, record=record, shard_rows=rows_each)
+    files = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "order").iterdir()}
+    rows = out.orderBy("slot").collect()
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "order").iterdir()} == files  # reading the result writes nothing
+    n = len(rows)
+    assert [r.slot for r in rows] == list(range(n)) and sorted(r.seq_index for r in rows) == list(range(n))
+    assert np.array_equal(trainorder.indices_of(np.arange(n), n), [r.seq_index for r in rows])
+    raw = [(tmp_path / "order" / f"shard-{s:08d}.bin").read_bytes() for s in range(-(-n // rows_each))]
+    assert [len(x) for x in raw] == [64 * min(rows_each, n - k * rows_each) for k in range(len(raw))] and len(files) == len(raw) + 1
     for r in rows:
-        ids = shards[r.shard][r.token_start : r.token_start + r.n_tokens]
-        t = texts[r.doc_id]
-        want = model.encode(t[r.seq_no * 64 : r.seq_no * 64 + 64]) + ([trainorder.END] if (r.seq_no + 1) * 64 >= len(t) else [])
-        assert ids.tolist() == want and zlib.crc32(ids.tobytes()) == r.token_crc32 and r.shard == r.slot // 100
-    for d, t in texts.items():
-        own = sorted((r for r in rows if r.doc_id == d), key=lambda r: (r.seq_no, r.slot))
-        if d != 1:
-            assert "".join(model.decode(shards[r.shard][r.token_start : r.token_start + r.n_tokens].tolist()) for r in own) == t
-    whole = np.concatenate([shards[s] for s in sorted(shards)])
-    assert np.array_equal(np.concatenate(list(trainorder.read_records(at))), whole)
-    assert np.array_equal(np.concatenate(list(trainorder.read_records(at, 1, 3))), whole[len(shards[0]) + 3 * 32 :])
+        assert (r.shard, r.offset) == (r.slot // rows_each, r.slot % rows_each * 64)
+        ids = np.frombuffer(raw[r.shard], "<u2", record, r.offset)
+        assert zlib.crc32(ids[: r.n_tokens].tobytes()) == r.token_crc32 and (ids[r.n_tokens :] == trainorder.PAD).all()
+    # joined sequences of a document are the ids of its whole text
+    for d, t in {r.doc_id: r.text or "" for r in odd_docs.collect()}.items():
+        own = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.seq_index)
+        ids = np.concatenate([np.frombuffer(raw[r.shard], "<u2", r.n_tokens, r.offset) for r in own]).tolist()
+        want = [*model.encode(t).tolist(), trainorder.END]
+        assert ids == want * (2 if d == 1 else 1) and [r.seq_no for r in own] == [*range(-(-len(want) // record))] * (2 if d == 1 else 1)
+        assert model.decode(ids[: len(want)]) == t
+    whole = np.frombuffer(b"".join(raw), "<u2").reshape(-1, record)
+    for slot in (0, 1, rows_each, n - 1):
+        assert np.array_equal(np.stack(list(trainorder.read_records(at, slot))), whole[slot:])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abé日 \n\t'st1.\u00a0\u2003"), max_size=80), st.integers(1, 9))
+def test_encoding_in_steps_is_the_whole(text, step):
+    model = trainorder.loaded(trainorder.vocabulary_path())
+    assert model.encode(text, step).tolist() == model.encoding.encode_ordinary(text)
 
 
 def test_no_sequences(no_docs, tmp_path):

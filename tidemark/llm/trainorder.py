@@ -1,28 +1,30 @@
-"""Training-order materialisation (operator 6): text sequences in a keyed pseudo-random order, as fixed-stride shards
-of token ids.
-
-A sequence is a window of ``WINDOW`` code points of a document (a short document is one; windows joined are the text).
-Sequences are numbered as they are read; a keyed Feistel permutation of a power-of-four domain, walked until it falls
-below the number of sequences, gives each number its global slot: a bijection that any reader can compute or invert from
-(key, total) alone. Slot s lies in shard s div ``SHARD_ROWS``. A shard holds its sequences' tokens (a public byte-level
-BPE, an end id behind a document's last window) in order of slot, packed into records of ``RECORD`` ids of two bytes;
-only its last record is padded. Training reads shards from front to back and resumes at any record by one seek; the
-result says where each sequence's tokens begin.
-
-The number of windows needs the lengths of the texts only, so a first, cheap aggregate (by partition) fixes every number
-and each text is tokenised once, behind the shuffle. The second pass checks its counts against the first; the input must
-read the same twice (files, or a table made by ``cut``). Windows are partitioned by shard, a range of slots, sorted, and
-streamed to files; a file is written under another name and moved, so a task that runs again after an executor was lost
-just writes the same file again.
-
-Defined cases: null or empty text is one sequence with only the end id; repeated rows are sequences of their own; an
-empty table gives no shards. Only doc_id and text are read.
+"""Training-order materialisation (operator 6): token sequences in a keyed pseudo-random order, as fixed-stride shards.
+
+Each text is tokenised whole, once (a public byte-level BPE, an end id behind it); its ids are cut into sequences of
+``RECORD`` ids, the last one padded, and written in document order to the shared folder. Sequences are numbered by the
+partition that wrote them and their place in it. A keyed Feistel permutation of a power-of-four domain, walked until it
+falls below the number of sequences, gives each number its global slot: a bijection that any reader can compute or
+invert from (key, total) alone.
+
+Slot s lies in shard s div ``SHARD_ROWS`` at byte (s mod ``SHARD_ROWS``) * stride: where a sequence is on disk needs no
+table. Shards are ranges of slots: each task gets its range of the slots (``repartitionById``), sorts and streams it to
+files. A file is written under another name and moved, so a task that runs again after an executor was lost just writes
+the same file again. Training reads shards from front to back and resumes at any slot by one seek.
+
+The files are written by ``materialise`` itself, once; its result is a stored table, so counting it writes nothing.
+
+A very long text is encoded in steps of ``STEP`` characters or more, cut where a white space follows another character:
+no piece of the pattern reaches across and none looks back, so the ids are those of the whole text.
+
+Defined cases: null or empty text is one sequence with only the end id; repeated rows are sequences of their own; slots
+have no ties; an empty table gives no shards. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,10 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, pieces, shared_dir, table
+from tidemark.llm.common import bounded_batches, cut, drop_cut, pieces, shared_dir, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-WINDOW, RECORD, SHARD_ROWS, KEY, ROUNDS = 1000, 256, 4096, 20_240_229, 6
+RECORD, SHARD_ROWS, KEY, ROUNDS = 256, 65_536, 20_240_229, 6
+#: Characters encoded at once, at least.
+STEP = 1_000_000
+#: Tasks that write shards, at most; each takes a range of whole shards.
+MOST_TASKS = 20_000
+#: Sequences of one Arrow batch.
+BATCH_SEQUENCES = 4096
 #: Ids that the vocabulary leaves free.
 END, PAD = 50_256, 50_257
 
@@ -47,6 +55,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A character that a white space follows.
+_BORDER = re.compile(r"\S(?=\s)")
+
+
 class Tokens:
     """Token ids of texts by a public vocabulary."""
 
@@ -58,8 +70,20 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("shards", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+    def encode(self, text: str, step: int = STEP) -> np.ndarray:
+        """Ids of the whole text."""
+        parts, at = [], 0
+        while len(text) - at > step:
+            found = _BORDER.search(text, at + step)
+            if not found:
+                break
+            parts.append(self._ids(text[at : found.end()]))
+            at = found.end()
+        parts.append(self._ids(text[at:] if at else text))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def decode(self, ids: list[int]) -> str:
         return self.encoding.decode([i for i in ids if i < END])
@@ -117,76 +141,99 @@ def indices_of(slots: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def materialise(docs: DataFrame, path: str, key: int = KEY, window: int = WINDOW, record: int = RECORD, shard_rows: int = SHARD_ROWS, vocabulary: str | None = None) -> DataFrame:
-    """Write the shards below ``path`` when the result is computed; one row for each sequence: doc_id, seq_no (in its
-    document), seq_index, slot, shard, token_start (in its shard), n_tokens (with the end id), token_crc32 (of its ids)."""
-    vocabulary = vocabulary or vocabulary_path()
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def sequences(docs: DataFrame, record: int, vocabulary: str) -> DataFrame:
+    """Every document's ids in sequences of ``record``: doc_id, seq_no, part and at (which partition, its how-manieth),
+    n_tokens (with the end id), ids (two bytes each, padded)."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    windows = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / window)).cast("long")
-    counts = dict(tuple(r) for r in narrow.select(F.spark_partition_id().alias("part"), windows.alias("n")).groupBy("part").agg(F.sum("n")).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, part_id, at = loaded(vocabulary), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                rows, lengths, raw = [], [], []
+                for text in part.column("text").to_pylist():
+                    ids = model.encode(text or "")
+                    n = len(ids) // record + 1
+                    own = np.full(n * record, PAD, "<u2")
+                    own[: len(ids)] = ids
+                    own[len(ids)] = END
+                    raw.append(own)
+                    rows.append(n)
+                    lengths.append(len(ids) + 1)
+                count = np.array(rows)
+                owner = np.repeat(np.arange(len(count)), count)
+                seq = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                data = np.concatenate(raw)
+                for a in range(0, len(owner), BATCH_SEQUENCES):
+                    o, q = owner[a : a + BATCH_SEQUENCES], seq[a : a + BATCH_SEQUENCES]
+                    offsets = np.arange(len(o) + 1, dtype=np.int32) * (2 * record)
+                    ids = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(offsets), pa.py_buffer(data[a * record : (a + len(o)) * record])])
+                    n_tokens = np.minimum(record, np.array(lengths)[o] - q * record).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array(o)), pa.array(q.astype(np.int32)), pa.array(np.full(len(o), part_id, np.int32)), pa.array(np.arange(at, at + len(o))), pa.array(n_tokens), ids],
+                        ["doc_id", "seq_no", "part", "at", "n_tokens", "ids"],
+                    )
+                    at += len(o)
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, seq_no int, part int, at long, n_tokens int, ids binary")
+
+
+def materialise(docs: DataFrame, path: str, key: int = KEY, record: int = RECORD, shard_rows: int = SHARD_ROWS, vocabulary: str | None = None) -> DataFrame:
+    """Write the shards below ``path``; one row for each sequence: doc_id, seq_no (in its document), seq_index, slot,
+    shard, offset (its first byte in the shard), n_tokens (with the end id), token_crc32 (of its ids)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cells = cut(sequences(docs, record, vocabulary or vocabulary_path()), "training-sequences")
+    counts = dict(tuple(r) for r in cells.groupBy("part").agg(F.count("*")).collect())  # a row for each partition
     total, starts = 0, {}
     for part in sorted(counts):
         starts[part] = total
         total += counts[part]
+    stride, shards = 2 * record, -(-total // shard_rows)
+    each = max(1, -(-shards // MOST_TASKS))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        at = starts.get(part_id, 0)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                owner, seq, last, texts = [], [], [], []
-                for row, t in enumerate(part.column("text").to_pylist()):
-                    own = [t[k : k + window] for k in range(0, len(t), window)] if t else [""]
-                    owner += [row] * len(own)
-                    seq += range(len(own))
-                    last += [False] * (len(own) - 1) + [True]
-                    texts += own
-                index = np.arange(at, at + len(owner))
-                at += len(owner)
-                slot = slots_of(index, total, key)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner, pa.int32())), pa.array(seq, pa.int32()), pa.array(index), pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(last), pa.array(texts, pa.string())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "last", "text"])
-        if at - starts.get(part_id, 0) != counts.get(part_id, 0):
-            raise RuntimeError(f"partition {part_id} had {counts.get(part_id, 0)} sequences when counted, {at - starts.get(part_id, 0)} when written: the input does not read the same twice")
+            part, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "at"))
+            which, back = np.unique(part, return_inverse=True)
+            index = np.array([starts[p] for p in which.tolist()], np.int64)[back] + at
+            slot = slots_of(index, total, key)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no")), pa.array(index), pa.array(slot), pa.array((slot // (shard_rows * each)).astype(np.int32)), *(batch.column(c) for c in ("n_tokens", "ids"))], ["doc_id", "seq_no", "seq_index", "slot", "task", "n_tokens", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(path)
-        model = loaded(vocabulary)
-        now, sink, temporary, held = None, None, "", 0
-
-        def close() -> None:
-            if sink is not None:
-                sink.write(np.full(-held % record, PAD, "<u2").tobytes())
-                sink.close()
-                files.move(temporary, f"{root}/shard-{now:08d}.bin")
-
         files.create_dir(root, recursive=True)
+        now, sink, temporary, due = None, None, "", 0
         for batch in batches:
-            start, n, crc = [], [], []
-            for s, text, last in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), batch.column("last").to_pylist()):
+            slots = batch.column("slot").to_numpy(zero_copy_only=False)
+            shard = slots // shard_rows
+            ids = [x.as_buffer() for x in batch.column("ids")]
+            n_tokens = batch.column("n_tokens").to_pylist()
+            for k, s in enumerate(shard.tolist()):
                 if s != now:
-                    close()
-                    now, held, temporary = s, 0, f"{root}/.shard-{s:08d}-{uuid.uuid4().hex}"
+                    if sink is not None:
+                        sink.close()
+                        files.move(temporary, f"{root}/shard-{now:08d}.bin")
+                    now, temporary, due = s, f"{root}/.shard-{s:08d}-{uuid.uuid4().hex}", s * shard_rows
                     sink = files.open_output_stream(temporary)
-                ids = model.encode(text)
-                if last:
-                    ids.append(END)
-                raw = np.array(ids, "<u2").tobytes()
-                sink.write(raw)
-                start.append(held)
-                n.append(len(ids))
-                crc.append(zlib.crc32(raw))
-                held += len(ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no", "seq_index", "slot", "shard")), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "token_start", "n_tokens", "token_crc32"])
-        close()
-
-    ordered = narrow.mapInArrow(number, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, last boolean, text string").repartition("shard").sortWithinPartitions("shard", "slot")
-    write_plan(path, {"sequences": total, "shards": -(-total // shard_rows), "window": window, "record": record, "stride": 2 * record, "shard_rows": shard_rows, "key": key, "pad": PAD, "end": END, "dtype": "<u2"})
-    return ordered.mapInArrow(write, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, token_start long, n_tokens int, token_crc32 long")
+                if slots[k] != due or len(ids[k]) != stride:
+                    raise RuntimeError(f"slot {slots[k]} of {len(ids[k])} bytes where {due} of {stride} bytes was due")
+                sink.write(ids[k])
+                due += 1
+            crc = [zlib.crc32(memoryview(x)[: 2 * n]) for x, n in zip(ids, n_tokens)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no", "seq_index", "slot")), pa.array(shard.astype(np.int32)), pa.array(slots % shard_rows * stride), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "offset", "n_tokens", "token_crc32"])
+        if sink is not None:
+            sink.close()
+            files.move(temporary, f"{root}/shard-{now:08d}.bin")
+
+    placed = cells.mapInArrow(number, f"doc_id {kind}, seq_no int, seq_index long, slot long, task int, n_tokens int, ids binary")
+    ranges = placed.repartitionById(max(1, -(-shards // each)), "task").sortWithinPartitions("slot")
+    out = cut(ranges.mapInArrow(write, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, offset long, n_tokens int, token_crc32 long"), "training-order")
+    drop_cut(cells)
+    write_plan(path, {"sequences": total, "shards": shards, "record": record, "stride": stride, "shard_rows": shard_rows, "key": key, "pad": PAD, "end": END, "dtype": "<u2"})
+    return out
 
 
 def write_plan(path: str, plan: dict) -> None:
@@ -198,14 +245,15 @@ def write_plan(path: str, plan: dict) -> None:
         sink.write(json.dumps(plan).encode())
 
 
-def read_records(path: str, shard: int = 0, first: int = 0) -> Iterator[np.ndarray]:
-    """Records from one on, to the end of the last shard: sequential reads that can begin anywhere."""
+def read_records(path: str, slot: int = 0) -> Iterator[np.ndarray]:
+    """Sequences (padded) in training order from a slot on: one seek, then sequential reads."""
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(path)
     with files.open_input_stream(f"{root}/order.json") as source:
         plan = json.loads(source.read())
-    for s in range(shard, plan["shards"]):
+    first = slot % plan["shard_rows"]
+    for s in range(slot // plan["shard_rows"], plan["shards"]):
         with files.open_input_file(f"{root}/shard-{s:08d}.bin") as source:
             source.seek(first * plan["stride"])
             while raw := source.read(plan["stride"] * 1024):
