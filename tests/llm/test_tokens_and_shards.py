@@ -176,30 +176,30 @@ def test_feistel_is_a_permutation(n, key):
     assert np.array_equal(np.sort(s), np.arange(n)) and np.array_equal(trainorder.indices_of(s, n, key), np.arange(n))
 
 
-def test_order_on_disk(spark, odd_docs, tmp_path):
+@pytest.mark.parametrize("block", [trainorder.BLOCK, 7])
+def test_order_on_disk(spark, odd_docs, tmp_path, block):
     model = trainorder.Tokens(trainorder.vocabulary_path())
     at, record, rows_each = f"file://{tmp_path}/order", 32, 100
-    out = trainorder.materialise(odd_docs, at, record=record, shard_rows=rows_each)
+    out = trainorder.materialise(odd_docs.repartition(3), at, record=record, shard_rows=rows_each, block=block)
     files = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "order").iterdir()}
-    rows = out.orderBy("slot").collect()
+    rows = out.collect()
     assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "order").iterdir()} == files  # reading the result writes nothing
-    n = len(rows)
-    assert [r.slot for r in rows] == list(range(n)) and sorted(r.seq_index for r in rows) == list(range(n))
-    assert np.array_equal(trainorder.indices_of(np.arange(n), n), [r.seq_index for r in rows])
-    raw = [(tmp_path / "order" / f"shard-{s:08d}.bin").read_bytes() for s in range(-(-n // rows_each))]
-    assert [len(x) for x in raw] == [64 * min(rows_each, n - k * rows_each) for k in range(len(raw))] and len(files) == len(raw) + 1
-    for r in rows:
-        assert (r.shard, r.offset) == (r.slot // rows_each, r.slot % rows_each * 64)
-        ids = np.frombuffer(raw[r.shard], "<u2", record, r.offset)
-        assert zlib.crc32(ids[: r.n_tokens].tobytes()) == r.token_crc32 and (ids[r.n_tokens :] == trainorder.PAD).all()
-    # joined sequences of a document are the ids of its whole text
-    for d, t in {r.doc_id: r.text or "" for r in odd_docs.collect()}.items():
-        own = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.seq_index)
-        ids = np.concatenate([np.frombuffer(raw[r.shard], "<u2", r.n_tokens, r.offset) for r in own]).tolist()
-        want = [*model.encode(t).tolist(), trainorder.END]
-        assert ids == want * (2 if d == 1 else 1) and [r.seq_no for r in own] == [*range(-(-len(want) // record))] * (2 if d == 1 else 1)
-        assert model.decode(ids[: len(want)]) == t
+    raw = [(tmp_path / "order" / f"shard-{s:08d}.bin").read_bytes() for s in range(len(files) - 1)]
     whole = np.frombuffer(b"".join(raw), "<u2").reshape(-1, record)
+    n = len(whole)
+    assert [len(x) for x in raw] == [64 * min(rows_each, n - k * rows_each) for k in range(len(raw))]
+    texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((r.doc_id for r in odd_docs.collect()), key=repr)
+    taken = np.zeros(n * record, int)
+    for r in rows:  # a document's tokens, wherever the permutation put them, are the ids of its whole text
+        assert (r.shard, r.offset) == (r.slot // rows_each, r.slot % rows_each * 64 + 2 * r.token)
+        assert r.slot == trainorder.slots_of(np.array([r.seq_index]), n)[0]
+        flat = r.seq_index * record + r.token + np.arange(r.n_tokens)
+        taken[flat] += 1
+        ids = whole[trainorder.slots_of(flat // record, n), flat % record]
+        assert ids.tolist() == [*model.encode(texts[r.doc_id]).tolist(), trainorder.END] and zlib.crc32(ids.tobytes()) == r.token_crc32
+        assert model.decode(ids.tolist()) == texts[r.doc_id]
+    assert taken.max() == 1 and (whole[trainorder.slots_of(np.arange(n), n)].ravel()[taken == 0] == trainorder.PAD).all()
     for slot in (0, 1, rows_each, n - 1):
         assert np.array_equal(np.stack(list(trainorder.read_records(at, slot))), whole[slot:])
 

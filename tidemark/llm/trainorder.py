@@ -1,23 +1,25 @@
 """Training-order materialisation (operator 6): token sequences in a keyed pseudo-random order, as fixed-stride shards.
 
-Each text is tokenised whole, once (a public byte-level BPE, an end id behind it); its ids are cut into sequences of
-``RECORD`` ids, the last one padded, and written in document order to the shared folder. Sequences are numbered by the
-partition that wrote them and their place in it. A keyed Feistel permutation of a power-of-four domain, walked until it
-falls below the number of sequences, gives each number its global slot: a bijection that any reader can compute or
-invert from (key, total) alone.
+Each text is tokenised whole, once (a public byte-level BPE, an end id behind it). The ids of the documents that one task
+reads follow each other and are cut into sequences of ``RECORD`` ids; only a task's last one is padded. They are kept as
+compressed blocks in the shared folder. Sequences are numbered by the task that wrote them and their place in it. A keyed
+Feistel permutation of a power-of-four domain, walked until it falls below the number of sequences, gives each number its
+global slot: a bijection that any reader can compute or invert from (key, total) alone.
 
 Slot s lies in shard s div ``SHARD_ROWS`` at byte (s mod ``SHARD_ROWS``) * stride: where a sequence is on disk needs no
-table. Shards are ranges of slots: each task gets its range of the slots (``repartitionById``), sorts and streams it to
-files. A file is written under another name and moved, so a task that runs again after an executor was lost just writes
-the same file again. Training reads shards from front to back and resumes at any slot by one seek.
+table. Shards are ranges of slots: each task gets its range (``repartitionById``), puts one shard's sequences in their
+places at a time and writes them from front to back under another name, then moves the file, so a task that runs again
+after an executor was lost just writes the same file again. Between tasks, sequences travel in compressed groups of one
+block and one shard. Training reads shards from front to back and resumes at any slot by one seek.
 
-The files are written by ``materialise`` itself, once; its result is a stored table, so counting it writes nothing.
+The files are written by ``materialise`` itself, once; its result, a row for each document that says where its tokens
+are, is a stored table, so counting it writes nothing.
 
 A very long text is encoded in steps of ``STEP`` characters or more, cut where a white space follows another character:
 no piece of the pattern reaches across and none looks back, so the ids are those of the whole text.
 
-Defined cases: null or empty text is one sequence with only the end id; repeated rows are sequences of their own; slots
-have no ties; an empty table gives no shards. Only doc_id and text are read.
+Defined cases: null or empty text is only the end id; repeated rows are documents of their own; slots have no ties; an
+empty table gives no shards. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ RECORD, SHARD_ROWS, KEY, ROUNDS = 256, 65_536, 20_240_229, 6
 STEP = 1_000_000
 #: Tasks that write shards, at most; each takes a range of whole shards.
 MOST_TASKS = 20_000
-#: Sequences of one Arrow batch.
-BATCH_SEQUENCES = 4096
+#: Sequences of one block, and how hard blocks and groups are compressed.
+BLOCK, LEVELS = 6144, (6, 3)
 #: Ids that the vocabulary leaves free.
 END, PAD = 50_256, 50_257
 
@@ -141,50 +143,62 @@ def indices_of(slots: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, record: int, vocabulary: str) -> DataFrame:
-    """Every document's ids in sequences of ``record``: doc_id, seq_no, part and at (which partition, its how-manieth),
-    n_tokens (with the end id), ids (two bytes each, padded)."""
+def sequences(docs: DataFrame, record: int, vocabulary: str, block: int = BLOCK) -> DataFrame:
+    """Blocks of sequences: part and at (which task, its how-manieth sequence comes first), n, ids (two bytes each,
+    compressed), and the documents that end in the block: doc_id, start (in the task's ids), n_tokens, crc."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part_id, at = loaded(vocabulary), TaskContext.get().partitionId(), 0
+        model, codec, part_id = loaded(vocabulary), pa.Codec("zstd", compression_level=LEVELS[0]), TaskContext.get().partitionId()
+        held, held_n, at, start = [], 0, 0, 0
+        names, starts, lengths, crcs = [], [], [], []
+
+        def emit(ids: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+            own = pa.StructArray.from_arrays([pa.array(names, id_type), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "crc"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([part_id], pa.int32()), pa.array([at], pa.int64()), pa.array([len(ids) // record], pa.int32()), pa.array([codec.compress(ids.tobytes(), asbytes=True)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)],
+                ["part", "at", "n", "ids", "docs"],
+            )
+            for x in (names, starts, lengths, crcs):
+                x.clear()
+            return out
+
+        id_type = None
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows, lengths, raw = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = model.encode(text or "")
-                    n = len(ids) // record + 1
-                    own = np.full(n * record, PAD, "<u2")
-                    own[: len(ids)] = ids
-                    own[len(ids)] = END
-                    raw.append(own)
-                    rows.append(n)
-                    lengths.append(len(ids) + 1)
-                count = np.array(rows)
-                owner = np.repeat(np.arange(len(count)), count)
-                seq = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                data = np.concatenate(raw)
-                for a in range(0, len(owner), BATCH_SEQUENCES):
-                    o, q = owner[a : a + BATCH_SEQUENCES], seq[a : a + BATCH_SEQUENCES]
-                    offsets = np.arange(len(o) + 1, dtype=np.int32) * (2 * record)
-                    ids = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(offsets), pa.py_buffer(data[a * record : (a + len(o)) * record])])
-                    n_tokens = np.minimum(record, np.array(lengths)[o] - q * record).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(o)), pa.array(q.astype(np.int32)), pa.array(np.full(len(o), part_id, np.int32)), pa.array(np.arange(at, at + len(o))), pa.array(n_tokens), ids],
-                        ["doc_id", "seq_no", "part", "at", "n_tokens", "ids"],
-                    )
-                    at += len(o)
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, seq_no int, part int, at long, n_tokens int, ids binary")
-
-
-def materialise(docs: DataFrame, path: str, key: int = KEY, record: int = RECORD, shard_rows: int = SHARD_ROWS, vocabulary: str | None = None) -> DataFrame:
-    """Write the shards below ``path``; one row for each sequence: doc_id, seq_no (in its document), seq_index, slot,
-    shard, offset (its first byte in the shard), n_tokens (with the end id), token_crc32 (of its ids)."""
+                id_type = part.column("doc_id").type
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    ids = np.append(model.encode(text or ""), END).astype("<u2")
+                    names.append(doc_id)
+                    starts.append(start)
+                    lengths.append(len(ids))
+                    crcs.append(zlib.crc32(ids.tobytes()))
+                    held.append(ids)
+                    held_n += len(ids)
+                    start += len(ids)
+                    if held_n >= block * record:
+                        whole = np.concatenate(held)
+                        for k in range(0, len(whole) - block * record + 1, block * record):
+                            yield emit(whole[k : k + block * record], id_type)
+                            at += block
+                        held = [whole[len(whole) // (block * record) * (block * record) :]]
+                        held_n = len(held[0])
+        if held_n or names:
+            whole = np.concatenate([*held, np.full(-held_n % record, PAD, "<u2")])
+            yield emit(whole, id_type)
+
+    docs_type = f"array<struct<doc_id:{kind},start:bigint,n_tokens:bigint,crc:bigint>>"
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"part int, at long, n int, ids binary, docs {docs_type}")
+
+
+def materialise(docs: DataFrame, path: str, key: int = KEY, record: int = RECORD, shard_rows: int = SHARD_ROWS, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Write the shards below ``path``; one row for each document: doc_id, seq_index and token (the sequence that its
+    first token is in, and where), slot, shard, offset (of that token, in bytes of the shard), n_tokens (with the end id),
+    token_crc32. Its further tokens are in the sequences seq_index + 1, ..., whose slots ``slots_of`` tells."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cells = cut(sequences(docs, record, vocabulary or vocabulary_path()), "training-sequences")
-    counts = dict(tuple(r) for r in cells.groupBy("part").agg(F.count("*")).collect())  # a row for each partition
+    blocks = cut(sequences(docs, record, vocabulary or vocabulary_path(), block), "training-sequences")
+    counts = dict(tuple(r) for r in blocks.groupBy("part").agg(F.sum("n")).collect())  # a row for each task
     total, starts = 0, {}
     for part in sorted(counts):
         starts[part] = total
@@ -192,46 +206,70 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, record: int = RECORD
     stride, shards = 2 * record, -(-total // shard_rows)
     each = max(1, -(-shards // MOST_TASKS))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=LEVELS[1])
         for batch in batches:
-            part, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "at"))
-            which, back = np.unique(part, return_inverse=True)
-            index = np.array([starts[p] for p in which.tolist()], np.int64)[back] + at
-            slot = slots_of(index, total, key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no")), pa.array(index), pa.array(slot), pa.array((slot // (shard_rows * each)).astype(np.int32)), *(batch.column(c) for c in ("n_tokens", "ids"))], ["doc_id", "seq_no", "seq_index", "slot", "task", "n_tokens", "ids"])
+            for part, at, n, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "n", "ids"))):
+                ids = np.frombuffer(codec.decompress(raw, n * stride), "<u2").reshape(n, record)
+                slot = slots_of(starts[part] + at + np.arange(n), total, key)
+                order = np.argsort(slot, kind="stable")
+                shard = slot[order] // shard_rows
+                firsts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+                own = [order[a:b] for a, b in zip(firsts, [*firsts[1:], n])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((shard[firsts] // each).astype(np.int32)), pa.array(shard[firsts].astype(np.int32)), pa.array([slot[o].astype("<i8").tobytes() for o in own], pa.binary()), pa.array([codec.compress(ids[o].tobytes(), asbytes=True) for o in own], pa.binary())],
+                    ["task", "shard", "slots", "ids"],
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
-        now, sink, temporary, due = None, None, "", 0
-        for batch in batches:
-            slots = batch.column("slot").to_numpy(zero_copy_only=False)
-            shard = slots // shard_rows
-            ids = [x.as_buffer() for x in batch.column("ids")]
-            n_tokens = batch.column("n_tokens").to_pylist()
-            for k, s in enumerate(shard.tolist()):
-                if s != now:
-                    if sink is not None:
-                        sink.close()
-                        files.move(temporary, f"{root}/shard-{now:08d}.bin")
-                    now, temporary, due = s, f"{root}/.shard-{s:08d}-{uuid.uuid4().hex}", s * shard_rows
-                    sink = files.open_output_stream(temporary)
-                if slots[k] != due or len(ids[k]) != stride:
-                    raise RuntimeError(f"slot {slots[k]} of {len(ids[k])} bytes where {due} of {stride} bytes was due")
-                sink.write(ids[k])
-                due += 1
-            crc = [zlib.crc32(memoryview(x)[: 2 * n]) for x, n in zip(ids, n_tokens)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "seq_no", "seq_index", "slot")), pa.array(shard.astype(np.int32)), pa.array(slots % shard_rows * stride), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "seq_no", "seq_index", "slot", "shard", "offset", "n_tokens", "token_crc32"])
-        if sink is not None:
-            sink.close()
+        now, places, seen = None, None, None
+
+        def close() -> pa.RecordBatch:
+            if not seen.all():
+                raise RuntimeError(f"shard {now} lacks {int((~seen).sum())} of {len(seen)} sequences")
+            temporary = f"{root}/.shard-{now:08d}-{uuid.uuid4().hex}"
+            with files.open_output_stream(temporary) as sink:
+                sink.write(memoryview(places).cast("B"))
             files.move(temporary, f"{root}/shard-{now:08d}.bin")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(seen)], pa.int64())], ["shard", "sequences"])
 
-    placed = cells.mapInArrow(number, f"doc_id {kind}, seq_no int, seq_index long, slot long, task int, n_tokens int, ids binary")
-    ranges = placed.repartitionById(max(1, -(-shards // each)), "task").sortWithinPartitions("slot")
-    out = cut(ranges.mapInArrow(write, f"doc_id {kind}, seq_no int, seq_index long, slot long, shard int, offset long, n_tokens int, token_crc32 long"), "training-order")
-    drop_cut(cells)
+        for batch in batches:
+            for shard, slots, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "slots", "ids"))):
+                if shard != now:
+                    if now is not None:
+                        yield close()
+                    now = shard
+                    rows = min(shard_rows, total - shard * shard_rows)
+                    places, seen = np.zeros((rows, record), "<u2"), np.zeros(rows, bool)
+                at = np.frombuffer(slots, "<i8") - shard * shard_rows
+                places[at] = np.frombuffer(pa.decompress(raw, len(at) * stride, "zstd"), "<u2").reshape(-1, record)
+                seen[at] = True
+        if now is not None:
+            yield close()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, start, n_tokens, crc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "start", "n_tokens", "crc"))
+            which, back = np.unique(part, return_inverse=True)
+            index = np.array([starts[p] for p in which.tolist()], np.int64)[back] + start // record
+            slot, token = slots_of(index, total, key), start % record
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(index), pa.array(token.astype(np.int32)), pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot % shard_rows * stride + 2 * token), pa.array(n_tokens), pa.array(crc)],
+                ["doc_id", "seq_index", "token", "slot", "shard", "offset", "n_tokens", "token_crc32"],
+            )
+
+    groups = blocks.select("part", "at", "n", "ids").mapInArrow(group, "task int, shard int, slots binary, ids binary")
+    written = groups.repartitionById(max(1, -(-shards // each)), "task").sortWithinPartitions("shard").select("shard", "slots", "ids").mapInArrow(write, "shard int, sequences long")
+    found = written.agg(F.count("*"), F.sum("sequences")).first()
+    if tuple(found) != (shards, total or None):
+        raise RuntimeError(f"{tuple(found)} shards and sequences were written, not {(shards, total)}")
+    own = blocks.select("part", F.explode("docs").alias("d")).select("part", "d.*")
+    out = cut(own.mapInArrow(place, f"doc_id {kind}, seq_index long, token int, slot long, shard int, offset long, n_tokens long, token_crc32 long"), "training-order")
+    drop_cut(blocks)
     write_plan(path, {"sequences": total, "shards": shards, "record": record, "stride": stride, "shard_rows": shard_rows, "key": key, "pad": PAD, "end": END, "dtype": "<u2"})
     return out
 
