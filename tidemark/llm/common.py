@@ -101,6 +101,18 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: str, make):
+    """What ``make`` builds, kept by a Python worker from task to task until it is asked for another key: one model and
+    its cache at a time, so that stages of a pipeline don't add up in memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class TokenTable:
     """Rows of numbers for tokens, worked out once while the token stays in a cache of about ``most`` tokens.
 

@@ -4,18 +4,23 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 all ways to cut it into pieces, of the products of their probabilities: a forward algorithm over the word's lattice,
 for all languages at once. A text's score is the sum over its words; the posterior of the best language is ``score``.
 
-Learning: piece probabilities by expectation-maximisation (forward-backward over the same lattices) on the words of
-about ``SAMPLE_DOCS`` documents with a language whose crc32(doc_id) mod 3 is not 1, at most ``SAMPLE_WORDS`` different
-(language, word) pairs, the most frequent ones. That bound on what the classifier learns from is the only one:
-every text is scored whole.
+Learning: piece probabilities by expectation-maximisation (forward-backward over the same lattices) on all words of about
+``SAMPLE_DOCS`` documents with a language whose crc32(doc_id) mod 3 is not 1. Languages share that number of documents:
+those with few are taken whole, the others in equal parts, so every language of the labels is learned. The number of
+documents is the only bound; words and their counts stay distributed, and each round sends the driver the expected
+counts of the vocabulary's pieces only. A share ``UNSEEN`` of each language is spread over all pieces alike, so that
+what no language has speaks for none. Every text is scored whole.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is every text if nothing can be learned
-from (no labelled rows, empty table); repeated rows are scored each; only doc_id, text and (to learn) lang are read.
+from (no labelled rows, empty table); a language whose documents have no letter is not learned; of equally likely
+languages the first by name is predicted; very long texts and words are summed step by step; repeated rows are scored
+each; only doc_id, text and (to learn) lang are read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TokenTable, bounded_batches, fold, id_bucket, pieces, sampled, sums, table
+from tidemark.llm.common import TokenTable, bounded_batches, cut, drop_cut, fold, id_bucket, kept, pieces, sums, table
 
-SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, SMOOTHING = 4000, 60_000, 4, 0.05
+SAMPLE_DOCS, ROUNDS, UNSEEN = 4000, 4, 0.01
+#: Words of one step of learning, and tasks of one round.
+STEP_WORDS, TASKS = 5000, 24
 FOLDS, HELD_OUT = 3, 1
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -100,7 +107,7 @@ class Model:
     """Piece probabilities p[piece, language] and the languages' names."""
 
     def __init__(self, langs: list[str], p: np.ndarray, path: str) -> None:
-        self.langs, self.p, self.path = langs, p, path
+        self.langs, self.p, self.path, self.key = langs, p, path, uuid.uuid4().hex
 
     def forward(self, lattice: Lattice, words: list[str], arcs=None) -> np.ndarray:
         """Probabilities alpha[word, position, language] of each word's beginnings, times ``scale`` for each letter."""
@@ -158,21 +165,19 @@ class Model:
 SCALE = 8.0
 
 
-def fit(langs: list[str], words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation from the words' counts[word, language]."""
-    lattice = Lattice(path)
-    model = Model(langs, np.full((lattice.size, len(langs)), 1 / lattice.size), path)
-    keep = sorted((k for k, w in enumerate(words) if len(w) <= LONG), key=lambda k: len(words[k]))
-    blocks = []  # words of like length together, few enough for small arrays
-    for at in range(0, len(keep), 5000):
-        own = [words[k] for k in keep[at : at + 5000]]
-        blocks.append((own, counts[keep[at : at + 5000]], lattice.arcs(own)))
-    for _ in range(rounds if blocks else 0):
-        sum_of = np.full((lattice.size, len(langs)), SMOOTHING)
-        for own, n, arcs in blocks:
-            _expect(model, lattice, own, n, arcs, sum_of)
-        model = Model(langs, sum_of / sum_of.sum(axis=0), path)
-    return model
+def spread(sum_of: np.ndarray) -> np.ndarray:
+    """Probabilities from expected counts, a share ``UNSEEN`` over all pieces alike."""
+    return (1 - UNSEEN) * sum_of / np.maximum(sum_of.sum(axis=0), 1e-300) + UNSEEN / len(sum_of)
+
+
+def expected(model: Model, lattice: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Expected counts [piece, language] of the pieces in words with their counts[word, language]."""
+    sum_of = np.zeros((lattice.size, len(model.langs)))
+    order = sorted((k for k, w in enumerate(words) if len(w) <= LONG), key=lambda k: len(words[k]))
+    for at in range(0, len(order), STEP_WORDS):  # words of like length together, few enough for small arrays
+        own = [words[k] for k in order[at : at + STEP_WORDS]]
+        _expect(model, lattice, own, counts[order[at : at + STEP_WORDS]], lattice.arcs(own), sum_of)
+    return sum_of
 
 
 def _expect(model: Model, lattice: Lattice, words: list[str], counts: np.ndarray, arcs: tuple, sum_of: np.ndarray) -> None:
@@ -200,10 +205,26 @@ def _words(text: str | None) -> list[str]:
     return [] if not text else [MARK + w for w in _LETTERS.findall(text.lower())]
 
 
+def quotas(n_of: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each language's documents to take: small languages whole, the others an equal number."""
+    left, out = sample, {}
+    for k, (lang, n) in enumerate(sorted(n_of.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, max(1, left // (len(n_of) - k)))
+        out[lang], left = take / n, left - take
+    return out
+
+
 def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -> Model | None:
     """Fit on a bounded sample of the documents that have a language; None if there are none."""
     path = path or vocabulary_path()
+    spark = docs.sparkSession
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = quotas(dict(tuple(r) for r in labelled.groupBy("lang").agg(F.count("*")).collect()), sample)
+    if not share:
+        return None
+    parts = spark.createDataFrame(list(share.items()), "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000))
+    chosen = labelled.join(F.broadcast(parts), "lang").where(drawn < F.col("share") * 1_000_000).select("lang", "text")  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,16 +235,36 @@ def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
-    rows = sampled(labelled, "doc_id", sample, 10).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "lang", "word").limit(SAMPLE_WORDS).toArrow()
-    if not top.num_rows:
+    rows = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
+    words = cut(rows.coalesce(TASKS), "langid-words")
+    langs = [r.lang for r in words.select(F.explode("counts.lang").alias("lang")).distinct().orderBy("lang").collect()]
+    if not langs:
         return None
-    lang, word, n = (top.column(c).to_pylist() for c in ("lang", "word", "n"))
-    langs, words = sorted(set(lang)), sorted(set(word))
-    of_lang, of_word = {x: k for k, x in enumerate(langs)}, {x: k for k, x in enumerate(words)}
-    counts = np.zeros((len(words), len(langs)))
-    counts[[of_word[x] for x in word], [of_lang[x] for x in lang]] = n
-    return fit(langs, words, counts, path)
+    of_lang, lattice = {x: k for k, x in enumerate(langs)}, Lattice(path)
+    model = Model(langs, np.full((lattice.size, len(langs)), 1 / lattice.size), path)
+    lattice_key = f"lattice-{uuid.uuid4().hex}"
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(model.p)  # bounded by the vocabulary
+
+        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            now, own = Model(langs, sent.value, path), kept(lattice_key, lambda: Lattice(path))
+            total = np.zeros((own.size, len(langs)))
+            for batch in batches:
+                counts = np.zeros((batch.num_rows, len(langs)))
+                for k, pairs in enumerate(batch.column("counts").to_pylist()):
+                    for x in pairs:
+                        counts[k, of_lang[x["lang"]]] = x["n"]
+                total += expected(now, own, batch.column("word").to_pylist(), counts)
+            piece, lang = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
+
+        found = words.mapInArrow(step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        sum_of = np.zeros((lattice.size, len(langs)))
+        sum_of[found.column("piece").to_numpy(), found.column("lang").to_numpy()] = found.column("n").to_numpy()
+        model = Model(langs, spread(sum_of), path)
+        sent.unpersist()
+    drop_cut(words)
+    return model
 
 
 class Scorer:
@@ -263,10 +304,10 @@ class Scorer:
 
 
 def _apply(docs: DataFrame, model: Model | None, keep_known: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), model and f"langid-{model.key}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = kept(key, lambda: Scorer(sent.value)) if key else None
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = part.column("text").to_pylist()
