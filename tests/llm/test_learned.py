@@ -220,6 +220,20 @@ def test_languages_of_the_table(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_every_labelled_language_is_learned(spark):
+    import random
+
+    rng = random.Random(1)
+    english = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(300)) for _ in range(400)]
+    rows = [(k, t, "en") for k, t in enumerate(english)]
+    greek = next(k for k in range(1000, 1010) if zlib.crc32(str(k).encode()) % 3 != 1)
+    rows += [(greek, "η αλεπού πηδάει πάνω από το σκυλί", "el"), (5000, "το σκυλί πηδάει", None), (5001, english[0], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, sample=100).collect()}
+    assert got[5000] == "el" and got[5001] == "en" and list(got.values()).count("el") == 2
+    assert langid.quotas({"a": 1000, "b": 3, "c": 10}, 20) == {"b": 1.0, "c": 0.8, "a": 0.009}
+
+
 def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     rows = langid.identify(odd_docs).collect()
     assert len(rows) == 11
@@ -236,10 +250,10 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs):
 
 @pytest.fixture(scope="module")
 def chars():
-    return toxicity.CharModel({w: 50 for w in "idiot stupid moron loser pathetic worthless clown trash the and house street letter total titled".split()})
+    return toxicity.CharModel(toxicity.trigrams({w: 50 for w in "idiot stupid moron loser pathetic worthless clown trash the and house street letter total titled covid http www rd mp".split()}))
 
 
-@pytest.mark.parametrize("token, word", [("1d10t", "idiot"), ("$tup1d", "stupid"), ("m.o.r.o.n", "moron"), ("l0000ser", "loser"), ("tr@sh!!", "trash"), ("s t u p i d", "stupid"), ("idiooot", "idiot"), ("house", "house"), ("l3tt3r", "letter"), ("(the)", "the"), ("***", "")])
+@pytest.mark.parametrize("token, word", [("1d10t", "idiot"), ("$tup1d", "stupid"), ("m.o.r.o.n", "moron"), ("l0000ser", "loser"), ("tr@sh!!", "trash"), ("s t u p i d", "stupid"), ("idiooot", "idiot"), ("house", "house"), ("l3tt3r", "letter"), ("(the)", "the"), ("***", ""), ("covid19", "covid19"), ("http://www.mp", "http://www.mp"), ("2024", "")])
 def test_restored(chars, token, word):
     assert toxicity.restored(token, chars) == word
 
@@ -261,6 +275,17 @@ def test_viterbi_is_the_best_path(chars):
         assert "".join(x for x, _ in best) == toxicity.decode(token, chars)
 
 
+def test_long_tokens_take_linear_time(chars):
+    import time
+
+    scorer = toxicity.Scorer(chars, {"idiot": 3.0})
+    start = time.perf_counter()
+    for middle in ("." * 10**6, ".-" * 500_000, "o" * 10**6, "0" * 10**6, "x " * 500_000, "a." * 500_000):
+        scorer.evidence(["a" + middle + "b"])
+    assert time.perf_counter() - start < 6
+    assert scorer.evidence(["." * 300 + "idiot" + "/" * 300 + "b"])[0, 1] > 0 and toxicity.bare("(.a!.)") == "a!"
+
+
 def test_spaced_letters_are_one_token():
     assert toxicity.tokens_of("you i d i o t a b") == ["you", "i d i o t a b"] and toxicity.tokens_of("a b word c d e") == ["a", "b", "word", "c d e"] and toxicity.tokens_of(None) == []
 
