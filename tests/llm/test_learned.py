@@ -69,6 +69,63 @@ def test_blocks():
     assert [b.text for b in blocks.blocks_of('a < b <p title="x>y">c</p> <')] == ["a < b", "c", "<"]
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<html><head><title>T</title><p>Hello there<p>B", ["Hello there", "B"]),
+        ("<head><meta charset=x><title>T</title><script>a<b</script>text", ["text"]),
+        ("<head><title>T</title></head><body><p>x", ["x"]),
+        ("<head><title>T", ["T"]),
+        ("<p>A.</p><noscript>x<p>B.</p>", ["A.", "x", "B."]),
+        ("<p>A<select><option>1<p>B</p>", ["A", "1", "B"]),
+        ("<p>A<select><option>1</select> B</p>", ["A B"]),
+        ("<p>A<svg><text>t</text></svg><object>o</object><iframe>i</iframe><template>q</template>B", ["A", "B"]),
+        ("<p>A<script>var x = '<p>no</p>';", ["A"]),
+        ("<p>a <b>b</i></p> c<a href='x>y'>d</a> <a title=\"open>e</a>", ["a b", "cd e"]),
+        ("x <a <b y", ["x <a <b y"]),
+    ],
+)
+def test_broken_pages(html, texts):
+    assert [b.text for b in blocks.blocks_of(html)] == texts
+
+
+def test_adversarial_pages_take_linear_time(labeller):
+    import time
+    import tracemalloc
+
+    reader = blocks.Reader()
+    n = 300_000
+    for html in ("<a " * (n // 3), "<b>" * (n // 6) + "</i>" * (n // 8), "<div>x" * (n // 6), "<b>" * (n // 6) + "<p></p>" * (n // 14), "<noscript>" * (n // 10), '<a "' * (n // 4), "<p>word" * (n // 7), "<" * n, "<!--" * (n // 4), "<a title='\"<a title=\"'" * (n // 22)):
+        start = time.perf_counter()
+        labeller.label(reader, [blocks.blocks_of(html)])
+        assert time.perf_counter() - start < 15, html[:20]
+    tracemalloc.start()
+    found = blocks.blocks_of("<div>x" * 10_000)
+    labeller.label(reader, [found])
+    assert len(found) == 10_000 and tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
+def test_lstm_step_by_step_and_in_segments(labeller):
+    made = [blocks.training_page(7 * 10**8 + k)[0] for k in range(12)]
+    reader, sig = blocks.Reader(), lambda z: 1 / (1 + np.exp(-z))
+    plain = []
+    for own in made:
+        x, sides = reader.page(own).astype(float), []
+        for w, rows in ((labeller.w[0], x), (labeller.w[1], x[::-1])):
+            h, c, out = np.zeros(blocks.HIDDEN), np.zeros(blocks.HIDDEN), []
+            for row in rows:
+                z = np.concatenate((row, h, [1.0])) @ w
+                i, f, o, g = np.split(z, 4)
+                c = sig(f) * c + sig(i) * np.tanh(g)
+                h = sig(o) * np.tanh(c)
+                out.append(h)
+            sides.append(np.array(out))
+        plain.append(sig(np.concatenate((sides[0], sides[1][::-1]), axis=1) @ labeller.out[:-1] + labeller.out[-1]))
+    for got in (labeller.label(reader, made), labeller.label(reader, made, steps=3)):
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, plain))
+
+
 def test_odd_pages(spark, labeller):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<p"), (3, "v", deep), (3, "v", deep), (4, "w", "<article>" + "<p>Some words here, and more of them follow.</p>" * 3000 + "</article>")]

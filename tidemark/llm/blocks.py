@@ -14,8 +14,12 @@ Text: character references decoded, white space inside a block turned into one s
 order by two line feeds; scripts, styles, templates and comments have no text; ``br`` is white space.
 
 Defined cases: null or empty html, and html without an article, give an empty text with n_chars 0; broken markup is
-read as browsers do in spirit (unclosed paragraphs and list items close themselves, stray end tags are ignored); a page
-without any markup is one block; repeated rows are read each. Only page_id, url and html are read.
+read as browsers do in spirit: unclosed paragraphs and list items close themselves, stray end tags are ignored, a head
+ends at the first text or element that doesn't belong there, an element without text of its own (noscript, select, object,
+svg, ...) that is never closed hides nothing; only a script or style that is never closed takes the rest of the page, as
+it does in browsers. A page without any markup is one block; very long and deep pages take time and memory in
+proportion to their length (the LSTM runs over segments with its states carried over); equal probabilities need no
+order; repeated rows are read each. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import escape, unescape
 
 import numpy as np
@@ -39,10 +46,14 @@ PAGES, EPOCHS, SEED = 2500, 8, 11
 #: Shrinks weights at each step, and the share of pages whose words or names are hidden: layouts count, not vocabulary.
 DECAY, HIDE_WORDS, HIDE_NAMES = 1e-4, 0.3, 0.01
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>""", re.S)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[/!?])")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "select", "head"}
+#: Elements whose content is no text of the page; those of the second set break a block, the third swallow a page that doesn't end them.
+_HIDDEN = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "select", "title"}
+_BREAKING, _SWALLOWING = {"script", "style", "template", "title"}, {"script", "style"}
+_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "link", "meta"}
 #: An element of the left closes open ones of the right.
@@ -50,19 +61,82 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+class Node:
+    """An open block element under its parent, with the hashed names of both: a block costs one link, however deep."""
+
+    __slots__ = ("up", "element", "own", "open")
+
+    def __init__(self, up: Node | None, element: str) -> None:
+        self.up, self.element = up, element
+        self.own = 0
+        for w in set(_NAME.findall(element)):
+            self.own |= 1 << _name_bucket[w]
+        self.open = self.own | (up.open if up else 0)
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked")
+
+    def __init__(self, node: Node | None, text: str, linked: int) -> None:
+        self.node, self.text, self.linked = node, text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The open block elements, outermost first."""
+        out, node = [], self.node
+        while node:
+            out.append(node.element)
+            node = node.up
+        return tuple(reversed(out))
+
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+def tags_of(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, stop, closing, name, attributes) of each tag in order (no name: a comment or declaration), in linear time.
+    Resumes where the receiver sends it. Quotes guard ``>`` until one is never closed; from there on they don't."""
+    at, loose = 0, False
+    while True:
+        m = _OPEN.search(html, at)
+        if not m:
+            return
+        name, after = m.group(2), m.end()
+        if name is None and m.group().endswith("--"):
+            end = html.find("-->", after)
+            stop = len(html) if end < 0 else end + 3
+        else:
+            end = -1
+            if name is not None and not loose:
+                end = _ATTRIBUTES.match(html, after).end()
+                if not html.startswith(">", end):
+                    end, loose = -1, True
+            end = end if end >= 0 else html.find(">", after)
+            if end < 0:
+                return
+            stop = end + 1
+        at = (yield m.start(), stop, bool(m.group(1)), name and name.lower(), html[after : stop - 1]) or stop
+
+
+class _Ends:
+    """Where an element's end tags are, looked up once for each name."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.found = html, {}
+
+    def after(self, name: str, at: int) -> int:
+        """The place behind the first end tag from ``at`` on; -1 if there is none."""
+        if name not in self.found:
+            self.found[name] = [(m.start(), m.end()) for m in re.compile(rf"</{name}\s*>", re.I).finditer(self.html)]
+        own = self.found[name]
+        k = bisect_left(own, (at, 0))
+        return own[k][1] if k < len(own) else -1
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The leaf blocks of a page, in order."""
+    """The leaf blocks of a page, in order, in time in proportion to its length."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (tag, tag with the names it carries)
+    stack: list[tuple[str, Node | None, int]] = []  # (tag, innermost block element, place of that in the stack)
     parts: list[str] = []
-    linked, links, skip, at = 0, 0, None, 0
+    open_tags: Counter = Counter()
+    ends, linked, at, head = _Ends(html), 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -70,73 +144,71 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(tuple(s[1] for s in stack if s[0] not in _INLINE), text, linked))
+                out.append(Block(stack[-1][1] if stack else None, text, linked))
         linked = 0
 
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
-        if skip is None and m.start() > at:
-            piece = html[at : m.start()]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        name = m.group(2)
+    def close(k: int) -> None:
+        for t, _, _ in stack[k:]:
+            open_tags[t] -= 1
+        del stack[k:]
+
+    tags, resume = tags_of(html), None
+    while True:
+        try:
+            start, stop, closing, name, attributes = tags.send(resume)
+        except StopIteration:
+            break
+        resume = None
+        if start > at:
+            piece = html[at:start]
+            head = head and not piece.strip()
+            if not head:
+                parts.append(piece)
+                linked += len(piece) if open_tags["a"] else 0
+        at = stop
         if name is None:
             continue
-        name, closing = name.lower(), bool(m.group(1))
-        if skip is not None:
-            if closing and name == skip or skip == "head" and name == "body":
-                skip = None
-            if not (skip is None and name == "body" and not closing):
-                if skip in ("script", "style", "textarea") or name != "script" or closing:
-                    continue
-        if name in _RAW and not closing and skip is None:
-            if name not in ("textarea", "select", "svg", "math", "object", "iframe", "noscript"):
+        if name in _HIDDEN and not closing:
+            if name in _BREAKING:
                 flush()
-            if not m.group(3).endswith("/"):
-                skip = name
-                if name != "head":  # nothing inside is markup: jump to the end tag
-                    end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                    at, skip = (end.end() if end else len(html)), None
+            if not attributes.endswith("/"):
+                end = ends.after(name, stop)
+                if end >= 0 or name in _SWALLOWING:
+                    at = resume = end if end >= 0 else len(html)
+            head = head and name in _HEAD
             continue
-        if skip is not None:  # a script inside head
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+        if name == "head":
+            head = not closing
+            flush()
             continue
+        head = head and (closing or name in _HEAD)
         if name == "br":
             parts.append(" ")
             continue
         if name not in _INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    gone = stack[k:]
-                    del stack[k:]
-                    links -= sum(1 for t, _ in gone if t == "a")
-                    break
+            if open_tags[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in _VOID:
             continue
-        if name not in _INLINE:
-            closes = _CLOSES.get(name)
-            if stack and stack[-1][0] not in _INLINE:
-                top = len(stack) - 1
-            else:
-                top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _INLINE), -1)
-            if top >= 0 and (stack[top][0] == "p" or stack[top][0] in _HEADINGS and name in _HEADINGS or closes and stack[top][0] in closes):
-                links -= sum(1 for t, _ in stack[top:] if t == "a")
-                del stack[top:]
-        if m.group(3).endswith("/"):
+        if name not in _INLINE and stack and stack[-1][2] >= 0:
+            top = stack[-1][2]
+            over, closes = stack[top][0], _CLOSES.get(name)
+            if over == "p" or over in _HEADINGS and name in _HEADINGS or closes and over in closes:
+                close(top)
+        if attributes.endswith("/"):
             continue
-        names = _NAMED.findall(m.group(3)) if "=" in m.group(3) else ()
-        stack.append((name, f"{name} {' '.join(x for n in names for x in n if x).lower()}" if names else name))
-        if name == "a":
-            links += 1
-    if skip is None and at < len(html):
+        up, top = stack[-1][1:] if stack else (None, -1)
+        if name not in _INLINE:
+            names = _NAMED.findall(attributes) if "=" in attributes else ()
+            up, top = Node(up, f"{name} {' '.join(x for n in names for x in n if x).lower()}" if names else name), len(stack)
+        stack.append((name, up, top))
+        open_tags[name] += 1
+    if at < len(html) and not (head and not html[at:].strip()):
         parts.append(html[at:])
+        linked += len(html) - at if open_tags["a"] else 0
     flush()
     return out
 
@@ -155,42 +227,39 @@ class _Buckets(dict):
         return k
 
 
+_name_bucket = _Buckets(PATH // 2)
+
+
+def _bits(values: list[int]) -> np.ndarray:
+    """Whole numbers of PATH // 2 bits as rows of noughts and ones."""
+    size = PATH // 16
+    raw = np.frombuffer(b"".join(v.to_bytes(size, "little") for v in values), np.uint8).reshape(-1, size)
+    return np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
+
+
 class Reader:
     """Blocks as vectors."""
 
     def __init__(self) -> None:
-        self.words, self.names, self.paths = _Buckets(WORDS), _Buckets(PATH // 2), {}
-
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        """First half: names of the element nearest to the text; second half: names of all that are open."""
-        got = self.paths.get(path)
-        if got is None:
-            got = np.zeros(PATH, np.float32)
-            for k, element in enumerate(reversed(path)):
-                for w in set(_NAME.findall(element)):
-                    b = self.names[w]
-                    got[PATH // 2 + b] = 1.0
-                    if k == 0:
-                        got[b] = 1.0
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            self.paths[path] = got
-        return got
-
-    def page(self, blocks: list[Block]) -> np.ndarray:
+        self.words = _Buckets(WORDS)
+
+    def page(self, blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+        """One row a block; these are blocks ``first``... of a page of ``of``. The path's first half has the names of the
+        element nearest to the text, the second half the names of all that are open."""
         n = len(blocks)
         x = np.zeros((n, INPUTS), np.float32)
         if not n:
             return x
         owner, bucket, plain = [], [], []
         for k, b in enumerate(blocks):
-            x[k, :PATH] = self.path(b.path)
             own = b.text.lower().split()
             bucket += [self.words[w] for w in own]
             owner += [k] * len(own)
             t, size = b.text, len(b.text)
             stops = t.count(".") + t.count("!") + t.count("?") + t.count("。")
-            plain.append((min(len(own), 200) / 50, np.log1p(size) / 5, min(1.0, b.linked / size), min(stops / 3, 2.0), min(10 * t.count(",") / size, 0.5), t[-1] in ".!?:;\"'”。", t[0].isupper(), len(own) < 4, sum(map(t.count, "©»›·")) > 0, (k + 1) / n))
+            plain.append((min(len(own), 200) / 50, np.log1p(size) / 5, min(1.0, b.linked / size), min(stops / 3, 2.0), min(10 * t.count(",") / size, 0.5), t[-1] in ".!?:;\"'”。", t[0].isupper(), len(own) < 4, sum(map(t.count, "©»›·")) > 0, (first + k + 1) / (of or n)))
+        x[:, : PATH // 2] = _bits([b.node.own if b.node else 0 for b in blocks])
+        x[:, PATH // 2 : PATH] = _bits([b.node.open if b.node else 0 for b in blocks])
         x[:, PATH + WORDS :] = plain
         hashed = np.bincount(np.array(owner) * WORDS + np.array(bucket), minlength=n * WORDS).reshape(n, WORDS)
         x[:, PATH : PATH + WORDS] = hashed / np.maximum(1, np.sqrt((hashed**2).sum(axis=1, keepdims=True)))
@@ -259,6 +328,38 @@ class Labeller:
                 out[k] = _sigmoid(both @ self.out[:-1] + self.out[-1])
         return out
 
+    def predict_long(self, reader: Reader, blocks: list[Block], steps: int = 3000) -> np.ndarray:
+        """``predict`` for one page of any length, in segments of ``steps`` blocks: states are carried over both ways, and
+        only the hidden values of all blocks are held."""
+        n = len(blocks)
+        hidden = np.zeros((n, 2 * HIDDEN), np.float32)
+        spans = [(a, min(a + steps, n)) for a in range(0, n, steps)]
+        for side, order in enumerate((spans, spans[::-1])):
+            h, c, recurrent = np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), self.w[side][INPUTS:-1]
+            for a, b in order:
+                gates = reader.page(blocks[a:b], a, n) @ self.w[side][:INPUTS] + self.w[side][-1]
+                out = hidden[a:b, side * HIDDEN : (side + 1) * HIDDEN]
+                for t in range(b - a - 1, -1, -1) if side else range(b - a):
+                    z = gates[t] + h @ recurrent
+                    s = _sigmoid(z[: 3 * HIDDEN])
+                    c = s[HIDDEN : 2 * HIDDEN] * c + s[:HIDDEN] * np.tanh(z[3 * HIDDEN :])
+                    h = s[2 * HIDDEN :] * np.tanh(c)
+                    out[t] = h
+        return _sigmoid(hidden @ self.out[:-1] + self.out[-1])
+
+    def label(self, reader: Reader, found: list[list[Block]], steps: int = 3000) -> list[np.ndarray]:
+        """Probabilities for the blocks of pages; long pages one by one."""
+        short = [k for k, own in enumerate(found) if len(own) <= steps]
+        out = [np.zeros(0)] * len(found)
+        for at in range(0, len(short), 200):
+            own = short[at : at + 200]
+            for k, p in zip(own, self.predict([reader.page(found[k]) for k in own], steps)):
+                out[k] = p
+        for k, own in enumerate(found):
+            if len(own) > steps:
+                out[k] = self.predict_long(reader, own, steps)
+        return out
+
     def gradient(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
         """Of the mean log loss over all blocks, for (w[0], w[1], out)."""
         order = sorted(range(len(pages)), key=lambda k: -len(pages[k]))
@@ -479,8 +580,9 @@ def _hidden(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    """Adam on made-up pages; the same seed gives the same model."""
+    """Adam on made-up pages; the same seed gives the same model, made once in a driver's life."""
     reader, model = Reader(), Labeller(seed)
     made = [training_page(seed * 100_000 + k) for k in range(pages)]
     made = [(b, y) for b, y in made if b]
@@ -505,14 +607,14 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labelle
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks and n_kept for each row of ``pages``."""
     bounded_batches(pages.sparkSession)
-    sent = pages.sparkSession.sparkContext.broadcast(model or train())
+    sent = pages.sparkSession.sparkContext.broadcast(model or train())  # some 100 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, reader = sent.value, Reader()
         for batch in batches:
             for part in pieces(batch, "html"):
                 found = [blocks_of(h) if h else [] for h in part.column("html").to_pylist()]
-                labels = labeller.predict([reader.page(b) for b in found])
+                labels = labeller.label(reader, found)
                 kept = [[b.text for b, p in zip(own, probability) if p >= 0.5] for own, probability in zip(found, labels)]
                 texts = ["\n\n".join(k) for k in kept]
                 yield pa.RecordBatch.from_arrays(
