@@ -187,3 +187,29 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.decontaminate(no_docs, bench).count() == 0
     none = decontaminate.decontaminate(odd_docs, bench.where("item_id = 77")).collect()
     assert len(none) == 11 and not any(r.contaminated for r in none)
+
+
+def test_blocks_are_bounded_and_split_items(spark, sf):
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(500))), (2, "a b"), (3, None)], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, most=100))
+    sizes = [sum(max(1, len(raw.split()) - 9) for _, _, raw in b) for b in blocks]
+    assert max(sizes) <= 100 and sum(sizes) == 492
+    text = " ".join(f"w{k}" for k in range(90, 130))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "w90 w91")], "doc_id long, text string")
+    for most in (100, 7):
+        rows = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, bench, most=most).collect())
+        assert rows == [(1, 40, 40, 1), (1, 40, 40, 1), (2, 2, 0, 0)]
+
+
+def test_leaks_as_sql(spark, sf):
+    from pathlib import Path
+
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{Path(sf) / name}.parquet'")
+    want = con.execute(decontaminate.SQL).df()
+    got = decontaminate.op8(spark, sf).toPandas()[list(want.columns)]
+    order = lambda df: df.sort_values("doc_id").reset_index(drop=True)
+    assert order(got).astype(object).equals(order(want).astype(object)) and got.contaminated.any()

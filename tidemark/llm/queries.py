@@ -16,4 +16,4 @@ QUERIES = {
     "op9_deobfuscated_toxicity": toxicity.op9,
     "op10_marginal_unigrams": langid.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_wu_manber": decontaminate.SQL}
