@@ -348,3 +348,43 @@ def test_trigger_report_of_silent_channels(spark):
     got = {r.channel: (r.edges, r.binary) for r in other.trigger_report(frame(spark, x)).collect()}
     assert got == {0: (0, False), 1: (2, True), 2: (0, True)}
     assert other.trigger_report(frame(spark, x).where("t < 0")).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(0)
+    groups = {0: rng.standard_normal(20_000), 1: np.repeat(1.0, 9000), 2: np.concatenate((np.zeros(6000), rng.random(6001))), 3: rng.random(7), 4: np.array([2.0]), 5: rng.integers(0, 5, 5000).astype(float)}
+    df = spark.createDataFrame(pd.DataFrame([(c, x) for c, own in groups.items() for x in own], columns=["channel", "value"]))
+    ps = [0, 5, 25, 50, 99.9, 100]
+    for r in reduce.order_statistics(df, ["channel"], ps).collect():
+        assert np.allclose([r[f"_p{k}"] for k in range(len(ps))], np.percentile(groups[r.channel], ps), rtol=1e-12)
+    for r in reduce.percentile_nearest(df, ["channel"], 90).collect():
+        own = np.sort(groups[r.channel])
+        assert r.prctile == own[min(int(np.rint(len(own) * 0.9)), len(own) - 1)]
+    whole = np.concatenate(list(groups.values()))
+    assert np.allclose(list(reduce.percentile_linear(df, [], [10, 90]).first()), np.percentile(whole, [10, 90]), rtol=1e-12)
+    assert reduce.order_statistics(df.where("channel > 9"), ["channel"], ps).count() == 0
+
+
+def test_roc_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "RANGES", 8)
+    monkeypatch.setattr(reduce, "RANGE_ROWS", 10)
+    rng = np.random.default_rng(1)
+    a, b = np.round(rng.standard_normal(300), 1), np.round(rng.standard_normal(200) + 1, 1)
+    one = lambda x: spark.createDataFrame([(float(v),) for v in x], "value double")
+    rows = reduce.roc(one(a), one(b)).collect()
+    assert {r.threshold for r in rows} == set(a) | set(b)
+    assert all(math.isclose(r.fp, (a >= r.threshold).mean()) and math.isclose(r.tp, (b >= r.threshold).mean()) for r in rows)
+
+
+def test_plans_have_no_loop_and_no_single_task(spark):
+    df = frame(spark, np.zeros((2, 50)))
+    segments = spark.createDataFrame([(5, 9), (20, 22)], "start long, stop long")
+    assert "NestedLoop" not in plan_of(slicing.prune_segments(df, segments))
+    level = spark.createDataFrame([(0, 0, False), (0, 1, True), (1, 0, True)], "rec long, t long, level boolean")
+    for plan in (plan_of(events.rising_edges(level.drop("rec"))), plan_of(events.rising_edges(level, ("rec",))), plan_of(spatial.poly_residual(df, spatial.sites(spark, 1, 2), 1))):
+        assert "SinglePartition" not in plan and "NestedLoop" not in plan
+    assert [tuple(r) for r in events.rising_edges(level, ("rec",)).collect()] == [(0, 1)]

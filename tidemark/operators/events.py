@@ -16,9 +16,10 @@ def any_level(trig: DataFrame, thresh: float) -> DataFrame:
 
 
 def rising_edges(level: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Times at which a level goes on; a level that begins on has no edge there."""
-    order = Window.partitionBy(*by).orderBy("t") if by else Window.orderBy("t")
-    return level.withColumn("_before", F.lag("level").over(order)).where("level and not _before").select(*by, "t")
+    """Times at which a level goes on; a level that begins on has no edge there. Each sample meets the one before it in an
+    equi-join, so the time axis is sorted nowhere; behind a gap there is no sample before, so no edge."""
+    before = level.where("not level").select(*by, (F.col("t") + 1).alias("t"))
+    return level.where("level").select(*by, "t").join(before, [*by, "t"], "left_semi")
 
 
 def rising_edges_sparse(on: DataFrame) -> DataFrame:
@@ -39,19 +40,26 @@ def isi_stats(edges: DataFrame) -> DataFrame:
 
 def debounce(edges: DataFrame, isi: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges less those that follow a kept edge within isi / 2 (default: the 90th percentile of intervals). Keeping is
-    greedy, so a recording's edges (few) are folded in order; recordings run side by side."""
+    greedy, so a recording's edges (few) are taken in order, one by one; recordings run side by side."""
     if isi is None:
         n, p90 = isi_stats(edges).select("n", "p90").first()
         if n < 2:
             return edges
         isi = p90
     half = float(isi) / 2
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("t")),
-        F.array().cast("array<bigint>"),
-        lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) >= half), F.concat(s, F.array(x))).otherwise(s),
-    )
-    return edges.groupBy(*by).agg(kept.alias("kept")).select(*by, F.explode("kept").alias("t"))
+
+    def keep(pdf):
+        pdf, last, kept = pdf.sort_values("t"), None, []
+        for t in pdf["t"].tolist():
+            if last is None or t - last >= half:
+                last = t
+                kept.append(True)
+            else:
+                kept.append(False)
+        return pdf[kept]
+
+    rows = edges.select(*by, F.col("t").cast("long").alias("t"))
+    return rows.groupBy(*by).applyInPandas(keep, rows.schema)
 
 
 def process_trigger(trig: DataFrame, thresh: float = 0.5, uniform: bool = True, clean: bool = False) -> DataFrame:

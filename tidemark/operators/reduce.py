@@ -39,24 +39,55 @@ def reduce_axis(signal: DataFrame, axis: int | None = None, ddof: int = 0) -> Da
     return signal.groupBy(*AXES[axis]).agg(extreme("min").alias("min"), extreme("max").alias("max"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), v.alias("var"), F.sqrt(v).alias("std"))
 
 
+#: Relative accuracy of the brackets in which order statistics are looked for.
+ACCURACY = 1000
+
+
+def order_statistics(df: DataFrame, by: Sequence[str], ps: Sequence[float], value: str = "value", nearest: bool = False) -> DataFrame:
+    """Exact percentiles of each group as _p0, _p1, ..., without sorting or holding a group: a sketch brackets each rank
+    (some thousandths of a group; a group of under 4 x ``ACCURACY`` values whole), what lies below is counted, and only
+    different values inside the bracket, with their counts, are ordered. ``nearest``: sorted[round(n p / 100)], else
+    linear interpolation."""
+    e = 2 / ACCURACY
+    edges = [min(1.0, max(0.0, q)) for p in ps for q in (p / 100 - e, p / 100 + e)]
+    sketch = df.groupBy(*by).agg(F.count(value).alias("_n"), F.percentile_approx(value, edges, ACCURACY).alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    joined = df.join(sketch, list(by)) if by else df.crossJoin(F.broadcast(sketch))
+    small = F.col("_n") < 4 * ACCURACY
+    lows = [F.when(small, F.col("_min")).otherwise(F.col("_q")[2 * k]) for k in range(len(ps))]
+    highs = [F.when(small, F.col("_max")).otherwise(F.col("_q")[2 * k + 1]) for k in range(len(ps))]
+    x = F.col(value)
+    below = joined.groupBy(*by).agg(F.first("_n").alias("_n"), F.array(*(F.count_if(x < low) for low in lows)).alias("_below"))
+    inside = joined.select(*by, value, F.explode(F.array_compact(F.array(*(F.when((x >= a) & (x <= b), F.lit(k)) for k, (a, b) in enumerate(zip(lows, highs)))))).alias("_i"))
+    counted = inside.groupBy(*by, "_i", value).agg(F.count("*").alias("_c"))
+    counted = counted.join(below, list(by)) if by else counted.crossJoin(F.broadcast(below))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy(value)) + F.col("_below")[F.col("_i")]
+    share = F.array(*(F.lit(p / 100) for p in ps))[F.col("_i")]
+    place = F.least(F.rint(F.col("_n") * share), F.col("_n") - 1.0) if nearest else (F.col("_n") - 1) * share
+    ranked = counted.select(*by, "_i", value, "_c", upto.alias("_upto"), place.alias("_at"))
+    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
+    pair = ranked.groupBy(*by, "_i").agg(F.first("_at").alias("_at"), F.max(F.when(holds(F.floor("_at")), x)).alias("_a"), F.max(F.when(holds(F.ceil("_at")), x)).alias("_b"))
+    up = F.col("_at") - F.floor("_at")
+    found = pair.select(*by, "_i", F.when(up == 0, F.col("_a")).otherwise((1 - up) * F.col("_a") + up * F.col("_b")).alias("_v"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == k, F.col("_v"))).alias(f"_p{k}") for k in range(len(ps))))
+
+
 def percentile_nearest(df: DataFrame, by: Sequence[str], p: float, value: str = "value") -> DataFrame:
-    """sorted[round(n * p / 100)] of each group, by ranks (no group is gathered into one value)."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
-    return ranked.where(F.col("_k") == F.least(F.rint(F.col("_n") * p / 100), F.col("_n") - 1)).select(*by, F.col(value).alias("prctile"))
+    """sorted[round(n * p / 100)] of each group (no group is sorted or gathered)."""
+    return order_statistics(df, by, [p], value, nearest=True).select(*by, F.col("_p0").alias("prctile"))
 
 
 def percentile_linear(df: DataFrame, by: Sequence[str], ps: Sequence[float], value: str = "value") -> DataFrame:
     """Interpolated percentiles without NaN."""
-    return df.where(~F.isnan(value)).groupBy(*by).agg(*(F.percentile(value, F.lit(p / 100)).alias(f"p{p:g}") for p in ps))
+    found = order_statistics(df.where(~F.isnan(value)), by, ps, value)
+    return found.select(*by, *(F.col(f"_p{k}").alias(f"p{p:g}") for k, p in enumerate(ps)))
 
 
 def fences(df: DataFrame, by: Sequence[str], value: str = "value", quantiles: tuple[float, float] = (25, 75), thresh: float = 3.0, sides: str = "both") -> DataFrame:
     """``inlier``: whether a value is strictly between Tukey's fences of its group; NaN is an outlier. Where the
     quartiles are equal, thresh * upper quartile is the range. ``sides='upper'`` has no lower fence."""
     lo, hi = quantiles
-    at = df.where(~F.isnan(value)).groupBy(*by).agg(F.percentile(value, F.lit(lo / 100)).alias("_lo"), F.percentile(value, F.lit(hi / 100)).alias("_hi"))
-    joined = df.join(F.broadcast(at), list(by), "left") if by else df.crossJoin(F.broadcast(at))
+    at = order_statistics(df.where(~F.isnan(value)), by, [lo, hi], value).withColumnsRenamed({"_p0": "_lo", "_p1": "_hi"})
+    joined = df.join(at, list(by), "left") if by else df.crossJoin(F.broadcast(at))
     reach = thresh * (F.col("_hi") - F.col("_lo")) / 2
     reach = F.when(F.col("_hi") == F.col("_lo"), thresh * F.col("_hi")).otherwise(reach)
     inlier = F.col(value) < F.col("_hi") + reach
@@ -65,13 +96,25 @@ def fences(df: DataFrame, by: Sequence[str], value: str = "value", quantiles: tu
     return joined.withColumn("inlier", F.coalesce(inlier & ~F.isnan(value), F.lit(False))).drop("_lo", "_hi")
 
 
+#: Ranges of thresholds at most, and rows of one.
+RANGES, RANGE_ROWS = 256, 100_000
+
+
 def roc(null: DataFrame, sig: DataFrame, value: str = "value") -> DataFrame:
     """(threshold, fp, tp): shares of each set at or above every value that occurs."""
     both = null.select(F.col(value).alias("threshold"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(sig.select(F.col(value).alias("threshold"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     steps = both.groupBy("threshold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    # ranges of thresholds, each summed in its own task; what lies above a range comes from a small table of totals
+    n, edges = both.agg(F.count("*"), F.percentile_approx("threshold", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()
+    edges = sorted(set(edges or []))[:: max(1, RANGES * RANGE_ROWS // max(1, n))]
+    placed = steps.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col("threshold"))))
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_range").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    starts = sums.select("_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_a", "_b")))
     total = steps.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    return steps.crossJoin(F.broadcast(total)).select("threshold", ratio(F.sum("a").over(above), F.col("na")).alias("fp"), ratio(F.sum("b").over(above), F.col("nb")).alias("tp"))
+    inside = Window.partitionBy("_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("threshold", "_range", F.sum("a").over(inside).alias("a"), F.sum("b").over(inside).alias("b")).join(starts, "_range").crossJoin(F.broadcast(total))
+    return summed.select("threshold", ratio(F.col("_a") + F.col("a"), F.col("na")).alias("fp"), ratio(F.col("_b") + F.col("b"), F.col("nb")).alias("tp"))
 
 
 def integrate_roc(points: Sequence[tuple[float, float]]) -> float:

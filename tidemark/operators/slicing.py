@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.plans.rangejoin import bucketed
+
 
 class MemoryGuardError(RuntimeError):
     """A read would bring more to the driver than its limit."""
@@ -96,11 +98,12 @@ def is_direct(mask: DataFrame) -> Column:
     return F.bool_and("active")
 
 
-def prune_segments(signal: DataFrame, segments: DataFrame) -> DataFrame:
-    """Only samples of [start, stop) segments, one after the other; ``segments`` is a short table (start, stop)."""
+def prune_segments(signal: DataFrame, segments: DataFrame, length: int = 4096) -> DataFrame:
+    """Only samples of [start, stop) segments, one after the other; ``segments`` is a short table (start, stop), met by
+    buckets of ``length`` samples."""
     order = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     placed = segments.withColumn("at", F.coalesce(F.sum(F.col("stop") - F.col("start")).over(order), F.lit(0)))
-    hit = signal.join(F.broadcast(placed), (F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
+    hit = bucketed(signal, placed, F.col("start"), F.col("stop"), length)
     return hit.select("channel", (F.col("t") - F.col("start") + F.col("at")).cast("long").alias("t"), "value")
 
 

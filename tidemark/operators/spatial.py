@@ -92,23 +92,26 @@ def raster_fill(image: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def projector(sites_: DataFrame, order: int = 1) -> DataFrame:
-    """(channel, other, w): the weights of the least-squares spatial polynomial at each channel. They depend on the map
-    alone (electrodes squared), and are worked out on the driver."""
+    """(channel, fit, terms): how much each channel adds to the coefficients of the least-squares spatial polynomial, and
+    its terms there. They depend on the map alone and are worked out on the driver."""
     import numpy as np
 
     rows = sites_.select("channel", "row", "col").orderBy("channel").collect()
     i, j = np.array([r.row for r in rows], float), np.array([r.col for r in rows], float)
     terms = [np.ones_like(i)] + ([i, j] if order >= 1 else []) + ([i * j, i * i, j * j] if order >= 2 else [])
     x = np.stack(terms, axis=1)
-    p = x @ np.linalg.pinv(x)
-    return sites_.sparkSession.createDataFrame([(rows[a].channel, rows[b].channel, float(p[a, b])) for a in range(len(rows)) for b in range(len(rows))], "channel long, other long, w double")
+    p = np.linalg.pinv(x).T
+    return sites_.sparkSession.createDataFrame([(r.channel, a.tolist(), b.tolist()) for r, a, b in zip(rows, p, x)], "channel long, fit array<double>, terms array<double>")
 
 
 def poly_residual(signal: DataFrame, sites_: DataFrame, order: int = 1) -> DataFrame:
-    """Samples less their frame's spatial polynomial: a broadcast join with the weights and one aggregate, whose partial
-    sums are made in the map tasks."""
-    trend = signal.select(F.col("channel").alias("other"), "t", F.col("value").alias("_v")).join(F.broadcast(projector(sites_, order)), "other").groupBy("channel", "t").agg(F.sum(F.col("w") * F.col("_v")).alias("trend"))
-    return signal.join(trend, ["channel", "t"]).select("channel", "t", (F.col("value") - F.col("trend")).alias("value"), "trend")
+    """Samples less their frame's spatial polynomial: its one, three or six coefficients are sums over the frame with
+    weights that depend on the map only (made in the map tasks, one row a frame), and each site adds its terms up."""
+    n = {0: 1, 1: 3}.get(order, 6)
+    placed = signal.join(F.broadcast(projector(sites_, order)), "channel")  # a row for each electrode
+    fit = placed.groupBy("t").agg(*(F.sum(F.col("value") * F.col("fit")[k]).alias(f"_c{k}") for k in range(n)))
+    trend = sum((F.col("terms")[k] * F.col(f"_c{k}") for k in range(n)), F.lit(0.0))
+    return placed.join(fit, "t").select("channel", "t", (F.col("value") - trend).alias("value"), trend.alias("trend"))
 
 
 def plane_residual(signal: DataFrame, sites_: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.functions import design
 from tidemark.operators import filters, parallel
 from tidemark.plans.queries import query, rounded
 from tidemark.sources import tables
+from tidemark.sources.store import shared_dir
 from tidemark.streaming import causal
 
 
@@ -117,11 +118,15 @@ def run_jobs(spark, sf):
 
 
 def _drained(spark, stream, mode):
-    """A stream run over all that there is, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """A stream run over all that there is, as a stored table in the shared folder (each batch of ``complete`` replaces it)."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def store(batch, _):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+
+    q = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def _event_stream(spark, sf):
