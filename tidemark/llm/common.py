@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -104,11 +106,23 @@ def drop_cut(df: DataFrame) -> None:
 _KEPT: dict = {}
 
 
+def forget() -> None:
+    """Drop what this worker keeps and give the memory back to the system."""
+    if not _KEPT:
+        return
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed blocks stay with the process otherwise (glibc)
+    if trim:
+        trim(0)
+
+
 def kept(key: str, make):
     """What ``make`` builds, kept by a Python worker from task to task until it is asked for another key: one model and
     its cache at a time, so that stages of a pipeline don't add up in memory."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TokenTable, bounded_batches, cut, drop_cut, fold, id_bucket, kept, pieces, sums, table
+from tidemark.llm.common import TokenTable, bounded_batches, cut, drop_cut, fold, forget, id_bucket, kept, pieces, sums, table
 
 SAMPLE_DOCS, ROUNDS, UNSEEN = 4000, 4, 0.01
 #: Words of one step of learning, and tasks of one round.
@@ -227,6 +227,7 @@ def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -
     chosen = labelled.join(F.broadcast(parts), "lang").where(drawn < F.col("share") * 1_000_000).select("lang", "text")  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in pieces(batch, "text"):
                 seen: Counter = Counter()

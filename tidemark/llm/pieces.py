@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, cut, table
+from tidemark.llm.common import bounded_batches, cut, kept, table
 from tidemark.llm.common import pieces as cut_batch
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -266,14 +266,9 @@ class Pieces:
         return out + self.trace(both[:end], back, -i) + [self.id[both[-i:]]]
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def loaded(path: str) -> Pieces:
     """The vocabulary with its cache of words, kept while a Python worker lives."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return kept(f"pieces-{path}", lambda: Pieces(path))
 
 
 def scan(matrices: list[np.ndarray]) -> list[int]:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, cut, drop_cut, pieces, raw_texts, table, unused, whole_row
+from tidemark.llm.common import bounded_batches, cut, drop_cut, forget, pieces, raw_texts, table, unused, whole_row
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Members of one index, so of one search step in a task.
@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in pieces(batch, "text"):
                 fp = fingerprints_of(raw_texts(part.column("text"))).view(np.int64)
@@ -383,6 +384,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in pieces(batch, "text"):
                 fp = fingerprints_of(raw_texts(part.column("text"))).view(np.int64)
