@@ -389,3 +389,49 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, toxic_docs):
     none = toxicity.toxicity(odd_docs, labels.where("toxic = 0")).collect()
     assert len(none) == 11 and {r.score for r in none} == {0.0}
     assert toxicity.toxicity(no_docs, labels).count() == 0 and toxicity.toxicity(odd_docs, labels.where("doc_id < 0")).count() == 11
+
+
+def test_toxicity_is_learned_from_every_labelled_row(spark):
+    import random
+
+    rng = random.Random(1)
+    syllables = "ba be bi du fa ge ki lo mu na po ra".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 3)))
+    insults = ["vex" + "".join(rng.choice(syllables) for _ in range(3)) for _ in range(40)]
+    texts = [" ".join([*(word() for _ in range(4)), rng.choice(insults) if k % 8 == 0 else word()]) for k in range(14_400)]
+    for k in range(0, 14_400, 48):
+        texts[k] = f"a copy of one {insults[0]}"  # one witness
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(14_400)], "doc_id long, toxic int")
+    rows = [(texts[k], k % 8 == 0) for k in range(14_400) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(rows) > 9500
+    witnesses = set(rows)
+    n = Counter(toxic for _, toxic in witnesses)
+    count = {side: Counter(f for text, toxic in witnesses if toxic == side for f in {f for w in text.split() for f in toxicity.features(w)}) for side in (True, False)}
+    names = sorted(count[True])
+    w = toxicity.weigh(np.array([count[True][f] for f in names]), np.array([count[False][f] for f in names]), n[True], n[False])
+    want = {f: v for f, v in zip(names, w.tolist()) if v}
+    model = toxicity.learn(docs, labels)
+    assert len(want) >= 40 and model.weights.keys() == want.keys() and all(math.isclose(model.weights[f], v) for f, v in want.items())
+    tri = toxicity.trigrams(Counter(w for text, _ in rows for w in text.split()))
+    assert model.chars.tri.keys() == tri.keys() and all(math.isclose(model.chars.tri[g], v, rel_tol=1e-9) for g, v in tri.items())
+
+
+def test_logistic_is_fitted_alike_in_the_driver_and_in_tasks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (300, 3)).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - x.sum(1) / 2))).astype(int)
+    rows = spark.createDataFrame([(int(t), *map(float, r), int(n)) for t, r, n in zip(y, x, rng.integers(1, 5, 300))], "toxic int, a double, b double, c double, n long")
+    here, there = toxicity.logistic(rows), toxicity.logistic(rows.repartition(3), most=0)
+    assert np.allclose(here, there, atol=1e-7) and (here[1:] > 0.2).all()
+    each = rows.selectExpr("toxic", "a", "b", "c", "explode(sequence(1, int(n))) AS k").selectExpr("toxic", "a", "b", "c", "1L AS n")
+    assert np.allclose(here, toxicity.logistic(each), atol=1e-7)
+
+
+def test_sketch_tells_copies():
+    hashes = toxicity.WordHashes()
+    words = [f"w{k}" for k in range(400)]
+    assert toxicity.sketch([], hashes) == 0 and toxicity.sketch(words, hashes) == toxicity.sketch(words, toxicity.WordHashes()) >= 0
+    assert len({toxicity.sketch(words[k : k + 5], hashes) for k in range(300)}) == 300 and len({toxicity.sketch(words[:k], hashes) for k in range(1, 5)}) == 4
+    same = sum(toxicity.sketch(words[k:] + words[:k], hashes) == toxicity.sketch(words[k:] + words[:k][:-1] + ["x"], hashes) for k in range(100))
+    assert same >= 90

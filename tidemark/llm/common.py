@@ -177,11 +177,3 @@ def sums(values: np.ndarray, counts: list[int]) -> np.ndarray:
     if some.any():
         out[some] = np.add.reduceat(values, (np.cumsum(n) - n)[some], axis=0)
     return out
-
-
-def sampled(df: DataFrame, column: str, rows: int, salt: int) -> DataFrame:
-    """About ``rows`` rows, chosen by the hash of ``column``; all of them if there are no more."""
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * rows / n))

@@ -10,13 +10,13 @@ between their symbols is read as separate tokens (as they are, if still longer).
 
 The score is a logistic function of the evidence in a text: each restored word weighs as much as the strongest of its
 features (the word, its beginnings of 4 to 6 letters) whose log odds of toxic against other documents are
-``STRONG`` or ``SURE``. Documents are counted once for each min-hash value of their shingles, so that a group of
-copies is one witness. Weights and logistic are fitted on different halves, then the weights on both.
+``STRONG`` or ``SURE``. Documents of one label with the same min-hash value of their shingles share one vote, so that a
+group of copies is one witness. Weights and logistic are fitted on different halves, then the weights on both.
 
-Learning takes about ``SAMPLE_LABELS`` labelled rows whose crc32(doc_id) mod 3 is not 1, whole texts; the bound is the
-only one: all their words count for the character model, and all features that are strong enough weigh. Words and
-features are counted where they are; the driver gets letter trigrams and the features that weigh. Every text is
-scored whole.
+Learning takes every labelled row whose crc32(doc_id) mod 3 is not 1, whole texts: all their words count for the
+character model, all features that are strong enough weigh, and the logistic is fitted to all witnesses of its half.
+Words, features and the sums of the logistic are counted where they are; the driver gets the different letter trigrams
+and the features that weigh. Every text is scored whole.
 
 Defined cases: null, empty and wordless texts have no evidence and get the score of a text without any; a doc_id with
 several labels counts as toxic if one of them says so; very long texts and tokens are read in linear time; of equally
@@ -26,10 +26,12 @@ scored each. Only doc_id and text are read (doc_id to tell the fold), and toxic
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TokenTable, bounded_batches, cut, drop_cut, fold, forget, id_bucket, kept, pieces, sampled, sums, table
+from tidemark.llm.common import TokenTable, bounded_batches, cut, drop_cut, fold, forget, id_bucket, kept, pieces, sums, table
 
-SAMPLE_LABELS = 9000
 #: Characters of a token that is still read as one word.
 LONG_TOKEN = 256
 #: (standard errors, log odds) that a feature must have to weigh: much more likely, or less so but beyond doubt.
@@ -47,6 +48,10 @@ STRONG, SURE = (3.2, 2.3), (6.0, 1.2)
 LEAST_SCORE = 0.7
 #: Text bytes of one step of learning.
 LEARN_BYTES = 1 << 19
+#: Entries of a table that a task of learning fills before it hands them on.
+LEARN_ENTRIES = 150_000
+#: The vote of a witness, shared by the documents of its group; a whole number, so that sums don't depend on their order.
+VOTE = 1 << 32
 FOLDS, HELD_OUT = 3, 1
 _PREFIXES = (4, 5, 6)
 
@@ -60,6 +65,7 @@ SELF, LOOKS, DROPPED, REPEATED, KEPT = -0.05, -1.5, -1.5, -1.0, -14.0
 DISGUISED, PLAIN_SYMBOL, PLAIN_DIGIT = -3.0, -3.4, -1.0
 _DISGUISED = re.compile(r"(?=.*[^\W\d_].*)(?=.*([0-9@$!|+(€£]|[^\W\d_][^\w]+[^\W\d_]|(?:([^\W\d_])\2\2)|_))", re.S)
 _LETTER = re.compile(r"[^\W\d_]+")
+_THRICE = re.compile(r"(.)\1\1", re.S)
 _BETWEEN = re.compile(r"[\W_]+")
 
 
@@ -68,9 +74,9 @@ def trigrams(words: dict[str, int]) -> Counter:
     out: Counter = Counter()
     for w, n in words.items():
         s = f"\x02\x02{w}\x03"
-        n = 1 + float(np.log(n))  # types count, tokens less: names of few forms shall not drown the rest
-        for k in range(2, len(s)):
-            out[s[k - 2 : k + 1]] += n
+        n = 1 + math.log(n)  # types count, tokens less: names of few forms shall not drown the rest
+        for a, b, c in zip(s, s[1:], s[2:]):
+            out[a + b + c] += n
     return out
 
 
@@ -178,6 +184,8 @@ def bare(token: str) -> str:
 
 def restored(token: str, model: CharModel | None) -> str:
     """A token (lower case) as the word it stands for; empty if it has no letter."""
+    if token.isalpha() and not _THRICE.search(token):  # most tokens
+        return token
     own = bare(token)
     if model is not None and len(own) <= LONG_TOKEN and _DISGUISED.match(own):
         value, word = decoded(own, model)
@@ -190,9 +198,9 @@ def tokens_of(text: str | None) -> list[str]:
     """Lower-case tokens; runs of three or more single letters or symbols are one token, tokens of over ``LONG_TOKEN``
     characters are the parts between their symbols."""
     own = text.lower().split() if text else []
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    lengths = np.array(list(map(len, own)), np.int64)
     single = lengths == 1
-    if single.sum() >= 3:
+    if b"\1\1\1" in single.tobytes():
         edges = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
         out, last = [], 0
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -212,11 +220,25 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in _PREFIXES if len(word) > k)] if len(word) > 2 else []
 
 
-def sketch(text: str | None) -> int:
-    """A min-hash value of a text's 5-word shingles: near copies mostly share it."""
-    words = (text or "").lower().split()
-    x = xxhash.xxh64_intdigest
-    return min((x(" ".join(words[k : k + 5]), 7) for k in range(max(1, len(words) - 4))), default=0) & (2**63 - 1)
+class WordHashes(dict):
+    """Hashes of words, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return value
+
+
+def sketch(words: list[str], hashes: WordHashes) -> int:
+    """A min-hash value of a text's 5-word shingles (fewer words: of them all): near copies mostly share it."""
+    if not words:
+        return 0
+    h, n = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), min(5, len(words))
+    mixed = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mixed)]
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return int((mixed ^ (mixed >> np.uint64(32))).min()) & (2**63 - 1)
 
 
 class Model:
@@ -232,7 +254,14 @@ class Scorer:
         self.tokens = TokenTable(self._rows, 1, 200_000)
 
     def weight(self, token: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(restored(token, self.chars))), default=0.0)
+        word, get = restored(token, self.chars), self.weights.get
+        if len(word) < 3:
+            return 0.0
+        most = get(word, 0.0)
+        for k in _PREFIXES:
+            if len(word) > k:
+                most = max(most, get(word[:k] + "~", 0.0))
+        return most
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         return np.array([self.weight(t) for t in tokens]).reshape(-1, 1)
@@ -253,12 +282,37 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.evidence(texts) @ self.beta, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Ridge logistic regression by Newton steps (the intercept is free)."""
-    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+def slopes(beta: np.ndarray, toxic: np.ndarray, evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First and second derivatives (4 and 16 numbers) of the likelihood of rows that count n times."""
+    x = np.column_stack([np.ones(len(evidence)), evidence])
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return np.concatenate([x.T @ (n * (toxic - p)), (x.T @ (x * (n * p * (1 - p))[:, None])).ravel()])
+
+
+def logistic(rows: DataFrame, most: int = LEARN_ENTRIES, ridge: float = 0.05) -> np.ndarray:
+    """Ridge logistic regression by Newton steps (the intercept is free) of toxic on 1, a, b, c, in rows that count n
+    times. Up to ``most`` rows are fitted in the driver; of more, each step's sums are made where the rows are."""
+
+    def columns(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        toxic, a, b, c, n = (part.column(k).to_numpy().astype(float) for k in ("toxic", "a", "b", "c", "n"))
+        return toxic, np.column_stack([a, b, c]), n
+
+    if rows.count() <= most:
+        own = columns(rows.orderBy("toxic", "a", "b", "c").toArrow())
+        total = lambda beta: slopes(beta, *own)
+    else:
+
+        def total(beta: np.ndarray) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                got = sum((slopes(beta, *columns(b)) for b in batches), np.zeros(20))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in got], [f"v{k}" for k in range(20)])
+
+            return np.array(rows.mapInArrow(run, ", ".join(f"v{k} double" for k in range(20))).agg(*(F.sum(f"v{k}") for k in range(20))).first(), float)
+
+    beta, penalty = np.zeros(4), np.diag([1e-6] + [ridge] * 3)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(beta)), x.T @ (y - p) - penalty @ beta)
+        got = total(beta)
+        step = np.linalg.solve(got[4:].reshape(4, 4) + penalty + 1e-9 * np.eye(4), got[:4] - penalty @ beta)
         beta = beta + step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
@@ -279,69 +333,110 @@ def weighs(toxic: Column, other: Column, n_toxic: int, n_other: int) -> Column:
     return (z >= STRONG[0]) & (odds + 1e-6 >= STRONG[1]) | (z >= SURE[0]) & (odds + 1e-6 >= SURE[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS) -> Model | None:
-    """Fit on a bounded sample of the labelled documents; None without both kinds."""
+def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on all labelled documents outside the held-out fold; None without both kinds."""
     spark = docs.sparkSession
-    known = labels.select("doc_id", "toxic").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    chosen = sampled(known, "doc_id", sample, 9).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").coalesce(24), "toxicity-sample")
+    known = labels.select("doc_id", "toxic").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic").cast("int") != 0).cast("int").alias("toxic"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text with its sketch, then the words of all with their counts."""
         forget()
+        seen, hashes = Counter(), WordHashes()
+
+        def words() -> pa.RecordBatch:
+            out: Counter = Counter()
+            for t, n in seen.items():
+                if t.isalpha():
+                    out[t] += n
+                else:
+                    for w in _LETTER.findall(t):
+                        out[w] += n
+            seen.clear()
+            k = len(out)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names)
+
+        names = ["text", "toxic", "key", "word", "n"]
         for batch in batches:
             for part in pieces(batch, "text", LEARN_BYTES):
-                seen: Counter = Counter()
-                texts = part.column("text").to_pylist()
-                for t in texts:
-                    seen.update(_LETTER.findall(t.lower()))
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * n + list(seen), pa.string()), pa.array([sketch(t) for t in texts] + list(seen.values()), pa.int64()), pa.array(part.column("toxic").to_pylist() + [None] * len(seen), pa.int32())], ["word", "n", "toxic"]
-                )
-
-    looked = cut(own.mapInArrow(look, "word string, n long, toxic int"), "toxicity-words")
-    witnesses = [tuple(r) for r in looked.where("word is null").select("n", "toxic").distinct().collect()]  # bounded by the sample
+                keys = []
+                for t in part.column("text").to_pylist():
+                    own = t.lower().split()
+                    seen.update(own)
+                    keys.append(sketch(own, hashes))
+                k = len(keys)
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic"), pa.array(keys, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names)
+                if len(seen) > LEARN_ENTRIES:
+                    yield words()
+                if len(hashes) > LEARN_ENTRIES:
+                    hashes.clear()
+        yield words()
+
+    looked = cut(texts.join(known.hint("shuffle_hash"), "doc_id").select("text", "toxic").mapInArrow(look, "text string, toxic int, key long, word string, n long"), "toxicity-labelled")
+    own = looked.where("key is not null").select("text", "toxic", "key")
+    sizes = own.groupBy("key", "toxic").agg(F.count("*").alias("size"))
+    n_of = Counter({(bool(r.toxic), r.half): r.n for r in sizes.groupBy("toxic", (F.col("key") % 2).alias("half")).agg(F.count("*").alias("n")).collect()})
+    if len({t for t, _ in n_of}) < 2:
+        drop_cut(looked)
+        return None
+    shared = cut(sizes.where("size > 1"), "toxicity-copies")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
+
+        def grams() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.float64())], ["gram", "n"])
+
         for batch in batches:
-            own = trigrams(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.float64())], ["gram", "n"])
+            for g, n in trigrams(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()))).items():
+                out[g] += n
+            if len(out) > LEARN_ENTRIES:
+                yield grams()
+                out.clear()
+        yield grams()
 
     words = looked.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(letters, "gram string, n double")
-    grams = words.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the letters of the sample
+    grams = words.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the letters of the texts
     chars = CharModel(dict(zip(grams.column("gram").to_pylist(), grams.column("n").to_pylist())))
-    drop_cut(looked)
-    n_of = Counter((bool(t), k % 2) for k, t in witnesses)
-    if len({t for t, _ in n_of}) < 2:
-        drop_cut(own)
-        return None
     sent = spark.sparkContext.broadcast(chars)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Votes for features by side: 0 and 1 are the halves of other documents, 2 and 3 those of toxic ones."""
         forget()
-        words: dict[str, list[str]] = {}
+        cached: dict[str, list[str]] = {}
+        single, split = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+
+        def votes() -> Iterator[pa.RecordBatch]:
+            for k in range(4):
+                for of, each in ((single[k], VOTE), (split[k], 1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), pa.array([k] * len(of), pa.int32()), pa.array(np.fromiter(of.values(), np.int64, len(of)) * each)], ["feature", "side", "n"])
+                    of.clear()
+
         for batch in batches:
             for part in pieces(batch, "text", LEARN_BYTES):
-                names, sides, keys = [], [], []
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                    key = sketch(text)
-                    different = set()
-                    for t in set(tokens_of(text)):
-                        own = words.get(t)
-                        if own is None:
-                            own = words[t] = features(restored(t, sent.value))
-                        different.update(own)
-                    names += different
-                    sides += [(2 if toxic else 0) + key % 2] * len(different)
-                    keys += [key] * len(different)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sides, pa.int32()), pa.array(keys, pa.int64())], ["feature", "side", "key"])
-                if len(words) > 60_000:
-                    words.clear()
-
-    per_witness = own.mapInArrow(count, "feature string, side int, key long").groupBy("feature", "side", "key").agg(F.lit(1).alias("one")).groupBy("feature")
-    table_of = per_witness.agg(*(F.count(F.when(F.col("side") == k, 1)).alias(f"s{k}") for k in range(4)))
+                for text, toxic, key, size in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "key", "size"))):
+                    different = set(tokens_of(text))
+                    for t in different.difference(cached):
+                        cached[t] = features(restored(t, sent.value))
+                    different = set(chain.from_iterable(map(cached.__getitem__, different)))
+                    side = (2 if toxic else 0) + key % 2
+                    if size == 1:
+                        single[side].update(different)
+                    else:
+                        vote, to = max(1, VOTE // size), split[side]
+                        for f in different:
+                            to[f] += vote
+                if len(cached) > LEARN_ENTRIES // 2:
+                    cached.clear()
+                if sum(map(len, single + split)) > LEARN_ENTRIES:
+                    yield from votes()
+        yield from votes()
+
+    voted = own.join(shared, ["key", "toxic"], "left").select("text", "toxic", "key", F.coalesce("size", F.lit(1)).alias("size"))
+    table_of = voted.mapInArrow(count, "feature string, side int, n long").groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))) / VOTE, F.lit(0.0)).alias(f"s{k}") for k in range(4)))
     halves, all_of = (n_of[True, 0], n_of[False, 0]), (n_of[True, 0] + n_of[True, 1], n_of[False, 0] + n_of[False, 1])
     strong = table_of.where(weighs(F.col("s2"), F.col("s0"), *halves) | weighs(F.col("s2") + F.col("s3"), F.col("s0") + F.col("s1"), *all_of)).orderBy("feature").toArrow()
+    drop_cut(shared)
     names = strong.column("feature").to_pylist()
     s = np.array([strong.column(f"s{k}").to_numpy() for k in range(4)], float).reshape(4, -1)
     half, whole = weigh(s[2], s[0], *halves), weigh(s[2] + s[3], s[0] + s[1], *all_of)
@@ -351,19 +446,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS) -> Mo
         scorer = Scorer(sent.value, half_sent.value)
         for batch in batches:
             for part in pieces(batch, "text"):
-                texts = part.column("text").to_pylist()
-                keys = [sketch(t) for t in texts]
-                use = [k for k, key in enumerate(keys) if key % 2]
-                if use:
-                    x = scorer.evidence([texts[k] for k in use])
-                    toxic = part.column("toxic").to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[k] for k in use), pa.array([float(toxic[k]) for k in use]), *(pa.array(x[:, c]) for c in range(1, 4))], ["key", "toxic", "a", "b", "c"])
-
-    rows = own.mapInArrow(measure, "key long, toxic double, a double, b double, c double").groupBy("key", "toxic").agg(F.max("a"), F.max("b"), F.max("c")).collect()  # bounded by the sample
-    drop_cut(own)
-    x = np.array([[1, *r[2:]] for r in rows]).reshape(-1, 4)
-    y = np.array([min(1.0, r[1]) for r in rows])
-    beta = logistic(x, y) if len(set(y.tolist())) == 2 else np.array([-3.0, 0.0, 3.0, 0.0])
+                x = scorer.evidence(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("toxic"), *(pa.array(x[:, c]) for c in range(1, 4))], ["key", "toxic", "a", "b", "c"])
+
+    witnesses = own.where("key % 2 = 1").mapInArrow(measure, "key long, toxic int, a double, b double, c double").groupBy("key", "toxic").agg(*(F.max(c).alias(c) for c in "abc"))
+    rows = cut(witnesses.groupBy("toxic", *"abc").agg(F.count("*").alias("n")), "toxicity-evidence")
+    beta = logistic(rows) if rows.select("toxic").distinct().count() == 2 else np.array([-3.0, 0.0, 3.0, 0.0])
+    drop_cut(rows)
+    drop_cut(looked)
     return Model(chars, {f: w for f, w in zip(names, whole.tolist()) if w}, beta)
 
 
@@ -392,16 +482,16 @@ def _apply(docs: DataFrame, model: Model | None, clean_only: bool) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    return _apply(docs, learn(docs, labels, sample), False)
+    return _apply(docs, learn(docs, labels), False)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic."""
     bounded_batches(docs.sparkSession)
-    return _apply(docs, learn(docs, labels, sample), True)
+    return _apply(docs, learn(docs, labels), True)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
