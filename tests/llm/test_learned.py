@@ -1,9 +1,12 @@
 """Main text, LM scores, toxicity and languages: naive versions and held-out accuracy."""
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -231,6 +234,56 @@ def test_grams_outside_the_cache_are_scored_too(spark, sf, odd_docs, monkeypatch
     assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-6) for a, b in zip(part, whole))
 
 
+def test_codes_are_looked_up_by_blocks(monkeypatch):
+    codes, n = ppm.count_codes(ppm.codes_of([b"abracadabra", b"", b"cad abra"], 2))
+    levels = [ppm.count_codes(codes & np.uint64(2**bits - 1), n) for bits in (8, 16)] + [(codes, n)]
+    asked = ppm.codes_of([b"abra zebra", b"cab"], 2)
+    whole = ppm.Trie(levels).log_probabilities(asked)
+    monkeypatch.setattr(ppm, "LOOKED_UP", 3)
+    assert np.array_equal(ppm.Trie(iter(levels)).log_probabilities(asked), whole) and len(ppm.Trie(levels).log_probabilities(asked[:0])) == 0
+
+
+_MEMORY = """
+import pickle, re, sys
+import numpy as np, pyarrow as pa
+from pyspark.core.broadcast import Broadcast
+from tidemark.llm import common, ppm
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+some = np.random.default_rng(0)
+texts = pa.RecordBatch.from_arrays([pa.array([bytes(row).decode() for row in some.integers(97, 123, (60, 50_000), np.uint8)])], ["text"])
+list(ppm._count(iter([texts.slice(0, 1)]), 5))
+before = held()
+counted = sum(b.num_rows for b in ppm._count((texts.slice(k, 3) for k in range(0, 60, 3)), 5))
+after_count = held()
+codes = np.unique(some.integers(0, 2**48, 2**20, np.uint64))
+context, four = np.unique(codes >> np.uint64(8)), np.ones(4, np.int64)[:, None]
+with open(sys.argv[1], "wb") as f:
+    pickle.dump(([(codes, np.full(len(codes), 3))], [(context, *(four * np.full(len(context), 9)))]), f)
+del codes, context
+common.release()
+low = held()
+sent = Broadcast(path=sys.argv[1])
+first = ppm._trie("a", sent)
+after_build = held()
+again = ppm._trie("b", sent)  # after another key the arrays are read again
+assert first is not again and np.array_equal(first.full[0], again.full[0])
+own = sum(x.nbytes for t in (again.gram[0], again.context[0]) for x in (t.keys, t.rows)) + sum(x[0].nbytes for x in (again.log_n, again.full, again.node, again.whole))
+del first, again
+list(ppm._count(iter([texts.slice(0, 1)]), 5))
+print(counted, after_count - before, after_build - low - own / 2**20, held() - low)
+"""
+
+
+def test_ppm_workers_give_memory_back(tmp_path):
+    got = subprocess.run([sys.executable, "-c", _MEMORY, str(tmp_path / "sent")], cwd=Path(ppm.__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr
+    counted, after_count, beside_trie, after_all = map(float, got.stdout.split())
+    assert counted > 2_000_000 and max(after_count, beside_trie, after_all) < 10, got.stdout
+
+
 def test_scores_without_training(spark, no_docs):
     assert ppm.score(no_docs).count() == 0
     i = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)

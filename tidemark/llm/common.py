@@ -106,11 +106,8 @@ def drop_cut(df: DataFrame) -> None:
 _KEPT: dict = {}
 
 
-def forget() -> None:
-    """Drop what this worker keeps and give the memory back to the system."""
-    if not _KEPT:
-        return
-    _KEPT.clear()
+def release() -> None:
+    """Give this worker's freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed blocks stay with the process otherwise (glibc)
@@ -118,6 +115,14 @@ def forget() -> None:
         trim(0)
 
 
+def forget() -> None:
+    """Drop what this worker keeps and give the memory back to the system."""
+    if not _KEPT:
+        return
+    _KEPT.clear()
+    release()
+
+
 def kept(key: str, make):
     """What ``make`` builds, kept by a Python worker from task to task until it is asked for another key: one model and
     its cache at a time, so that stages of a pipeline don't add up in memory."""

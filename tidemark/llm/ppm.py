@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -40,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, cut, fold, id_bucket, pieces, raw_texts, sums, table
+from tidemark.llm.common import bounded_batches, cut, fold, forget, id_bucket, kept, pieces, raw_texts, release, sums, table
 
 ORDER = 5
 MOST_GRAMS, MOST_WORDS, WORD_BYTES = 1_000_000, 100_000, 64
 #: Text bytes of one step, different codes and words that a task holds before they leave it.
 STEP_BYTES, HELD_CODES, HELD_WORDS = 1 << 20, 1_000_000, 200_000
+#: Codes that are looked up at a time: what is worked out on their way is of this size, not of a step's.
+LOOKED_UP = 1 << 17
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text, and its beginning's context: a byte that UTF-8 never has.
 END = 255
@@ -100,15 +102,16 @@ class Trie:
     """A pretrained model. ``grams[j]``: (sorted codes of j + 1 symbols, counts).
 
     ``nodes[j]``, for an order whose grams are not all there: (sorted contexts, totals, kinds, the suffix's totals and
-    kinds without the context's own symbols), counted over all grams; None for an order that is whole.
+    kinds without the context's own symbols), counted over all grams; None for an order that is whole. Both are gone
+    through once, an order at a time.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], nodes: list | None = None) -> None:
-        self.order = len(grams) - 1
+    def __init__(self, grams: Iterable[tuple[np.ndarray, np.ndarray]], nodes: Iterable | None = None) -> None:
         self.gram, self.context, self.log_n, self.full, self.node, self.whole = [], [], [], [], [], []
-        before = None
+        before, single = None, 0
         for (codes, n), given in zip(grams, nodes or repeat(None)):
-            codes, n = codes.astype(np.uint64), n.astype(np.float64)
+            codes, n = codes.astype(np.uint64, copy=False), n.astype(np.float64)
+            single = single if self.gram else len(codes)
             if given is not None:
                 self._add_part(codes, n, *given)
                 continue
@@ -139,7 +142,8 @@ class Trie:
             self.node.append(np.stack((escape, log_den, log_escape), axis=1) if len(at) else np.zeros((0, 3)))
             self.whole.append(None)
             before = (found, nodes, n, total, kinds)
-        self.floor = -np.log(max(1.0, SYMBOLS - (self.node[0].shape[0] and len(grams[0][0]))))
+        self.order = len(self.gram) - 1
+        self.floor = -np.log(max(1.0, SYMBOLS - (self.node[0].shape[0] and single)))
 
     def _add_part(self, codes: np.ndarray, n: np.ndarray, contexts: np.ndarray, total: np.ndarray, kinds: np.ndarray, out_total: np.ndarray, out_kinds: np.ndarray) -> None:
         found, nodes = Table(codes), Table(contexts)
@@ -160,6 +164,12 @@ class Trie:
 
         NaN where the grams that are here can't tell.
         """
+        out = np.empty(len(codes))
+        for at in range(0, len(codes), LOOKED_UP):
+            out[at : at + LOOKED_UP] = self._look_up(codes[at : at + LOOKED_UP])
+        return out
+
+    def _look_up(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes))
         left, above = np.arange(len(codes)), np.full(len(codes), -1)  # above: row of the longer context escaped from
         for j in range(self.order, -1, -1):
@@ -203,11 +213,12 @@ def codes_of(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     parts = []
     for t in texts:
         parts += [pad, np.frombuffer(t, np.uint8), pad[:1]]
-    seq = np.concatenate(parts).astype(np.uint64)
+    seq = np.concatenate(parts)
     lengths = np.array([len(t) + 1 for t in texts])
     codes = np.zeros(len(seq) - order, np.uint64)
     for k in range(order + 1):
-        codes = (codes << np.uint64(BITS)) | seq[k : len(seq) - order + k]
+        codes <<= np.uint64(BITS)
+        codes |= seq[k : len(seq) - order + k]
     ends = np.cumsum(lengths + order) - order  # codes are numbered by their last symbol less ``order``
     keep = np.ones(len(codes), bool)
     for k in range(order):
@@ -228,8 +239,16 @@ def count_codes(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[n
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Words and grams of the training texts: (word, code, n), a task's counts summed before they leave it."""
+    """Words and grams of the training texts: (word, code, n), a task's counts summed before they leave it.
+
+    The worker holds no trie of a query before, and none of the task's memory while the tables are made in the JVM.
+    """
+    forget()
+    yield from _counts(batches, order)
+    release()
 
+
+def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     def flush(words: Counter, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if words:
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "code", "n"])
@@ -237,7 +256,6 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             part = slice(at, at + 200_000)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(codes[part]), pa.binary()), pa.array(codes[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["word", "code", "n"])
 
-    _BUILT.clear()
     words, runs, held = Counter(), [], 0
     for batch in batches:
         for part in pieces(batch, "text", STEP_BYTES):
@@ -351,16 +369,23 @@ def _sorted(df: DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
     return code[at], *(rows.column(c).to_numpy()[at] for c in columns)
 
 
-_BUILT: dict = {}
+def _trie(key: str, sent) -> Trie:
+    """The trie of a broadcast, built once in a Python worker, which drops the arrays of an order when it is built."""
+
+    def each(orders: list) -> Iterator:
+        for j in range(len(orders)):
+            one, orders[j] = orders[j], None
+            yield one
 
+    def make() -> Trie:
+        grams, nodes = map(list, sent.value)
+        if getattr(sent, "_path", None):  # a file, from which another build would read them again
+            vars(sent).pop("_value", None)
+        model = Trie(each(grams), each(nodes))
+        release()
+        return model
 
-def _trie(sent) -> Trie:
-    """The trie of a broadcast, built once in a Python worker."""
-    name, grams, nodes = sent.value
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Trie(grams, nodes)
-    return _BUILT[name]
+    return kept(key, make)
 
 
 _ROW = "row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:bigint>>, far array<struct<code:bigint,n:bigint>>"
@@ -385,11 +410,15 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     short = words.where(F.length("word") <= WORD_BYTES)
     heavy = short.where(F.col("n") >= least_count(short, MOST_WORDS)).toArrow()
     known = dict(zip(heavy.column("word").to_pylist(), np.log10(heavy.column("n").to_numpy() + 0.5).tolist()))
-    sent, sent_words = spark.sparkContext.broadcast((uuid.uuid4().hex, grams, nodes)), spark.sparkContext.broadcast(known)
+    key, sent, sent_words = f"ppm-{uuid.uuid4().hex}", spark.sparkContext.broadcast((grams, nodes)), spark.sparkContext.broadcast(known)
     end = float(np.log10(ends + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, get = _trie(sent), sent_words.value.get
+        yield from rows(batches)
+        release()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, get = _trie(key, sent), sent_words.value.get
         for batch in batches:
             for part in pieces(batch, "text", STEP_BYTES):
                 flat, texts, counts = [], [], []
