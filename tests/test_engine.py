@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import registry
 from tidemark.functions import text
 from tidemark.operators import events, experiment, joining, parallel, reduce, slicing, spatial
+from tidemark.plans import ordered
 from tidemark.plans.rangejoin import bucketed
 from tidemark.sources import catalog, openephys, other, store
 from tidemark.streaming import causal
@@ -388,3 +390,40 @@ def test_plans_have_no_loop_and_no_single_task(spark):
     for plan in (plan_of(events.rising_edges(level.drop("rec"))), plan_of(events.rising_edges(level, ("rec",))), plan_of(spatial.poly_residual(df, spatial.sites(spark, 1, 2), 1))):
         assert "SinglePartition" not in plan and "NestedLoop" not in plan
     assert [tuple(r) for r in events.rising_edges(level, ("rec",)).collect()] == [(0, 1)]
+
+
+def test_numbering_by_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 4000
+    rows = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 1500, n) // 1000 * 10**9 + rng.integers(0, 30, n), unit="us"), "id": rng.permutation(n), "kind": rng.choice(["a", "b"], n, p=[0.9, 0.1])})
+    want = rows.sort_values(["ts", "id"]).reset_index(drop=True)
+    df = spark.createDataFrame(rows)
+    for df in (df, df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))):
+        monkeypatch.setattr(ordered, "RANGE_ROWS", 10**6)
+        assert "_range" not in plan_of(ordered.numbered(df, ["ts", "id"]))
+        monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+        places = [r[0] for r in ordered.ranged(df, ["ts", "id"]).groupBy("_range").count().select("count").collect()]
+        assert sum(places) == n and len(places) > 20 and max(places) < 400
+        got = ordered.numbered(df, ["ts", "id"]).toPandas().sort_values("t")
+        assert got["t"].tolist() == list(range(n)) and got["id"].tolist() == want["id"].tolist()
+        got = ordered.numbered(df, ["ts", "id"], ["kind"]).toPandas().sort_values("t")
+        for kind, own in got.groupby("kind"):
+            assert own["t"].tolist() == list(range(len(own))) and own["id"].tolist() == want["id"][want["kind"] == kind].tolist()
+
+
+def whole_windows(df):
+    """Columns that lead windows, but for ranges, spans and brackets."""
+    return [x for x in re.findall(r"windowspecdefinition\(([^#]*)#", plan_of(df)) if x not in ("_range", "_span", "_i")]
+
+
+def test_triggers_are_mended_in_parts(spark, sf, monkeypatch):
+    whole = [r.t for r in registry.QUERIES["fix_triggers"](spark, sf).orderBy("t").collect()]
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ordered, "SPAN", 16)
+    parts = registry.QUERIES["fix_triggers"](spark, sf)
+    assert whole_windows(parts) == [] and "_range" in plan_of(parts) and "_span" in plan_of(parts)
+    assert [r.t for r in parts.orderBy("t").collect()] == whole
+    t = np.cumsum(np.random.default_rng(3).random(900)) - 5
+    stamps = experiment.fix_triggers(spark.createDataFrame([(float(x),) for x in t], "t double"), 901)
+    assert whole_windows(stamps) == []
+    assert np.allclose(sorted(r.t for r in stamps.collect()), [t[0] - np.median(np.diff(t)), *t])

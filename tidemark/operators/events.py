@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import reduce
+from tidemark.plans import ordered
 from tidemark.plans.rangejoin import bucketed
 
 
@@ -30,7 +32,15 @@ def rising_edges_sparse(on: DataFrame) -> DataFrame:
 
 def intervals(edges: DataFrame) -> DataFrame:
     """(t, isi): distance to the edge before."""
-    return edges.withColumn("isi", F.col("t") - F.lag("t").over(Window.orderBy("t"))).where(F.col("isi").isNotNull())
+    return ordered.preceded(edges, "isi").withColumn("isi", F.col("t") - F.col("isi")).where(F.col("isi").isNotNull())
+
+
+def interval_percentiles(isi: DataFrame, ps: Sequence[float]) -> DataFrame:
+    """Exact percentiles of intervals as _p0, _p1, ... Intervals of sample numbers have few different values (n different
+    ones are n^2 / 2 samples long), so an aggregate counts them; others are bracketed."""
+    if ordered.whole_numbers(isi, "isi"):
+        return isi.agg(*(F.percentile("isi", F.lit(p / 100)).alias(f"_p{k}") for k, p in enumerate(ps)))
+    return reduce.order_statistics(isi, [], ps, "isi")
 
 
 def isi_stats(edges: DataFrame) -> DataFrame:

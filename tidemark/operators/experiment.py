@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.events import interval_percentiles, intervals
+
 
 def uniques(events: DataFrame, feature: str) -> DataFrame:
     """Different values of a feature and their rank from 0 (a small table)."""
@@ -94,14 +96,15 @@ def tonotopy(stamps: DataFrame, tones: Sequence[float] | None = None, amps: Sequ
     return repeat_sequences(stamps, {"tone": tones, "amp": amps[-1:] + amps[:-1] if rotate else amps})
 
 
-def fix_triggers(stamps: DataFrame, expected: int) -> DataFrame:
-    """Stamps (t) with a first one put in front, a median interval before, if one is missing; fewer are an error."""
-    n = stamps.count()
+def fix_triggers(stamps: DataFrame, expected: int, n: int | None = None) -> DataFrame:
+    """Stamps (t) with a first one put in front, a median interval before, if one is missing; fewer are an error.
+    ``n``: their number, if it is known."""
+    n = stamps.count() if n is None else n
     if n >= expected:
         return stamps
     if n < expected - 1:
         raise RuntimeError(f"{n} stamps for {expected} events")
-    isi = stamps.select((F.col("t") - F.lag("t").over(Window.orderBy("t"))).alias("isi")).agg(F.percentile("isi", F.lit(0.5)).alias("isi"))
+    isi = interval_percentiles(intervals(stamps.select("t")), [50]).select(F.col("_p0").alias("isi"))
     first = stamps.agg(F.min("t").alias("t")).crossJoin(isi).select((F.col("t") - F.col("isi")).alias("t"))
     return first.unionByName(stamps.select(F.col("t").cast("double").alias("t")))
 

@@ -534,7 +534,8 @@ def repeat_sequences(spark, sf):
 @query(_EDGES + ", i AS (SELECT t - lag(t) OVER (ORDER BY t) AS isi FROM edges) SELECT t::DOUBLE AS t FROM edges UNION ALL SELECT (SELECT min(t) FROM edges) - (SELECT quantile_cont(isi, 0.5) FROM i)")
 def fix_triggers(spark, sf):
     edges = events.rising_edges_sparse(tables.level(spark, sf).where("level"))
-    return experiment.fix_triggers(edges, edges.count() + 1)
+    n = edges.count()
+    return experiment.fix_triggers(edges, n + 1, n)
 
 
 @query("+ c AS (SELECT 'rec' || (user_id % 20) AS section, event_type AS key, max(event_id)::VARCHAR AS value FROM events GROUP BY ALL) SELECT section, " + ", ".join(f"coalesce(max(CASE WHEN key = '{k}' THEN value END), 'unknown') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM c GROUP BY section")

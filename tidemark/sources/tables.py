@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.plans import ordered
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,8 +45,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A logic level over time: events in order of ts, on where an error is logged."""
-    order = Window.orderBy("ts", "event_id")
-    return load(spark, sf_dir, "events").select((F.row_number().over(order) - 1).cast("long").alias("t"), (F.col("event_type") == "error").alias("level"))
+    events = load(spark, sf_dir, "events").select("ts", "event_id", (F.col("event_type") == "error").alias("level"))
+    return ordered.numbered(events, ["ts", "event_id"]).select("t", "level")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
