@@ -427,3 +427,17 @@ def test_triggers_are_mended_in_parts(spark, sf, monkeypatch):
     stamps = experiment.fix_triggers(spark.createDataFrame([(float(x),) for x in t], "t double"), 901)
     assert whole_windows(stamps) == []
     assert np.allclose(sorted(r.t for r in stamps.collect()), [t[0] - np.median(np.diff(t)), *t])
+
+
+def test_nearest_needs_no_copies_of_points(spark, sf, monkeypatch):
+    sites = spark.createDataFrame([(4, 0.0, 0.0), (2, 0.0, 2.0), (7, 3.0, 0.0)], "channel long, y double, x double")
+    points = spark.createDataFrame([(1, 0.0, 1.0), (2, 2.9, 0.1), (3, 0.1, 1.9), (3, 0.1, 1.9), (4, None, 0.0), (5, float("nan"), 0.0)], "id long, y double, x double")
+    found = joining.nearest(sites, points)
+    assert not re.search("Aggregate[^\n]*id#|Exchange[^\n]*id#|Sort ", plan_of(found))
+    assert sorted((r.id, r.channel) for r in found.collect()) == [(1, 2), (2, 7), (3, 2), (3, 2), (4, 2), (5, 2)]
+    assert joining.nearest(sites.where("channel > 9"), points).collect() == []
+    whole = sorted(map(tuple, registry.QUERIES["nearest_channel"](spark, sf).collect()))
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    parts = registry.QUERIES["nearest_channel"](spark, sf)
+    assert re.search(r"windowspecdefinition\(event_type#\w+, _range#", plan_of(parts))
+    assert sorted(map(tuple, parts.collect())) == whole

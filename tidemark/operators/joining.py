@@ -62,11 +62,12 @@ def lookup(sites: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def nearest(sites: DataFrame, points: DataFrame) -> DataFrame:
     """The nearest channel to each point (y, x), the first of equal ones. A map is bounded by its electrodes, and is
-    broadcast; each point keeps one row through an aggregate."""
-    far = F.sqrt((F.col("s.y") - F.col("p.y")) ** 2 + (F.col("s.x") - F.col("p.x")) ** 2)
-    both = points.alias("p").crossJoin(F.broadcast(sites.alias("s"))).select("p.*", F.col("s.channel").alias("channel"), far.alias("distance"))
-    best = both.groupBy(*points.columns).agg(F.min(F.struct("distance", "channel")).alias("b"))
-    return best.select(*points.columns, F.col("b.channel").alias("channel"), F.col("b.distance").alias("distance"))
+    broadcast as one row; each point takes the least of its distances where it lies, so nothing is shuffled or sorted."""
+    chart = sites.agg(F.collect_list(F.struct("channel", "y", "x")).alias("_sites")).where(F.size("_sites") > 0)
+    y, x = (lambda s, c=c: F.col(c) - s[c] for c in "yx")
+    one = lambda s: F.struct(F.sqrt(y(s) * y(s) + x(s) * x(s)).alias("distance"), s["channel"].alias("channel"))
+    best = points.crossJoin(F.broadcast(chart)).select(*points.columns, F.array_min(F.transform("_sites", one)).alias("_best"))
+    return best.select(*points.columns, F.col("_best.channel").alias("channel"), F.col("_best.distance").alias("distance"))
 
 
 def channel_pairs(sites: DataFrame, scale: float = 1.0, digits: int = 4) -> DataFrame:

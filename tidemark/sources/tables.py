@@ -25,9 +25,8 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as five channels, in time order. Channels are as long as their type is frequent: no sample is dropped."""
-    events = load(spark, sf_dir, "events")
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    numbered = events.select("event_type", "value", (F.row_number().over(order) - 1).cast("long").alias("t"))
+    events = load(spark, sf_dir, "events").select("event_type", "value", "ts", "event_id")
+    numbered = ordered.numbered(events, ["ts", "event_id"], ["event_type"])
     return numbered.join(F.broadcast(channels(spark, sf_dir)), "event_type").select("channel", "t", "value")
 
 
