@@ -441,3 +441,18 @@ def test_nearest_needs_no_copies_of_points(spark, sf, monkeypatch):
     parts = registry.QUERIES["nearest_channel"](spark, sf)
     assert re.search(r"windowspecdefinition\(event_type#\w+, _range#", plan_of(parts))
     assert sorted(map(tuple, parts.collect())) == whole
+
+
+def test_interval_statistics_in_parts(spark, sf, monkeypatch):
+    whole = registry.QUERIES["isi_stats"](spark, sf).first()
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ordered, "SPAN", 16)
+    parts = registry.QUERIES["isi_stats"](spark, sf)
+    assert whole_windows(parts) == [] and parts.first() == whole
+    for t, kind in ((np.unique(rng.integers(-500, 9000, 700)), "long"), (np.cumsum(rng.random(700)) * 1e-3, "double"), (np.cumsum(rng.integers(1, 10**12, 300)), "long")):
+        edges = spark.createDataFrame([(x,) for x in rng.permutation(t).tolist()], f"t {kind}")
+        want = np.diff(t)
+        assert np.allclose(list(events.isi_stats(edges).first()), [len(want), *np.percentile(want, [50, 90, 5, 95])], rtol=1e-12)
+        assert np.allclose(sorted(r.isi for r in events.intervals(edges).collect()), sorted(want))
+    assert events.isi_stats(edges.where("t < 0")).first().n == 0

@@ -36,16 +36,17 @@ def intervals(edges: DataFrame) -> DataFrame:
 
 
 def interval_percentiles(isi: DataFrame, ps: Sequence[float]) -> DataFrame:
-    """Exact percentiles of intervals as _p0, _p1, ... Intervals of sample numbers have few different values (n different
-    ones are n^2 / 2 samples long), so an aggregate counts them; others are bracketed."""
+    """Number of intervals as n and their exact percentiles as _p0, _p1, ... Intervals of sample numbers have few different
+    values (n different ones are n^2 / 2 samples long), so an aggregate counts them; others are bracketed."""
+    n = F.count("*").alias("n")
     if ordered.whole_numbers(isi, "isi"):
-        return isi.agg(*(F.percentile("isi", F.lit(p / 100)).alias(f"_p{k}") for k, p in enumerate(ps)))
-    return reduce.order_statistics(isi, [], ps, "isi")
+        return isi.agg(n, *(F.percentile("isi", F.lit(p / 100)).alias(f"_p{k}") for k, p in enumerate(ps)))
+    return isi.agg(n).crossJoin(reduce.order_statistics(isi, [], ps, "isi"))
 
 
 def isi_stats(edges: DataFrame) -> DataFrame:
-    isi = intervals(edges)
-    return isi.agg(F.count("*").alias("n"), F.percentile("isi", F.lit(0.5)).alias("median"), F.percentile("isi", F.lit(0.9)).alias("p90"), F.percentile("isi", F.lit(0.05)).alias("p5"), F.percentile("isi", F.lit(0.95)).alias("p95"))
+    found = interval_percentiles(intervals(edges), [50, 90, 5, 95])
+    return found.withColumnsRenamed({"_p0": "median", "_p1": "p90", "_p2": "p5", "_p3": "p95"})
 
 
 def debounce(edges: DataFrame, isi: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
