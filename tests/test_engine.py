@@ -456,3 +456,24 @@ def test_interval_statistics_in_parts(spark, sf, monkeypatch):
         assert np.allclose(list(events.isi_stats(edges).first()), [len(want), *np.percentile(want, [50, 90, 5, 95])], rtol=1e-12)
         assert np.allclose(sorted(r.isi for r in events.intervals(edges).collect()), sorted(want))
     assert events.isi_stats(edges.where("t < 0")).first().n == 0
+
+
+def test_debounce_in_parts(spark, sf, monkeypatch):
+    whole = sorted(r.t for r in registry.QUERIES["debounce"](spark, sf).collect())
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ordered, "SPAN", 16)
+    parts = registry.QUERIES["debounce"](spark, sf)
+    assert whole_windows(parts) == [] and "FlatMapGroups" not in plan_of(parts)
+    assert sorted(r.t for r in parts.collect()) == whole
+    edges = [(rec, int(t)) for rec, most in (("a", 400), ("b", 4000), (None, 900)) for t in rng.integers(-50, most, 200)] + [("c", 7 * k) for k in range(200)]
+    df = spark.createDataFrame([edges[k] for k in rng.permutation(len(edges))], "rec string, t long")
+    for isi in (0, 5, 40, 300):
+        got = sorted(map(repr, map(tuple, events.debounce(df, isi, ("rec",)).collect())))
+        kept = []
+        for rec in ("a", "b", "c", None):
+            last = None
+            for t in sorted(t for r, t in edges if r == rec):
+                if last is None or t - last >= isi / 2:
+                    kept.append((rec, last := t))
+        assert got == sorted(map(repr, kept))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +52,31 @@ def isi_stats(edges: DataFrame) -> DataFrame:
 
 def debounce(edges: DataFrame, isi: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges less those that follow a kept edge within isi / 2 (default: the 90th percentile of intervals). Keeping is
-    greedy, so a recording's edges (few) are taken in order, one by one; recordings run side by side."""
+    greedy, but an edge that far behind the edge before it is kept whatever came before. So each run from such an edge to
+    the next goes to the task of the span in which it begins; tasks take sorted edges one by one and hold a batch."""
     if isi is None:
         n, p90 = isi_stats(edges).select("n", "p90").first()
         if n < 2:
             return edges
         isi = p90
     half = float(isi) / 2
-
-    def keep(pdf):
-        pdf, last, kept = pdf.sort_values("t"), None, []
-        for t in pdf["t"].tolist():
-            if last is None or t - last >= half:
-                last = t
-                kept.append(True)
-            else:
-                kept.append(False)
-        return pdf[kept]
-
     rows = edges.select(*by, F.col("t").cast("long").alias("t"))
-    return rows.groupBy(*by).applyInPandas(keep, rows.schema)
+    columns, schema = rows.columns, rows.schema
+
+    def keep(batches):
+        own = last = None
+        for batch in batches:
+            kept = []
+            for *key, t in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if key != own:
+                    own, last = key, None
+                kept.append(last is None or t - last >= half)
+                if kept[-1]:
+                    last = t
+            yield batch.select(columns).filter(pa.array(kept, pa.bool_()))
+
+    runs = ordered.runs(rows, half, by)
+    return runs.repartition(*by, "_home").sortWithinPartitions(*by, "t").mapInArrow(keep, schema)
 
 
 def process_trigger(trig: DataFrame, thresh: float = 0.5, uniform: bool = True, clean: bool = False) -> DataFrame:

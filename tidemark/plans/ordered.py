@@ -4,8 +4,9 @@ side, and a table of one row a range says what lies before each."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,3 +69,19 @@ def preceded(df: DataFrame, name: str = "before") -> DataFrame:
     last = ends.select("_span", F.lag("_last").over(Window.orderBy("_span")).alias("_last"))
     rows = placed.withColumn(name, F.lag("t").over(Window.partitionBy("_span").orderBy("t")))
     return rows.join(last, "_span").withColumn(name, F.coalesce(name, "_last")).drop("_span", "_last")
+
+
+def runs(df: DataFrame, gap: float, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with the span (_home) in which their run begins: the last t at or before theirs that lies ``gap`` or more
+    behind the t before it. Runs that begin in one span share it; groups (``by``) are apart."""
+    placed = spanned(df)
+    inside, across = Window.partitionBy(*by, "_span").orderBy("t"), Window.partitionBy(*by).orderBy("_span")
+    steps = placed.withColumn("_opens", F.coalesce(F.col("t") - F.lag("t").over(inside) >= gap, F.lit(False)))
+    table = steps.groupBy(*by, "_span").agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.bool_or("_opens").alias("_any"))
+    table = table.withColumn("_fresh", F.coalesce(F.col("_first") - F.lag("_last").over(across) >= gap, F.lit(True)))
+    earlier = F.max(F.when(F.col("_any") | F.col("_fresh"), F.col("_span"))).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    table = table.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_span").alias("_at"), "_fresh", earlier.alias("_earlier"))
+    opened = F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_span") == F.col("_at"))
+    home = F.when(F.col("_fresh") | F.col("_opened"), F.col("_span")).otherwise(F.col("_earlier"))
+    return steps.withColumn("_opened", opened).join(table, same).select(*df.columns, home.alias("_home"))
