@@ -16,7 +16,7 @@ from tidemark.functions import text
 from tidemark.operators import events, experiment, joining, parallel, reduce, slicing, spatial
 from tidemark.plans import ordered
 from tidemark.plans.rangejoin import bucketed
-from tidemark.sources import catalog, openephys, other, store
+from tidemark.sources import catalog, openephys, other, store, tables
 from tidemark.streaming import causal
 
 from test_numeric import array, frame
@@ -477,3 +477,13 @@ def test_debounce_in_parts(spark, sf, monkeypatch):
                 if last is None or t - last >= isi / 2:
                     kept.append((rec, last := t))
         assert got == sorted(map(repr, kept))
+
+
+def test_edges_of_a_level_numbered_in_parts(spark, sf, monkeypatch):
+    whole = sorted(r.t for r in registry.QUERIES["rising_edges"](spark, sf).collect())
+    level = sorted(map(tuple, tables.level(spark, sf).collect()))
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    parts = registry.QUERIES["rising_edges"](spark, sf)
+    assert whole_windows(parts) == [] and "_range" in plan_of(parts)
+    assert sorted(r.t for r in parts.collect()) == whole == [b for (a, was), (b, on) in zip(level, level[1:]) if on and not was]
+    assert sorted(map(tuple, tables.level(spark, sf).collect())) == level
